@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import fingerprints, mixing
 
-QUERIES = {"op10_mix": mixing.op10_mix}
+QUERIES = {"op1_fingerprints": fingerprints.op1_fingerprints, "op10_mix": mixing.op10_mix}
 ORACLE_SQL = {"op10_mix": mixing.oracle()}
