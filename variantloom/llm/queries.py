@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing
+from . import fingerprints, mixing, ngram_join
 
-QUERIES = {"op1_fingerprints": fingerprints.op1_fingerprints, "op10_mix": mixing.op10_mix}
+QUERIES = {"op1_fingerprints": fingerprints.op1_fingerprints, "op6_ngram_join": ngram_join.op6_ngram_join, "op10_mix": mixing.op10_mix}
 ORACLE_SQL = {"op10_mix": mixing.oracle()}
