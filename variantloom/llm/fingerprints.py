@@ -31,34 +31,28 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 #: Samples of a fingerprint; the standard error of a likeness J is sqrt(J (1 - J) / SAMPLES).
-SAMPLES = 64
+SAMPLES = 32
+#: Samples that one generated piece of code makes.
+BLOCK = 8
 #: Hex digits of a sample in the fingerprint.
 DIGITS = 4
 #: Ranges that the documents are dealt into, at most, and documents in each, about.
 RANGES, RANGE_ROWS = 400, 250
-_MASK = (1 << 30) - 1
+_LOW = (1 << 31) - 1
 
 
-def samples(term: Column, weights: list[Column], count: int = SAMPLES) -> list[list[Column]]:
-    """For each weight, the count packed samples of a term: an order-preserving 31 bits of ln a, then 31 bits of hash(term, t).
+def sample(term: Column, lnw: Column, number: Column, k: int) -> Column:
+    """Sample ``number`` (and k, its place in a block) of a term with log-weight lnw: 31 bits that order as ln a, then 31 of hash(term, t).
 
-    ``term`` is a long; a weight of null or 0 gives null. Three 30-bit uniforms come from two 64-bit hashes a sample.
+    Five 21-bit uniforms come from two 64-bit hashes. No branch stands around the draws, so common parts are evaluated once.
     """
-    out: list[list[Column]] = [[] for _ in weights]
-    logs = [F.when(w > 0, F.ln(w.cast("double"))) for w in weights]
-    unit = lambda h, shift: ((F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(_MASK))).cast("double") + 0.5) / float(1 << 30)
-    for k in range(count):
-        h, g, b = (F.xxhash64(term, F.lit(3 * k + i)) for i in range(3))
-        r = -F.ln(unit(h, 4) * unit(h, 34))
-        lnc = F.ln(-F.ln(unit(g, 4) * unit(g, 34)))
-        beta = unit(b, 4)
-        for i, x in enumerate(logs):
-            t = F.floor(x / r + beta)
-            lna = lnc - r * (t.cast("double") - beta + 1.0)
-            # ln a lies within (-76, 4) for weights up to 10^5; 26 million steps a unit make 31 bits.
-            step = F.least(F.greatest(F.floor((lna + 76.0) * 26e6), F.lit(0)), F.lit((1 << 31) - 1))
-            out[i].append(F.when(x.isNotNull(), F.shiftleft(step.cast("long"), 31).bitwiseOR(F.xxhash64(term, t).bitwiseAND(F.lit((1 << 31) - 1)))))
-    return out
+    unit = lambda h, shift: (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << 21) - 1)).cast("double") + 0.5) / F.lit(float(1 << 21))
+    h, g = F.xxhash64(term, number, F.lit(2 * k)), F.xxhash64(term, number, F.lit(2 * k + 1))
+    r, lnc, beta = -F.ln(unit(h, 0) * unit(h, 21)), F.ln(-F.ln(unit(g, 0) * unit(g, 21))), unit(h, 42)
+    t = F.floor(lnw / r + beta)
+    lna = lnc - r * (t.cast("double") - beta + 1.0)
+    # ln a lies within (-76, 4) for weights up to 10^5; 26 million steps a unit make 31 bits.
+    return F.shiftleft(F.floor((lna + 76.0) * 26e6), 31).bitwiseOR(F.xxhash64(term, t).bitwiseAND(F.lit(_LOW)))
 
 
 def likeness(a: Column, b: Column, count: int = SAMPLES) -> Column:
@@ -67,13 +61,8 @@ def likeness(a: Column, b: Column, count: int = SAMPLES) -> Column:
     return reduce(lambda x, y: x + y, same).cast("double") / count
 
 
-def _hex(minima: list[Column]) -> Column:
-    low = [F.lpad(F.lower(F.hex(m.bitwiseAND(F.lit((1 << 31) - 1)) % (16**DIGITS - 1) + 1)), DIGITS, "0") for m in minima]
-    return F.concat(*[F.coalesce(x, F.lit("0" * DIGITS)) for x in low])
-
-
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+def _hex(minimum: Column) -> Column:
+    return F.lpad(F.lower(F.hex(minimum.bitwiseAND(F.lit(_LOW)) % (16**DIGITS - 1) + 1)), DIGITS, "0")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -114,16 +103,27 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - cut), F.substring(following, F.lit(1), cut))
 
 
-def fingerprint_pairs(docs: DataFrame, count: int = SAMPLES) -> DataFrame:
-    """Fingerprints of docs(_range, _pos, doc_id, a, b): of the texts a and b of each row, one pass over their words."""
+def fingerprint_pairs(docs: DataFrame, count: int = SAMPLES, block: int = BLOCK) -> DataFrame:
+    """(_range, _pos, fingerprint, edited_fingerprint) of docs(_range, _pos, a, b) with words; two texts share their words' draws.
+
+    A word that both texts hold equally often is one row for both, and every row makes count / block rows of ``block``
+    samples each, which keeps the generated code small enough to be compiled well.
+    """
     row = ["_range", "_pos"]
-    both = F.explode_outer(F.concat(F.transform(words(F.col("a")), lambda x: F.struct(F.xxhash64(x).alias("h"), F.lit(1).alias("a"), F.lit(0).alias("b"))), F.transform(words(F.col("b")), lambda x: F.struct(F.xxhash64(x).alias("h"), F.lit(0).alias("a"), F.lit(1).alias("b")))))
-    t = docs.select(*row, both.alias("x")).select(*row, F.col("x.h").alias("h"), F.col("x.a").alias("a"), F.col("x.b").alias("b"))
-    t = t.groupBy(*row, "h").agg(F.sum("a").alias("wa"), F.sum("b").alias("wb"))
-    sa, sb = samples(F.col("h"), [F.col("wa"), F.col("wb")], count)
-    t = t.select(*row, *[x.alias(f"a{k}") for k, x in enumerate(sa)], *[x.alias(f"b{k}") for k, x in enumerate(sb)])
-    t = t.groupBy(*row).agg(*[F.min(f"{s}{k}").alias(f"{s}{k}") for s in "ab" for k in range(count)])
-    return t.select(*row, _hex([F.col(f"a{k}") for k in range(count)]).alias("fingerprint"), _hex([F.col(f"b{k}") for k in range(count)]).alias("edited_fingerprint"))
+    text = docs.select(*row, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("text")), F.struct(F.lit(1).alias("side"), F.col("b").alias("text")))).alias("x"))
+    word = text.select(*row, "x.side", F.explode(F.split(F.lower("x.text"), r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
+    t = word.groupBy(*row, F.xxhash64("word").alias("h")).agg(F.sum(1 - F.col("side")).alias("wa"), F.sum("side").alias("wb"))
+    pair = lambda side, w: F.struct(F.lit(side).alias("side"), w.alias("w"))
+    each = F.when(F.col("wa") == F.col("wb"), F.array(pair(2, F.col("wa")))).otherwise(F.array(pair(0, F.col("wa")), pair(1, F.col("wb"))))
+    t = t.select(*row, "h", F.explode(each).alias("x")).where("x.w > 0").select(*row, "h", "x.side", F.ln(F.col("x.w").cast("double")).alias("lnw"))
+    t = t.select(*row, "side", "h", "lnw", F.explode(F.array(*[F.lit(i) for i in range(count // block)])).alias("part"))
+    t = t.groupBy(*row, "side", "part").agg(*[F.min(sample(F.col("h"), F.col("lnw"), F.col("part"), k)).alias(f"m{k}") for k in range(block)])
+    # The three kinds of words of a document to its two texts, then blocks to one string.
+    t = t.select(*row, "part", F.explode(F.when(F.col("side") == 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array("side"))).alias("side"), *[f"m{k}" for k in range(block)])
+    t = t.groupBy(*row, "side", "part").agg(*[F.min(f"m{k}").alias(f"m{k}") for k in range(block)])
+    t = t.select(*row, "side", "part", F.concat(*[_hex(F.col(f"m{k}")) for k in range(block)]).alias("hex"))
+    parts = lambda side: F.concat(*[F.max(F.when((F.col("side") == side) & (F.col("part") == i), F.col("hex"))) for i in range(count // block)])
+    return t.groupBy(*row).agg(parts(0).alias("fingerprint"), parts(1).alias("edited_fingerprint"))
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,8 +131,9 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = with_next(table(spark, sf_dir, "documents"))
     d = d.select("_range", "_pos", "doc_id", F.col("text").alias("a"), edited(F.col("text"), F.col("next_text")).alias("b"))
     facts = d.select("_range", "_pos", "doc_id", F.length("a").cast("long").alias("n_chars"), F.sha2("b", 256).alias("edited_sha256"))
-    prints = fingerprint_pairs(d)
-    out = materialize(facts.join(prints, ["_range", "_pos"]), "cws")
+    empty = F.lit("0" * DIGITS * SAMPLES)
+    out = facts.join(fingerprint_pairs(d), ["_range", "_pos"], "left")
+    out = materialize(out.withColumns({c: F.coalesce(c, empty) for c in ("fingerprint", "edited_fingerprint")}), "cws")
     down = Window.partitionBy("_range").orderBy("_pos")
     heads = out.where("_pos = 1").select("_range", F.col("fingerprint").alias("_head"))
     ring = Window.orderBy("_range")
