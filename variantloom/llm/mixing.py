@@ -97,6 +97,20 @@ def mix(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_rows: int = SHA
     return d.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+def take(docs: DataFrame, **parameters) -> DataFrame:
+    """docs as the mix takes them: each document taken / size times, to the nearest whole number.
+
+    Only the document at the end of a shard's quota is taken in part, so sources stay near their targets. Documents
+    without words have nothing to take, and those without an id cannot be named by the mix; both are left out. Rows
+    with one id are taken equally often.
+    """
+    docs = docs.where("doc_id is not null")
+    mixed = mix(docs.select("doc_id", "source", "text"), **parameters).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
+    times = materialize(mixed.select(F.col("doc_id").alias("_id"), F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size") + 0.5)).otherwise(0).cast("int").alias("_times")).where("_times > 0"), "mix-times")
+    out = docs.join(small(times), F.col("doc_id") == F.col("_id"))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 

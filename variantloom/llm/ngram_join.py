@@ -11,7 +11,9 @@ with Jaccard >= t differ in at most k tokens, so among k + 1 segments of the
 global order at least one holds exactly the same tokens of both; k depends on the
 set's size class only. Classes that share a segment are candidates, candidates
 reached over such segments form a block of the join, and every block has its own
-trie. A large block is cut into parts, and each pair of parts is joined by itself
+trie. Below t = 8/9 segments get so short that unrelated sets share empty ones;
+there, BANDS bands of ROWS min-hashes take their place. A pair at t = 0.8 shares
+none of them with probability (1 - 0.8^5)^60 < 5e-11, less at higher similarity. A large block is cut into parts, and each pair of parts is joined by itself
 (one part's trie, probed by the other), so no task holds more than two parts. All
 links between different sets are found; a part pair reports a spanning forest of
 its links instead of every pair, and the components are joined up afterwards.
@@ -41,7 +43,11 @@ from .common import connected_components, materialize, small, table
 PART = 128
 #: Longest piece of a trie edge: bounds are tested after each.
 EDGE = 48
+#: Bands and min-hashes in each, where segments would be too short.
+BANDS, ROWS = 60, 5
 _U = np.uint64
+_rng = np.random.default_rng(20240602)
+_MUL, _ADD = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * _U(2) + _U(1), _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
 class Classes:
@@ -70,6 +76,26 @@ def segment_signatures(s: np.ndarray, c: int, parts: int) -> np.ndarray:
         return textkit.mix64(total[edge[1:]] - total[edge[:-1]] + textkit.mix64(np.arange(parts, dtype=np.uint64) + _U(c << 32)))
 
 
+def band_signatures(s: np.ndarray) -> np.ndarray:
+    """One hash per band of ROWS min-hashes of the set s."""
+    with np.errstate(over="ignore"):
+        low = np.concatenate([(s[None, :] * _MUL[i : i + ROWS, None] + _ADD[i : i + ROWS, None]).min(1) for i in range(0, BANDS * ROWS, ROWS)])
+        out = np.arange(BANDS, dtype=np.uint64)
+        for row in low.reshape(BANDS, ROWS).T:
+            out = textkit.mix64(out * _U(0x2545F4914F6CDD1D) + row)
+        return out
+
+
+def signatures(s: np.ndarray, classes: Classes) -> np.ndarray:
+    """What sets that may link share at least one of."""
+    if not len(s):
+        return np.zeros(0, np.uint64)
+    if 9 * classes.num < 8 * classes.den:
+        return band_signatures(s)
+    c = classes.of(len(s))
+    return np.concatenate([segment_signatures(s, x, classes.segments(x)) for x in {c, max(c - 1, 0)}])
+
+
 def sets_of(text: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingles) of every row."""
     for lo, hi, data, off in textkit.slices(text):
@@ -104,11 +130,7 @@ def _signed(mapper_size: int, num: int, den: int):
                 with np.errstate(over="ignore"):
                     h1.append(np.sum(textkit.mix64(s), dtype=np.uint64))
                     h2.append(np.sum(textkit.mix64(s ^ _U(0xE7037ED1A0B428DB)), dtype=np.uint64))
-                mine = []
-                if len(s):
-                    c = classes.of(len(s))
-                    mine = [segment_signatures(s, x, classes.segments(x)) for x in {c, max(c - 1, 0)}]
-                sigs.append(np.concatenate(mine) if mine else np.zeros(0, np.uint64))
+                sigs.append(signatures(s, classes))
                 held += len(sigs[-1])
                 if held > 1_000_000:
                     yield flush(row + 1)
@@ -303,6 +325,19 @@ def ngram_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 1
     return out.select("doc_id", "n_shingles", F.coalesce("component", "cls").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs without near-duplicates: of each component the document of the least id stays, and every null id.
+
+    Rows with one ``doc_id`` are one document, of which the least row (by all its columns) stays.
+    """
+    comp = ngram_components(docs.select("doc_id", "text"), size, num, den).where("doc_id = component_id")
+    kept = materialize(comp.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).withColumnRenamed("doc_id", "_id"), "ngram-kept")
+    d = docs.join(small(kept), F.col("doc_id") == F.col("_id"))
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    twice = d.where("_rows > 1").groupBy("_id").agg(F.min(row).alias("_row")).select("_row.*")
+    return d.where("_rows = 1").select(*docs.columns).unionByName(twice).unionByName(docs.where("doc_id is null"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under a Jaccard similarity of 0.9 of their 3-word shingles."""
     return ngram_components(table(spark, sf_dir, "documents"))
