@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, html_text, mixing, ngram_join, packing, quality, secrets, vector_dedup
+from . import fingerprints, html_text, mixing, ngram_join, packing, quality, secrets, vector_dedup, warc
 
-QUERIES = {"op1_fingerprints": fingerprints.op1_fingerprints, "op3_quality": quality.op3_quality, "op4_packing": packing.op4_packing, "op5_secrets": secrets.op5_secrets, "op6_ngram_join": ngram_join.op6_ngram_join, "op7_vectors": vector_dedup.op7_vectors, "op8_html": html_text.op8_html, "op10_mix": mixing.op10_mix}
-ORACLE_SQL = {"op10_mix": mixing.oracle()}
+QUERIES = {"op1_fingerprints": fingerprints.op1_fingerprints, "op2_warc": warc.op2_warc, "op3_quality": quality.op3_quality, "op4_packing": packing.op4_packing, "op5_secrets": secrets.op5_secrets, "op6_ngram_join": ngram_join.op6_ngram_join, "op7_vectors": vector_dedup.op7_vectors, "op8_html": html_text.op8_html, "op10_mix": mixing.op10_mix}
+ORACLE_SQL = {"op2_warc": warc.SQL, "op10_mix": mixing.oracle()}
