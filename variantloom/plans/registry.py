@@ -8,3 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+def _register() -> None:
+    from importlib import import_module
+
+    for module in ("stats_queries",):
+        import_module(f"{__package__}.{module}")
+
+
+_register()
