@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..dataset import VariantDataset
+from ..session import ship
 
 CUBE = """
 WITH samples AS (
@@ -58,6 +59,7 @@ def cube_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load(spark: SparkSession, sf_dir: str, info: bool = False) -> VariantDataset:
     """The cube as a dataset; with ``info``, the variable-length field BN as an array column ``bn``."""
+    ship(spark)
     v = cube_table(spark, sf_dir, "variants")
     if info:
         from pyspark.sql import functions as F
