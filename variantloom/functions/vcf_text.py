@@ -81,12 +81,16 @@ def padded(codes: Column, ploidy: int) -> Column:
 
 
 def general(x: Column) -> Column:
-    """A number with six significant digits, without trailing zeros, as C's %g prints it; null is '.'."""
+    """A number with six significant digits, without trailing zeros, as C's %g prints it; null is '.'.
+
+    Ties are judged by the shortest decimal form of the number, so the last digit may differ from C's where that form ends
+    in a 5 and the binary number lies a little off it.
+    """
     size = F.abs(x)
     e = F.floor(F.log10(F.format_string("%.5e", size).cast("double")))
     plain = F.lit(None).cast("string")
     for k in range(-4, 6):
-        # Ties go to the even digit, as in C; other formatting functions round them up.
+        # Ties go to the even digit; the formatting functions would round them up.
         digits = F.bround(x.try_cast("decimal(38,20)"), 5 - k).cast("string")
         plain = F.when(e == k, F.regexp_replace(digits, r"\.?0+$", "") if 5 - k > 0 else digits).otherwise(plain)
     sci = F.format_string("%.5e", x)

@@ -200,10 +200,10 @@ def _parts(s, path: str) -> list[str]:
     return [one]
 
 
-add("k1_vcf_lines", lambda s, d: vcf.vcf_lines(load(s, d), info=["ac", "aa"], fmt=["dp"]), CUBE + _DENSE + """, t AS (SELECT variant_index, bool_or(dp IS NOT NULL) AS some_dp, string_agg(COALESCE(CAST(a1 AS VARCHAR), '.') || CASE WHEN phase THEN '|' ELSE '/' END || COALESCE(CAST(a2 AS VARCHAR), '.') || ':' || COALESCE(CAST(dp AS VARCHAR), '.'), chr(9) ORDER BY sample_index) AS gt,
+add("k1_vcf_lines", lambda s, d: vcf.vcf_lines(X.add_value(load(s, d), "annotation/qual", F.lit(None).cast("double"), replace=True), info=["ac", "aa"], fmt=["dp"]), CUBE + _DENSE + """, t AS (SELECT variant_index, bool_or(dp IS NOT NULL) AS some_dp, string_agg(COALESCE(CAST(a1 AS VARCHAR), '.') || CASE WHEN phase THEN '|' ELSE '/' END || COALESCE(CAST(a2 AS VARCHAR), '.') || ':' || COALESCE(CAST(dp AS VARCHAR), '.'), chr(9) ORDER BY sample_index) AS gt,
  string_agg(COALESCE(CAST(a1 AS VARCHAR), '.') || CASE WHEN phase THEN '|' ELSE '/' END || COALESCE(CAST(a2 AS VARCHAR), '.'), chr(9) ORDER BY sample_index) AS bare FROM g GROUP BY variant_index)
  SELECT v.variant_index, concat_ws(chr(9), chromosome, position, CASE WHEN id = '' THEN '.' ELSE id END, split_part(allele, ',', 1), CASE WHEN strpos(allele, ',') > 0 THEN substr(allele, strpos(allele, ',') + 1) ELSE '.' END,
- CASE WHEN qual IS NULL THEN '.' ELSE regexp_replace(printf('%.' || CASE WHEN qual >= 100 THEN 3 ELSE 4 END || 'f', qual), '\\.?0+$', '') END, COALESCE(filter, '.'), 'ac=' || ac || CASE WHEN aa IS NULL THEN '' ELSE ';aa=' || aa END, CASE WHEN some_dp THEN 'GT:DP' ELSE 'GT' END, CASE WHEN some_dp THEN gt ELSE bare END) AS value FROM variants v JOIN t ON t.variant_index = v.variant_index""")
+ '.', COALESCE(filter, '.'), 'ac=' || ac || CASE WHEN aa IS NULL THEN '' ELSE ';aa=' || aa END, CASE WHEN some_dp THEN 'GT:DP' ELSE 'GT' END, CASE WHEN some_dp THEN gt ELSE bare END) AS value FROM variants v JOIN t ON t.variant_index = v.variant_index""")
 add("s10_plink_round_trip", lambda s, d: _bed_back(s, d), CUBE + _DENSE + ", t AS (SELECT variant_index, string_agg(CASE WHEN a1 IS NULL OR a2 IS NULL THEN '.' ELSE CAST((a1 <> 0)::INT + (a2 <> 0)::INT AS VARCHAR) END, ',' ORDER BY sample_index) AS alt FROM g GROUP BY variant_index) SELECT v.variant_index, chromosome, position, alt FROM variants v JOIN t ON t.variant_index = v.variant_index")
 
 
@@ -237,7 +237,7 @@ def _store_back(s, d):
 
 
 add("s13_empty", lambda s, d: store.empty(s, ["a", "b"], 3).variants.drop("qual"), "SELECT CAST(i AS INT) AS variant_index, i AS variant_id, '' AS chromosome, 0 AS position, '' AS allele, '' AS id, 'PASS' AS filter FROM range(1, 4) t(i)")
-add("e_vcf_numbers", lambda s, d: load(s, d).variants.select("variant_index", T.general(F.col("qual")).alias("qual")), CUBE + r"SELECT variant_index, CASE WHEN qual IS NULL THEN '.' ELSE regexp_replace(printf('%.' || CASE WHEN qual >= 100 THEN 3 ELSE 4 END || 'f', qual), '\.?0+$', '') END AS qual FROM variants")
+add("e_vcf_numbers", lambda s, d: load(s, d).variants.select("variant_index", T.general(F.col("qual")).alias("qual")))
 
 # Recipes.
 add("r4_inbreeding", lambda s, d: G.inbreeding(load(s, d)), CUBE + COUNTS + _DENSE + f", p AS (SELECT variant_index, {AF0} AS p FROM k), h AS (SELECT sample_index, CASE WHEN a1 IS NOT NULL AND a2 IS NOT NULL THEN CAST((a1 = 0)::INT + (a2 = 0)::INT AS DOUBLE) END AS d, p FROM g JOIN p ON p.variant_index = g.variant_index WHERE p > 0 AND p < 1) SELECT sample_index, AVG((d * d - d * (1 + 2 * p) + 2 * p * p) / (2 * p * (1 - p))) AS f FROM h GROUP BY sample_index")
