@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..dataset import VariantDataset
@@ -147,13 +147,9 @@ def read_vcf(spark: SparkSession, *paths: str, info: list[str] | None = None, fm
     for name, e in h.format.items():
         if name == "GT" or fmt is not None and name not in fmt:
             continue
-        k = F.array_position(keys, name)
-        each = lambda cell, e=e, k=k, name=name: T.values(F.get(F.split(cell, ":"), (k - 1).cast("int")), e["Type"], strict)
-        cols[f"fmt_{name}"] = F.when(k > 0, F.transform("_cells", each))
+        cols[f"fmt_{name}"] = _field(keys, name, lambda text, kind=e["Type"]: T.values(text, kind, strict))
     if h.samples:
-        k = F.array_position(keys, "GT")
-        gt = F.transform("_cells", lambda cell: F.when(k > 0, F.get(F.split(cell, ":"), (k - 1).cast("int"))))
-        cols["_gt"] = gt
+        cols["_gt"] = F.coalesce(_field(keys, "GT", lambda text: text), F.transform("_cells", lambda _: F.lit(None).cast("string")))
     v = v.withColumns(cols)
     if h.samples:
         none = F.array_repeat(F.lit(None).cast("int"), p)
@@ -165,6 +161,12 @@ def read_vcf(spark: SparkSession, *paths: str, info: list[str] | None = None, fm
     return VariantDataset(v, s, None, meta, p)
 
 
+def _field(keys: Column, name: str, f) -> Column:
+    """f of each sample's text of a FORMAT field; null where the row does not have the field."""
+    k = F.array_position(keys, name)
+    return F.when(k > 0, F.transform("_cells", lambda cell: f(F.get(F.split(cell, ":"), (k - 1).cast("int")))))
+
+
 def header_lines(ds: VariantDataset, info: list[str], fmt: list[str]) -> list[str]:
     h = ds.meta.get("vcf", {})
     kind = {f.name: f.dataType.simpleString() for f in ds.variants.schema.fields}
