@@ -196,3 +196,13 @@ def vector_components(vectors: DataFrame, cosine: float = COSINE, miss: float =
 def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates among all vectors of the embeddings table, within labels."""
     return vector_components(table(spark, sf_dir, "embeddings"))
+
+
+#: DuckDB's version of op7_vectors, by comparing all pairs of a label.
+SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+  l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= {COSINE}),
+  r(vec_id, reach) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.reach),
+  c AS (SELECT vec_id, min(reach) AS component_id FROM r GROUP BY vec_id),
+  k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT c.vec_id, coalesce(k.n, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN k ON k.a = c.vec_id"""
