@@ -277,3 +277,16 @@ def test_empty_dataset(spark):
     assert e.dims() == (2, 2, 2) and values(S.allele_freq(e), "variant_index", "af") == {1: 1.0, 2: 1.0}
     none = e.filtered(variants=e.variants.limit(0))
     assert S.af_ac_missing(none).count() == 0 and W.sliding_windows(none.variants).count() == 0
+
+
+def test_chromosome_runs_that_alternate(spark):
+    names = ["1", "1", "2", "2", "1", "3", "1", "1"]
+    v = spark.createDataFrame([(10 * i + 1, c) for i, c in enumerate(names)], "variant_index int, chromosome string")
+    assert [(r["chromosome"], r["length"]) for r in C.chromosome_runs(v).orderBy("run").collect()] == [("1", 2), ("2", 2), ("1", 1), ("3", 1), ("1", 2)]
+
+
+def test_numbering_across_blocks(spark):
+    rows = spark.range(0, 400_000, 7).select(F.col("id").alias("variant_index"))
+    got = L.numbered(rows, "variant_index").where("_rank - 1 <> variant_index / 7").count()
+    assert got == 0
+

@@ -108,9 +108,11 @@ def chromosome_runs(variants: DataFrame) -> DataFrame:
     over = ext.withColumn("_prev", F.max("hi").over(Window.orderBy("lo").rowsBetween(Window.unboundedPreceding, -1))).where("_prev > lo")
     if over.isEmpty():
         return ext.select(F.row_number().over(Window.orderBy("lo")).cast("int").alias("run"), "chromosome", F.col("length").cast("long").alias("length"))
-    w = Window.orderBy("variant_index")
-    g = variants.select("variant_index", "chromosome", (F.row_number().over(w) - F.row_number().over(Window.partitionBy("chromosome").orderBy("variant_index"))).alias("_g"))
-    runs = g.groupBy("chromosome", "_g").agg(F.min("variant_index").alias("lo"), F.count(F.lit(1)).alias("length"))
+    from ..operators.filters import numbered
+
+    g = numbered(variants.select("variant_index", "chromosome"), "variant_index").withColumnRenamed("_rank", "_all")
+    g = numbered(g, "variant_index", "chromosome").withColumn("_own", F.min("_rank").over(Window.partitionBy("chromosome")))
+    runs = g.groupBy("chromosome", (F.col("_all") - F.col("_rank") + F.col("_own")).alias("_g")).agg(F.min("variant_index").alias("lo"), F.count(F.lit(1)).alias("length"))
     return runs.select(F.row_number().over(Window.orderBy("lo")).cast("int").alias("run"), "chromosome", "length")
 
 

@@ -91,16 +91,17 @@ def by_index(ds: VariantDataset, index: Iterable[int] | DataFrame, axis: str = "
     return ds.filtered(**{f"{axis}s": kept})
 
 
-def numbered(rows: DataFrame, key: str) -> DataFrame:
-    """rows with _rank, the place in order of ``key``, without bringing all rows into one task.
+def numbered(rows: DataFrame, key: str, first: str | None = None) -> DataFrame:
+    """rows with _rank, the place in order of ``key`` (of ``first``, then ``key``), without bringing all rows into one task.
 
     Rows are counted by blocks of the key; only the block counts are summed up in order.
     """
-    block = (F.col(key) / 65536).cast("long")
-    per = rows.groupBy(block.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-    before = per.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    ranked = rows.withColumn("_b", block).withColumn("_in", F.row_number().over(Window.partitionBy("_b").orderBy(key)))
-    return ranked.join(before, "_b").withColumn("_rank", (F.col("_before") + F.col("_in")).cast("long")).drop("_b", "_in", "_before")
+    by = [first, "_b"] if first else ["_b"]
+    ranked = rows.withColumn("_b", (F.col(key) / 65536).cast("long"))
+    per = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    before = per.select(*by, F.coalesce(F.sum("_n").over(Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    ranked = ranked.withColumn("_in", F.row_number().over(Window.partitionBy(*by).orderBy(key)))
+    return ranked.join(before, by).withColumn("_rank", (F.col("_before") + F.col("_in")).cast("long")).drop("_b", "_in", "_before")
 
 
 def by_flag(ds: VariantDataset, flag: Column | Sequence[bool | None], axis: str = "variant", intersect: bool = False) -> VariantDataset:

@@ -94,7 +94,8 @@ def merge_samples(*parts: VariantDataset) -> VariantDataset:
     u = u.withColumn("_n", F.row_number().over(Window.partitionBy(*key, "_f").orderBy("variant_index")))
     cols = [c for c in u.columns if c not in (*key, "_f", "_n", "variant_index")]
     first = u.groupBy(*key, "_n").agg(F.min(F.struct("_f", "variant_index")).alias("_k"), F.collect_set("_f").alias("_files"), *[F.min_by(c, "_f").alias(c) for c in cols])
-    table = first.withColumn("variant_index", F.row_number().over(Window.orderBy("_k")).cast("int")).withColumn("variant_id", F.col("variant_index").cast("long"))
+    placed = numbered(first.withColumn("_file", F.col("_k._f")).withColumn("_old", F.col("_k.variant_index")), "_old", "_file")
+    table = placed.withColumn("variant_index", F.col("_rank").cast("int")).withColumn("variant_id", F.col("_rank")).drop("_file", "_old", "_rank")
     calls = []
     for i, p in enumerate(parts):
         own = p.samples.select("sample_index", "sample_id").join(samples.withColumnRenamed("sample_index", "_s"), "sample_id").select("sample_index", "_s")
