@@ -23,6 +23,7 @@ Defined cases:
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,7 +38,7 @@ BLOCK = 8
 #: Hex digits of a sample in the fingerprint.
 DIGITS = 4
 #: Ranges that the documents are dealt into, at most, and documents in each, about.
-RANGES, RANGE_ROWS = 400, 250
+RANGES, RANGE_ROWS = 10_000, 250
 _LOW = (1 << 31) - 1
 
 
@@ -65,35 +66,39 @@ def _hex(minimum: Column) -> Column:
     return F.lpad(F.lower(F.hex(minimum.bitwiseAND(F.lit(_LOW)) % (16**DIGITS - 1) + 1)), DIGITS, "0")
 
 
+def _place(doc_id: Column, bounds: list[int]) -> Column:
+    """How many of the bounds, ascending, are at or over an id: its range, descending. Looked up in two steps of about sqrt(n)."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, math.isqrt(len(bounds)))
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    tops = F.lit([g[-1] for g in groups]).cast("array<bigint>")
+    below = F.size(F.filter(tops, lambda b: b < doc_id))
+    inner = F.size(F.filter(F.coalesce(F.get(F.lit(groups).cast("array<array<bigint>>"), below), F.array().cast("array<bigint>")), lambda b: b < doc_id))
+    return F.lit(len(bounds)) - below * step - inner
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """(range, doc_id, pos, text, next_text): the next document in descending doc_id, after the last the first.
+    """(_range, _pos, doc_id, text, next_text): the next document in descending doc_id, after the last the first.
 
-    Ranges of doc_id are cut at quantiles; inside a range a window finds the next row, and one row a range
-    is linked to the first row of the range that follows.
+    Ranges of doc_id are cut at quantiles, and a window inside each finds the next row. For the last row of a range, the
+    first document of the range that follows is laid behind it: one more row a range, whose result is dropped.
     """
     d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = d.count()
-    cuts = min(RANGES, max(1, n // RANGE_ROWS))
+    cuts = min(RANGES, max(1, d.count() // RANGE_ROWS))
     bounds = d.agg(F.percentile_approx("doc_id", [i / cuts for i in range(1, cuts)], 20 * cuts)).first()[0] if cuts > 1 else None
     bounds = sorted(set(bounds or []))
-    # Descending: ids over the last bound are range 0, null ids the last range.
-    place = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>"), lambda b: b >= F.col("doc_id")))
-    d = d.withColumn("_range", F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(place))
-    down = Window.partitionBy("_range").orderBy(F.col("doc_id").desc_nulls_last(), "text")
-    d = d.withColumn("_pos", F.row_number().over(down)).withColumn("_next", F.lead("text").over(down))
-    # The first row of each range, and which range follows it: as many rows as there are ranges.
-    first = docs.select("doc_id", "text").withColumn("_range", F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(place)).groupBy("_range").agg(F.max("doc_id").alias("_top"))
-    first = materialize(first, "cws-ranges")
-    heads = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_head")).join(F.broadcast(first), F.col("doc_id").eqNullSafe(F.col("_top")))
-    heads = heads.groupBy("_range").agg(F.min("_head").alias("_head"))
+    # Ids over the last bound are range 0, null ids the last range.
+    place = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(_place(F.col("doc_id"), bounds))
+    d = d.withColumn("_range", place)
+    first = materialize(docs.select("doc_id").withColumn("_range", place).groupBy("_range").agg(F.max("doc_id").alias("_top")), "cws-ranges")
     ring = Window.orderBy("_range")
-    heads = heads.withColumn("_after", F.lead("_range").over(ring)).withColumn("_zero", F.min("_range").over(Window.partitionBy(F.lit(1))))
-    heads = heads.select("_range", "_head", F.coalesce("_after", "_zero").alias("_after"))
-    links = heads.select("_range", "_after").join(heads.select(F.col("_range").alias("_after"), "_head"), "_after").select(F.col("_range").alias("_of"), "_head")
-    links = materialize(links, "cws-heads")
-    d = d.withColumn("_of", F.when(F.col("_next").isNull(), F.col("_range")))
-    d = d.join(F.broadcast(links), "_of", "left")
-    return d.select("_range", "_pos", "doc_id", "text", F.coalesce("_next", "_head", F.lit("")).alias("next_text"))
+    before = first.withColumn("_of", F.coalesce(F.lag("_range").over(ring), F.max("_range").over(Window.partitionBy(F.lit(1)))))
+    heads = d.drop("_range").join(F.broadcast(before), F.col("doc_id").eqNullSafe(F.col("_top"))).groupBy("_of").agg(F.min("text").alias("text"))
+    d = d.withColumn("_head", F.lit(0)).unionByName(heads.select(F.lit(None).cast(d.schema["doc_id"].dataType).alias("doc_id"), "text", F.col("_of").alias("_range"), F.lit(1).alias("_head")))
+    down = Window.partitionBy("_range").orderBy("_head", F.col("doc_id").desc_nulls_last(), "text")
+    d = d.withColumn("_pos", F.row_number().over(down)).withColumn("next_text", F.lead("text").over(down)).where("_head = 0")
+    return d.select("_range", "_pos", "doc_id", "text", "next_text")
 
 
 def edited(text: Column, following: Column) -> Column:
