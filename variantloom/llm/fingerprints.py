@@ -75,7 +75,7 @@ def _place(doc_id: Column, bounds: list[int]) -> Column:
     tops = F.lit([g[-1] for g in groups]).cast("array<bigint>")
     below = F.size(F.filter(tops, lambda b: b < doc_id))
     inner = F.size(F.filter(F.coalesce(F.get(F.lit(groups).cast("array<array<bigint>>"), below), F.array().cast("array<bigint>")), lambda b: b < doc_id))
-    return F.lit(len(bounds)) - below * step - inner
+    return F.greatest(F.lit(len(bounds)) - below * step - inner, F.lit(0))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
