@@ -17,7 +17,7 @@ from variantloom.llm.common import materialize, table
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the quality model scores below its threshold."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("score") >= quality.KEEP).select(*docs.columns)
+    return quality.score(docs, model, name="__score").where(F.col("__score") >= quality.KEEP).select(*docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,9 +99,9 @@ def test_run(spark):
 
 def test_stages_on_odd_tables(spark):
     for rows in (ROWS, []):
-        docs = spark.createDataFrame([r[:5] for r in rows], SCHEMA.rsplit(",", 1)[0]).withColumn("size", F.lit("x"))
+        docs = spark.createDataFrame([r[:5] for r in rows], SCHEMA.rsplit(",", 1)[0]).withColumns({c: F.lit("x") for c in ("size", "score", "_id", "_rows", "_times", "_row", "component", "shard", "cls")})
         for name, stage in corpus_pipeline.STAGES[:-1]:
             got = stage(spark, docs, SF)
             assert got.columns == docs.columns, name
-            got.count()
+            assert {r["score"] for r in got.select("score").collect()} <= {"x"}
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(rows) + (19 if rows else 0)

@@ -106,9 +106,9 @@ def take(docs: DataFrame, **parameters) -> DataFrame:
     """
     docs = docs.where("doc_id is not null")
     mixed = mix(docs.select("doc_id", "source", "text"), **parameters).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    times = materialize(mixed.select(F.col("doc_id").alias("_id"), F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size") + 0.5)).otherwise(0).cast("int").alias("_times")).where("_times > 0"), "mix-times")
-    out = docs.join(small(times), F.col("doc_id") == F.col("_id"))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    times = materialize(mixed.select(F.col("doc_id").alias("__taken"), F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size") + 0.5)).otherwise(0).cast("int").alias("__times")).where("__times > 0"), "mix-times")
+    out = docs.join(small(times), F.col("doc_id") == F.col("__taken"))
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

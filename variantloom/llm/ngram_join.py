@@ -331,11 +331,11 @@ def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -
     Rows with one ``doc_id`` are one document, of which the least row (by all its columns) stays.
     """
     comp = ngram_components(docs.select("doc_id", "text"), size, num, den).where("doc_id = component_id")
-    kept = materialize(comp.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).withColumnRenamed("doc_id", "_id"), "ngram-kept")
-    d = docs.join(small(kept), F.col("doc_id") == F.col("_id"))
+    kept = materialize(comp.groupBy(F.col("doc_id").alias("__kept")).agg(F.count(F.lit(1)).alias("__rows")), "ngram-kept")
+    d = docs.join(small(kept), F.col("doc_id") == F.col("__kept"))
     row = F.struct(*[F.col(c) for c in docs.columns])
-    twice = d.where("_rows > 1").groupBy("_id").agg(F.min(row).alias("_row")).select("_row.*")
-    return d.where("_rows = 1").select(*docs.columns).unionByName(twice).unionByName(docs.where("doc_id is null"))
+    twice = d.where("__rows > 1").groupBy("__kept").agg(F.min(row).alias("__row")).select("__row.*")
+    return d.where("__rows = 1").select(*docs.columns).unionByName(twice).unionByName(docs.where("doc_id is null"))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -197,20 +197,20 @@ def _with_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             done += out.num_rows
 
 
-def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """docs with a column score (0 to 1), which replaces one of that name."""
-    docs = docs.drop("score")
+def score(docs: DataFrame, model: Model | None, text: str = "text", name: str = "score") -> DataFrame:
+    """docs with the score (0 to 1) in a column of that name, which replaces one that is there."""
+    docs = docs.drop(name)
     if model is None:
-        return docs.withColumn("score", F.lit(0.5))
+        return docs.withColumn(name, F.lit(0.5))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.full(batch.num_rows, 0.5)
             for lo, hi, x, at in bags(batch.column(text)):
                 out[lo:hi] = model.score(x, at)
-            yield batch.append_column("score", pa.array(out))
+            yield batch.append_column(name, pa.array(out))
 
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
