@@ -290,3 +290,23 @@ def test_numbering_across_blocks(spark):
     got = L.numbered(rows, "variant_index").where("_rank - 1 <> variant_index / 7").count()
     assert got == 0
 
+
+
+def test_get_by_name(spark, ds):
+    from variantloom.operators.get import get, get_many
+    from variantloom.session import block_size, set_workers, workers
+
+    d = fixture.load(spark, SF, info=True)
+    names = ["variant.id", "position", "chromosome", "allele", "annotation/id", "annotation/qual", "annotation/filter", "genotype", "phase", "$dosage", "$dosage_alt", "$dosage_alt2", "$num_allele", "$ref", "$alt", "$chrom_pos", "$chrom_pos2", "$chrom_pos_allele", "$variant_index", "@genotype", "annotation/info/aa", "annotation/info/@aa", "annotation/info/bn", "annotation/info/@bn", "annotation/format/DP", "annotation/format/@DP"]
+    assert all(get(d, n).count() == d.n_variants for n in names)
+    assert get(d, "sample.id").count() == get(d, "sample.annotation/sex").count() == get(d, "$sample_index").count() == d.n_samples
+    assert values(get(d, "annotation/info/@bn"), "variant_index", "value") == values(d.variants.withColumn("n", F.size("bn")), "variant_index", "n")
+    x = d.variants.select("variant_index", (F.col("ac") * 3).alias("score"))
+    assert values(get(d, "$:score", {"score": x}), "variant_index", "value") == values(x, "variant_index", "score")
+    assert get(d, "$dosage_sp").columns == ["sample_index", "variant_index", "value"] and get(d, "$chromosome").columns == ["run", "chromosome", "length"]
+    assert get_many(d, ["position", "$ref"]).columns == ["variant_index", "position", "$ref"]
+    for n in ("$nothing", "annotation/info/none", "sample.annotation/none"):
+        with pytest.raises(KeyError):
+            get(d, n)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    assert set_workers(spark, int(before)) == int(before) and workers(spark) >= 1 and block_size(100, 4) == 9

@@ -18,3 +18,20 @@ def ship(spark: SparkSession) -> None:
         path = shutil.make_archive(f"{tempfile.mkdtemp()}/variantloom", "zip", Path(__file__).resolve().parents[1], "variantloom")
         spark.sparkContext.addPyFile(path)
         _shipped.add(app)
+
+
+def workers(spark: SparkSession) -> int:
+    """Tasks that run at a time."""
+    return spark.sparkContext.defaultParallelism
+
+
+def set_workers(spark: SparkSession, n: int | None = None) -> int:
+    """How many parts shuffles make from now on; by default as many as tasks run at a time, two at least."""
+    n = n or max(2, workers(spark))
+    spark.conf.set("spark.sql.shuffle.partitions", n)
+    return n
+
+
+def block_size(n: int, n_workers: int) -> int:
+    """Rows of a block when n rows are dealt dynamically: three blocks a worker."""
+    return max(1, -(-n // (3 * n_workers)))
