@@ -89,13 +89,14 @@ def with_next(docs: DataFrame) -> DataFrame:
     bounds = d.agg(F.percentile_approx("doc_id", [i / cuts for i in range(1, cuts)], 20 * cuts)).first()[0] if cuts > 1 else None
     bounds = sorted(set(bounds or []))
     # Ids over the last bound are range 0, null ids the last range.
-    place = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(_place(F.col("doc_id"), bounds))
+    # Stated as never null: a null test on one use of the ranges would keep Spark from reusing the shuffle for the other.
+    place = F.coalesce(F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(_place(F.col("doc_id"), bounds)), F.lit(0))
     d = d.withColumn("_range", place)
     first = materialize(docs.select("doc_id").withColumn("_range", place).groupBy("_range").agg(F.max("doc_id").alias("_top")), "cws-ranges")
     ring = Window.orderBy("_range")
     before = first.withColumn("_of", F.coalesce(F.lag("_range").over(ring), F.max("_range").over(Window.partitionBy(F.lit(1)))))
     heads = d.drop("_range").join(F.broadcast(before), F.col("doc_id").eqNullSafe(F.col("_top"))).groupBy("_of").agg(F.min("text").alias("text"))
-    d = d.withColumn("_head", F.lit(0)).unionByName(heads.select(F.lit(None).cast(d.schema["doc_id"].dataType).alias("doc_id"), "text", F.col("_of").alias("_range"), F.lit(1).alias("_head")))
+    d = d.withColumn("_head", F.lit(0)).unionByName(heads.select(F.lit(None).cast(d.schema["doc_id"].dataType).alias("doc_id"), "text", F.coalesce("_of", F.lit(0)).alias("_range"), F.lit(1).alias("_head")))
     down = Window.partitionBy("_range").orderBy("_head", F.col("doc_id").desc_nulls_last(), "text")
     d = d.withColumn("_pos", F.row_number().over(down)).withColumn("next_text", F.lead("text").over(down)).where("_head = 0")
     return d.select("_range", "_pos", "doc_id", "text", "next_text")
