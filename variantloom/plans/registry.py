@@ -19,7 +19,7 @@ def add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | N
 def _register() -> None:
     from importlib import import_module
 
-    for module in ("stats_queries", "filter_queries", "table_queries"):
+    for module in ("stats_queries", "filter_queries", "table_queries", "more_queries"):
         import_module(f"{__package__}.{module}")
 
 
