@@ -310,3 +310,33 @@ def test_get_by_name(spark, ds):
             get(d, n)
     before = spark.conf.get("spark.sql.shuffle.partitions")
     assert set_workers(spark, int(before)) == int(before) and workers(spark) >= 1 and block_size(100, 4) == 9
+
+
+def test_genotype_texts(spark, ds):
+    a = {r["variant_index"]: r["gs"] for r in ds.coded().variants.select("variant_index", "gs").collect()}
+    b = {r["variant_index"]: r["gs"] for r in ds.dense().coded().variants.select("variant_index", "gs").collect()}
+    assert a == b and {len(x) for x in a.values()} == {2 * ds.n_samples}
+    some = ds.filtered(samples=ds.samples.where("sample_index in (2, 5)"))
+    cut = ds.coded().filtered(samples=ds.samples.where("sample_index in (2, 5)"))
+    assert values(cut.variants, "variant_index", "gs") == values(some.coded().variants, "variant_index", "gs")
+    assert values(some.coded().variants, "variant_index", "gs") == values(some.dense().coded().variants, "variant_index", "gs")
+    v = spark.createDataFrame([(1, "A", [0, 11, None, 61])], "variant_index int, allele string, gt array<int>")
+    d = VariantDataset(v, spark.createDataFrame([(1, "a"), (2, "b")], "sample_index int, sample_id string")).coded()
+    assert d.variants.first()["gs"] == "0B.z"
+    assert S.coded_counts(d, F.lit(11)).first()["n_allele"] == 1
+
+
+def test_operators_on_a_vcf_dataset(spark, ds, tmp_path):
+    p = tmp_path / "a.vcf"
+    p.write_text(VCF)
+    d = vcf.read_vcf(spark, str(p))
+    assert values(S.allele_freq(d), "variant_index", "af") == {1: 0.5, 2: pytest.approx(1 / 3), 3: pytest.approx(2 / 3)}
+    assert values(S.missing_per_sample(d), "sample_index", "missing") == {1: 0.0, 2: pytest.approx(4 / 6)}
+    assert [r["counts"] for r in S.all_allele_counts(d).orderBy("variant_index").collect()] == [[1, 1], [1, 1, 1], [2]]
+    arrays = ds.dense().with_(calls=None)
+    key = lambda r: (r["variant_index"], r["sample_index"], r["a1"], r["a2"])
+    plain = lambda df: sorted(map(repr, map(key, df.where("a1 is null or a2 is null or a1 <> 0 or a2 <> 0").collect())))
+    assert plain(arrays.selected_calls) == plain(ds.calls)
+    assert values(S.missing_per_sample(arrays), "sample_index", "missing") == values(S.missing_per_sample(ds), "sample_index", "missing")
+    few = arrays.filtered(samples=ds.samples.where("sample_index in (3, 8)"))
+    assert plain(few.selected_calls) == plain(ds.calls.where("sample_index in (3, 8)"))

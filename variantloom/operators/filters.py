@@ -246,7 +246,7 @@ def condition(maf: Sequence | float | None = None, mac: Sequence | float | None
 
 def by_condition(ds: VariantDataset, maf=None, mac=1, missing_rate=None, dense: bool = False) -> VariantDataset:
     """Variants of the selection by frequency, count and missing rate; the default drops those without variation."""
-    n = (S.dense_counts if dense else S.call_counts)(ds).where(condition(maf, mac, missing_rate))
+    n = (S.dense_counts if dense else S.counts)(ds).where(condition(maf, mac, missing_rate))
     return ds.filtered(variants=n.drop("n_total", "n_missing", "n_allele"))
 
 

@@ -46,6 +46,22 @@ def dense_counts(ds: VariantDataset, index: Column | None = None) -> DataFrame:
     return v.withColumn("n_allele", F.when(F.col("_k").isNotNull(), F.size(F.filter("gt", lambda x: x == F.col("_k"))).cast("long"))).drop("_k")
 
 
+def coded_counts(ds: VariantDataset, index: Column | None = None) -> DataFrame:
+    """The same counts from the genotype texts: bytes that are left when a code is taken out."""
+    from ..dataset import allele_code
+
+    k = (F.lit(0) if index is None else index).cast("int")
+    without = lambda code: F.octet_length("gs") - F.octet_length(F.replace(F.col("gs"), code, F.lit("")))
+    v = ds.variants.withColumn("n_total", F.octet_length("gs").cast("long")).withColumn("n_missing", without(F.lit(".")).cast("long"))
+    return v.withColumn("n_allele", F.when(k.isNotNull(), without(F.lit("0") if index is None else allele_code(k))).cast("long"))
+
+
+def counts(ds: VariantDataset, index: Column | None = None) -> DataFrame:
+    """Counts from the form that the dataset has: calls, else texts, else arrays."""
+    form = call_counts if ds.calls is not None else coded_counts if "gs" in ds.variants.columns else dense_counts
+    return form(ds, index)
+
+
 def frequency(minor: bool = False) -> Column:
     """n_allele over the alleles that are not missing; folded to the minor side if asked for."""
     af = F.try_divide(F.col("n_allele").cast("double"), (F.col("n_total") - F.col("n_missing")).cast("double"))
@@ -76,23 +92,23 @@ def reference_index(ref_allele, allele: Column | None = None) -> Column | None:
 
 def allele_freq(ds: VariantDataset, ref_allele: int | Column = 0, minor: bool = False, dense: bool = False) -> DataFrame:
     """(variant_index, af)."""
-    n = (dense_counts if dense else call_counts)(ds, reference_index(ref_allele))
+    n = (dense_counts if dense else counts)(ds, reference_index(ref_allele))
     return n.select("variant_index", frequency(minor).alias("af"))
 
 
 def allele_freq_of(ds: VariantDataset, wanted: Column, minor: bool = False) -> DataFrame:
     """(variant_index, af) of the allele that a string column over variants names."""
-    return call_counts(ds, C.allele_index(F.col("allele"), wanted)).select("variant_index", frequency(minor).alias("af"))
+    return counts(ds, C.allele_index(F.col("allele"), wanted)).select("variant_index", frequency(minor).alias("af"))
 
 
 def allele_count(ds: VariantDataset, ref_allele: int | Column = 0, minor: bool = False, dense: bool = False) -> DataFrame:
     """(variant_index, ac)."""
-    n = (dense_counts if dense else call_counts)(ds, reference_index(ref_allele))
+    n = (dense_counts if dense else counts)(ds, reference_index(ref_allele))
     return n.select("variant_index", count(minor).alias("ac"))
 
 
 def allele_count_of(ds: VariantDataset, wanted: Column, minor: bool = False) -> DataFrame:
-    return call_counts(ds, C.allele_index(F.col("allele"), wanted)).select("variant_index", count(minor).alias("ac"))
+    return counts(ds, C.allele_index(F.col("allele"), wanted)).select("variant_index", count(minor).alias("ac"))
 
 
 def all_allele_counts(ds: VariantDataset) -> DataFrame:
@@ -117,7 +133,7 @@ def all_allele_freqs(ds: VariantDataset) -> DataFrame:
 
 
 def missing_per_variant(ds: VariantDataset, dense: bool = False) -> DataFrame:
-    return (dense_counts if dense else call_counts)(ds).select("variant_index", missing_rate().alias("missing"))
+    return (dense_counts if dense else counts)(ds).select("variant_index", missing_rate().alias("missing"))
 
 
 def missing_per_sample(ds: VariantDataset) -> DataFrame:
@@ -179,12 +195,12 @@ def dosage_matrix_freq(dosages: Column, ploidy: int = 2, alt_index: int = 0, m:
     return F.try_divide(total(one), F.size(finite(one)) * F.lit(float(ploidy)))
 
 
-def af_ac_missing(ds: VariantDataset, minor: bool = False, alt: bool = False, ns: bool = False, dense: bool = False) -> DataFrame:
+def af_ac_missing(ds: VariantDataset, minor: bool = False, alt: bool = False, ns: bool = False, dense: bool = False, coded: bool = False) -> DataFrame:
     """(variant_index, af, ac, miss[, ns]) in one pass; ``alt`` turns to the other alleles before ``minor`` folds.
 
     ns, the samples with a genotype, is rounded half to even.
     """
-    n = (dense_counts if dense else call_counts)(ds)
+    n = (coded_counts if coded else dense_counts if dense else counts)(ds)
     if alt:
         n = n.withColumn("n_allele", F.col("n_total") - F.col("n_missing") - F.col("n_allele"))
     cols = [frequency(minor).alias("af"), count(minor).alias("ac"), missing_rate().alias("miss")]

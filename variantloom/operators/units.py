@@ -88,7 +88,7 @@ def set_diff(a: DataFrame, b: DataFrame, key: Iterable[str] = ("chromosome", "st
 
 def filter_condition(ds: VariantDataset, units: DataFrame, maf=None, mac=1, missing_rate=None, minsize: int = 1) -> DataFrame:
     """Units with only the members that meet the condition, without units smaller than minsize; each variant is counted once."""
-    good = S.call_counts(ds).where(condition(maf, mac, missing_rate)).select("variant_index")
+    good = S.counts(ds).where(condition(maf, mac, missing_rate)).select("variant_index")
     keys = [c for c in units.columns if c != "index"]
     kept = units.select(*keys, F.explode("index").alias("variant_index")).join(good, "variant_index", "left_semi")
     return kept.groupBy(*keys).agg(F.array_sort(F.collect_list("variant_index")).alias("index")).where(F.size("index") >= minsize)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import stats as S
 from ..sources.fixture import CUBE, cube_table, load
-from .registry import add
+from .registry import ORACLE_SQL, add
 
 COUNTS = """,
 n AS (SELECT CAST(COUNT(*) AS BIGINT) AS ns FROM samples),
@@ -117,5 +117,7 @@ add("a12_dosage_count_ref", lambda s, d: S.ds_allele_count(load(s, d)), CUBE + _
 add("a12_dosage_count_alt", lambda s, d: S.ds_allele_count(load(s, d), 1), CUBE + _DS + "SELECT variant_index, CASE WHEN num > 0 THEN s END AS ac FROM q")
 add("af_ac_missing", lambda s, d: S.af_ac_missing(load(s, d)), CUBE + COUNTS + f"SELECT variant_index, {AF0} AS af, CASE WHEN tot > nm THEN n0 END AS ac, {MISS} AS miss FROM k")
 add("a13_af_ac_missing_dense", lambda s, d: S.af_ac_missing(load(s, d).dense(), dense=True), CUBE + COUNTS + f"SELECT variant_index, {AF0} AS af, CASE WHEN tot > nm THEN n0 END AS ac, {MISS} AS miss FROM k")
+add("a13_af_ac_missing_coded", lambda s, d: S.af_ac_missing(load(s, d).coded(), coded=True), ORACLE_SQL["af_ac_missing"])
+add("a7_allele_freq_index1_coded", lambda s, d: S.coded_counts(load(s, d).coded(), S.reference_index(1)).select("variant_index", S.frequency().alias("af")), ORACLE_SQL["a7_allele_freq_index1"])
 _AFA = "CAST(tot - nm - n0 AS DOUBLE) / NULLIF(CAST(tot - nm AS DOUBLE), 0e0)"
 add("a13_af_ac_missing_alt_minor_ns", lambda s, d: S.af_ac_missing(load(s, d), minor=True, alt=True, ns=True), CUBE + COUNTS + f", ns0 AS (SELECT CAST(COUNT(*) AS DOUBLE) AS m FROM samples) SELECT variant_index, {fold(_AFA)} AS af, CASE WHEN tot > nm THEN least(n0, tot - nm - n0) END AS ac, {MISS} AS miss, CAST(round_even(m * (1 - {MISS}), 0) AS BIGINT) AS ns FROM k CROSS JOIN ns0")
