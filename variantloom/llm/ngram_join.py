@@ -111,7 +111,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64)))
 
 
-def _signed(mapper_size: int, num: int, den: int):
+def _signed(size: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Classes(num, den)
         for batch in batches:
@@ -125,7 +125,7 @@ def _signed(mapper_size: int, num: int, den: int):
                 return out
 
             held = 0
-            for row, s in sets_of(batch.column("text"), mapper_size):
+            for row, s in sets_of(batch.column("text"), size):
                 sizes.append(len(s))
                 with np.errstate(over="ignore"):
                     h1.append(np.sum(textkit.mix64(s), dtype=np.uint64))

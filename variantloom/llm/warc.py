@@ -36,8 +36,8 @@ from .common import fresh_path, materialize, small, table
 VERSION = b"WARC/1.1\r\n"
 #: Payloads shorter than this are written whole even if an earlier record holds the same bytes.
 MIN_REVISIT = 1000
-#: Bytes of payload in an archive, about.
-ARCHIVE_BYTES = 8 << 20
+#: Bytes of payload in an archive, at most about; small inputs make as many archives as shuffles have parts.
+ARCHIVE_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _VERSION_LINE = re.compile(rb"WARC/\d+\.\d+\r?\n")
@@ -263,7 +263,7 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT,
     p = p.join(small(same), ["digest", "n"], "left")
     revisit = F.coalesce(F.col("first") != F.col("page_id"), F.col("first").isNotNull())
     p = p.select("page_id", "url", "payload", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
-    n = max(1, -(-total // archive_bytes))
+    n = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // archive_bytes))
     # Rows are dealt by id and digest, so a task that is run again writes the same archive.
     p = p.repartition(n, F.xxhash64("page_id", "payload"))
     members = p.mapInArrow(_written, "member binary").select(F.col("member").cast("string").alias("member"))
