@@ -209,3 +209,48 @@ def _info_table(s, d):
 
 add("x12_fill", lambda s, d: X.append_fill(load(s, d).samples, "batch", 7).select("sample_index", "batch"), CUBE + "SELECT sample_index, 7 AS batch FROM samples")
 add("w2_units_of_positions", lambda s, d: W.create(s, [[3, 1, None], [9]]).select("unit_ix", F.size("index").alias("n")), _rows("(CAST(1 AS BIGINT), 2)", "(2, 1)") + "(unit_ix, n)")
+
+# Dosage input, exports and recipes.
+add("s11_major_reference", lambda s, d: _turned(s, d), CUBE + _DENSE + ", t AS (SELECT variant_index, SUM(CASE WHEN a1 IS NOT NULL AND a2 IS NOT NULL THEN (a1 = 0)::INT + (a2 = 0)::INT END) AS s, COUNT(*) FILTER (a1 IS NOT NULL AND a2 IS NOT NULL) AS n FROM g GROUP BY variant_index) SELECT v.variant_index, CASE WHEN COALESCE(s, 0) < n THEN 'B,A' ELSE 'A,B' END AS allele FROM variants v JOIN t ON t.variant_index = v.variant_index")
+
+
+def _turned(s, d):
+    from ..sources import plink
+
+    ds = load(s, d)
+    rows = plink.to_dosages(ds).withColumn("allele", F.lit("A/B"))
+    return plink.from_dosages(rows, ds.samples).variants.select("variant_index", "allele")
+
+
+add("s11_real_dosages", lambda s, d: _real(s, d), CUBE + _DENSE + "SELECT variant_index, SUM(CASE WHEN ds BETWEEN 0 AND 2 THEN 2 - ds END) AS total, COUNT(*) FILTER (ds BETWEEN 0 AND 2) AS n FROM g GROUP BY variant_index")
+
+
+def _real(s, d):
+    from ..sources import plink
+
+    v = load(s, d).dense().variants.select("variant_index", plink.real_dosages(F.col("ds"), F.lit(False)).alias("x"))
+    kept = F.filter("x", lambda y: y.isNotNull())
+    return v.select("variant_index", F.when(F.size(kept) > 0, F.aggregate(kept, F.lit(0.0), lambda a, y: a + y)).alias("total"), F.size(kept).cast("long").alias("n"))
+
+
+add("k8_export", lambda s, d: _exported(s, d), CUBE + "SELECT variant_index, ac FROM variants WHERE num_allele = 2")
+
+
+def _exported(s, d):
+    path = _path(s, "store")
+    store.export(L.by_flag(load(s, d), F.col("num_allele") == 2).with_(calls=None), path, info=["ac"], samp=["sex"])
+    return store.open_store(s, path).variants.select("variant_index", "ac")
+
+
+add("r1_frequency_three_ways", lambda s, d: _ways(s, d), CUBE + COUNTS + f"SELECT variant_index, {AF0} AS calls, {AF0} AS arrays, {AF0} AS texts FROM k")
+
+
+def _ways(s, d):
+    ds = load(s, d)
+    a = S.allele_freq(ds).withColumnRenamed("af", "calls")
+    b = S.allele_freq(ds.dense(), dense=True).withColumnRenamed("af", "arrays")
+    c = S.coded_counts(ds.coded()).select("variant_index", S.frequency().alias("texts"))
+    return a.join(b, "variant_index").join(c, "variant_index")
+
+
+add("r2_missing_rates", lambda s, d: S.missing_both(L.by_chromosome(load(s, d), ["6"])).where("axis = 'variant'").select("ix", "missing"), CUBE + COUNTS + "SELECT variant_index AS ix, CAST(nm AS DOUBLE) / CAST(tot AS DOUBLE) AS missing FROM k WHERE chromosome = '6'")
