@@ -51,9 +51,11 @@ def coded_counts(ds: VariantDataset, index: Column | None = None) -> DataFrame:
     from ..dataset import allele_code
 
     k = (F.lit(0) if index is None else index).cast("int")
-    without = lambda code: F.octet_length("gs") - F.octet_length(F.replace(F.col("gs"), code, F.lit("")))
+    without = lambda code, text="gs": F.octet_length("gs") - F.octet_length(F.replace(text, code, F.lit("")))
+    # Most codes are 0: runs of eight are taken out first, which leaves few single steps.
+    zeros = without(F.lit("0"), F.replace(F.col("gs"), F.lit("0" * 8), F.lit("")))
     v = ds.variants.withColumn("n_total", F.octet_length("gs").cast("long")).withColumn("n_missing", without(F.lit(".")).cast("long"))
-    return v.withColumn("n_allele", F.when(k.isNotNull(), without(F.lit("0") if index is None else allele_code(k))).cast("long"))
+    return v.withColumn("n_allele", F.when(k.isNotNull(), zeros if index is None else without(allele_code(k))).cast("long"))
 
 
 def counts(ds: VariantDataset, index: Column | None = None) -> DataFrame:
