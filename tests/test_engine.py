@@ -340,3 +340,12 @@ def test_operators_on_a_vcf_dataset(spark, ds, tmp_path):
     assert values(S.missing_per_sample(arrays), "sample_index", "missing") == values(S.missing_per_sample(ds), "sample_index", "missing")
     few = arrays.filtered(samples=ds.samples.where("sample_index in (3, 8)"))
     assert plain(few.selected_calls) == plain(ds.calls.where("sample_index in (3, 8)"))
+
+
+@pytest.mark.parametrize("module", ["stats_queries", "filter_queries", "table_queries", "more_queries", "registry"])
+def test_query_modules_import_alone(module):
+    """As a Python worker imports them."""
+    import subprocess
+    import sys
+
+    subprocess.run([sys.executable, "-c", f"import variantloom.plans.{module}"], check=True, cwd=str(__import__("pathlib").Path(__file__).parents[1]))

@@ -8,7 +8,7 @@ from ..operators import filters as L
 from ..operators import stats as S
 from ..operators import units as U
 from ..sources.fixture import CUBE, load
-from .registry import add
+from .base import add
 from .stats_queries import AF0, COUNTS, MISS, fold
 
 _V = "SELECT variant_index, variant_id FROM variants"
@@ -29,7 +29,7 @@ add("f1_filter_both", lambda s, d: S.allele_freq(L.by_sample_id(L.by_flag(load(s
 add("f2_samples_by_id", lambda s, d: L.by_sample_id(load(s, d), ["Supplier#000000001", "Supplier#000000003", None, "none"]).samples.select("sample_index", "sample_id"), CUBE + "SELECT sample_index, sample_id FROM samples WHERE sample_id IN ('Supplier#000000001', 'Supplier#000000003')")
 add("f3_samples_by_index", lambda s, d: L.by_index(load(s, d), [3, 1, 3, None], "sample").samples.select("sample_index", "sample_id"), CUBE + "SELECT sample_index, sample_id FROM samples WHERE sample_index IN (1, 3)")
 add("f4_variants_by_id", lambda s, d: _v(L.by_variant_id(load(s, d), s.read.parquet(f"{d}/orders.parquet").select((F.col("o_orderkey") + 1).alias("i")).where("i % 3 = 0"))), CUBE + _V + " WHERE variant_id IN (SELECT o_orderkey + 1 FROM orders WHERE (o_orderkey + 1) % 3 = 0)")
-add("f5_variants_by_flag", lambda s, d: _v(L.by_flag(load(s, d), F.col("qual") > 60)), CUBE + _V + " WHERE qual > 60")
+add("f5_variants_by_flag", lambda s, d: _v(L.by_flag(load(s, d), F.col("qual") > 56.5)), CUBE + _V + " WHERE qual > 56.5e0")
 add("f5_variants_by_index", lambda s, d: _v(L.by_index(load(s, d), [2, 5, 5, 7])), CUBE + _V + " WHERE variant_index IN (2, 5, 7)")
 add("f6_intersect_index", lambda s, d: _v(L.by_index(L.by_flag(load(s, d), F.col("num_allele") > 2), range(1, 12), intersect=True)), CUBE + ", r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY variant_index) AS n FROM variants WHERE num_allele > 2) SELECT variant_index, variant_id FROM r WHERE n <= 11")
 

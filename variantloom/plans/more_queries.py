@@ -16,7 +16,7 @@ from ..operators.get import get
 from ..session import block_size
 from ..sources import store, vcf
 from ..sources.fixture import CUBE, load
-from .registry import add
+from .base import add
 from .stats_queries import _ALT, _DENSE, AF0, AF1, COUNTS
 from .table_queries import _path, _sides
 

@@ -1,26 +1,11 @@
-"""The queries of the engine by name, and their DuckDB equivalents."""
-
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+"""The queries of the engine by name, and their DuckDB equivalents.
 
+Workers import single query modules, so these take their registry from ``base`` and never from here.
+"""
 
-def add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
-    QUERIES[name] = query
-    if sql:
-        ORACLE_SQL[name] = sql
-
-
-def _register() -> None:
-    from importlib import import_module
-
-    for module in ("stats_queries", "filter_queries", "table_queries", "more_queries"):
-        import_module(f"{__package__}.{module}")
+from __future__ import annotations
 
+from . import filter_queries, more_queries, stats_queries, table_queries
+from .base import ORACLE_SQL, QUERIES
 
-_register()
+__all__ = ["ORACLE_SQL", "QUERIES", "filter_queries", "more_queries", "stats_queries", "table_queries"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import stats as S
 from ..sources.fixture import CUBE, cube_table, load
-from .registry import ORACLE_SQL, add
+from .base import ORACLE_SQL, add
 
 COUNTS = """,
 n AS (SELECT CAST(COUNT(*) AS BIGINT) AS ns FROM samples),

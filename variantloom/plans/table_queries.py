@@ -19,7 +19,7 @@ from ..operators import stats as S
 from ..operators import summary as Y
 from ..sources import plink, store, vcf
 from ..sources.fixture import CUBE, load
-from .registry import add
+from .base import add
 from .stats_queries import _ALT, _DENSE, AF0, COUNTS
 
 
