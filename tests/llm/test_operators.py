@@ -265,6 +265,18 @@ def test_packing(spark, odd):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_tails_of_copies_are_kept_apart(spark):
+    """Copies over the capacity: their tails, and the rows of one document, share no bin; tails of other documents do."""
+    rows = [(i, " ".join(f"c{c}w{k}" for k in range(125)), f"s{i}") for c, ids in enumerate(((1, 2, 2), (3, 4, 4))) for i in ids]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), capacity=100, shard_rows=100, seed=1).collect()
+    assert len(got) == 12 and sum(r["size"] for r in got) == 6 * 125
+    bins = defaultdict(list)
+    for r in got:
+        bins[r["bin_id"]].append((r["doc_id"] > 2, r["piece"]))
+    assert all(len({c for c, _ in b}) == len(b) for b in bins.values())
+    assert sum(len(b) == 2 for b in bins.values()) == 3
+
+
 # 5 ---------------------------------------------------------------------------------------------
 
 

@@ -85,8 +85,8 @@ def pack_shard(rows: list[tuple], capacity: int, per_source: int) -> Iterator[tu
     packer = Packer(capacity, per_source)
     for r, k, n, size in sorted(pieces, key=key):
         _, _, source, cluster = rows[r]
-        # Pieces of one document are not copies of each other: each after the first conflicts with nothing but full bins.
-        b, offset = packer.place(size, source, cluster if k == 0 else None)
+        # Every piece carries the cluster. Pieces of one document are not kept apart by it: all but the last fill a bin each.
+        b, offset = packer.place(size, source, cluster)
         yield r, k, n, size, b, offset
 
 
