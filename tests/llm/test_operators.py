@@ -127,6 +127,12 @@ def test_fingerprints_on_odd_tables(spark, odd, tmp_path):
     assert len({r["fingerprint"] for r in got if r["doc_id"] in (1, 6, None)}) == 1
 
 
+def test_fingerprints_keep_64_samples(spark, odd):
+    """Likenesses rest on at least 64 draws: a standard error of 1/16 at most."""
+    d = odd.select(F.lit(0).alias("_range"), F.monotonically_increasing_id().alias("_pos"), F.col("text").alias("a"), F.col("text").alias("b"))
+    assert {len(r["fingerprint"]) // fingerprints.DIGITS >= 64 for r in fingerprints.fingerprint_pairs(d).collect()} == {True}
+
+
 # 2 ---------------------------------------------------------------------------------------------
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 #: Samples of a fingerprint; the standard error of a likeness J is sqrt(J (1 - J) / SAMPLES).
-SAMPLES = 48
+SAMPLES = 64
 #: Samples that one generated piece of code makes.
 BLOCK = 8
 #: Hex digits of a sample in the fingerprint.
