@@ -158,6 +158,30 @@ def test_salvage(packed):
     assert covered == len(hurt)
 
 
+@pytest.mark.parametrize("level", [0, 6])
+def test_salvage_of_one_member(level):
+    parts = records()
+    ids = lambda data: [int(r.headers["warc-record-id"][10:-1]) for r in warc.salvage(data).records]
+    at = np.cumsum([0, *map(len, parts)])
+    # A damaged record in a sound member.
+    hurt = bytearray(b"".join(parts))
+    hurt[at[17] + len(parts[17]) - 6] ^= 0x5A
+    packed = warc.member(bytes(hurt), level)
+    assert ids(packed) == [i for i in range(40) if i != 17] and [g[:2] for g in warc.salvage(packed).gaps] == [(0, len(packed))]
+    whole = warc.member(b"".join(parts), level)
+    # A wrong CRC after sound content, and the end cut off, with another member behind each.
+    wrong = bytearray(whole)
+    wrong[-8] ^= 0x5A
+    other = warc.member(warc.page_record(99, "u", b"zz", "response", None))
+    assert ids(bytes(wrong) + other) == [*range(40), 99]
+    cut = ids(whole[: len(whole) * 2 // 3])
+    assert len(cut) > 10 and cut == list(range(len(cut))) and len(warc.salvage(whole[: len(whole) * 2 // 3]).gaps) == 1
+    if level == 0:
+        stored = bytearray(whole)
+        stored[whole.index(b"<urn:page:17>") + len(parts[17]) - 300] ^= 0x5A
+        assert len(ids(bytes(stored))) == len(set(ids(bytes(stored)))) >= 38
+
+
 def test_salvage_of_nothing():
     assert warc.salvage(b"").records == [] and warc.salvage(b"").gaps == []
     assert [g[:2] for g in warc.salvage(b"no archive at all").gaps] == [(0, 17)]

@@ -11,7 +11,8 @@ member's CRC, the version line, the header block, Content-Length, the payload's
 digest and the end of the record. After a failed check it searches for the next
 place where a valid record can begin, a gzip member's magic or a version line, and
 goes on there; what lies between is quarantined as a gap with its bytes' range and
-the reason.
+the reason. Inside a member the search is for the next version line, in what could be
+inflated of it.
 
 Defined cases: a null payload is the empty payload; equal and null ids are written
 one by one; an empty table makes no archives and reads as no records; payloads may
@@ -132,8 +133,21 @@ def parse(data: bytes, at: int, compressed: bool) -> tuple[Record | None, int, s
     return record, end + 4, ""
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes | None, int, str]:
-    """(content, end, "") of the gzip member at a place, CRC and size checked, or (None, at, reason)."""
+def _before_failure(data: bytes, at: int) -> tuple[bytes, int]:
+    """(content, place) up to where a broken gzip member can be inflated, in ever smaller steps."""
+    z, out, pos, step = zlib.decompressobj(31), [], at, 1 << 20
+    while step and pos < len(data):
+        kept = z.copy()
+        try:
+            out.append(z.decompress(data[pos : pos + step]))
+            pos += step
+        except zlib.error:
+            z, step = kept, step >> 4
+    return b"".join(out), min(pos, len(data))
+
+
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """(content, end, "") of the gzip member at a place, CRC and size checked, or (what came before the failure, its place, reason)."""
     z, out, pos, window = zlib.decompressobj(31), [], at, 1 << 13
     try:
         while not z.eof and pos < len(data):
@@ -141,15 +155,41 @@ def _inflate(data: bytes, at: int) -> tuple[bytes | None, int, str]:
             out.append(z.decompress(chunk))
             pos, window = pos + len(chunk), min(window * 2, 1 << 20)
     except zlib.error as e:
-        return None, at, f"member: {e}"
+        return *_before_failure(data, at), f"member: {e}"
     if not z.eof:
-        return None, at, "member is cut off"
+        return b"".join(out), len(data), "member is cut off"
     return b"".join(out), pos - len(z.unused_data), ""
 
 
+def _inside(content: bytes) -> tuple[list[Record], str]:
+    """The valid records of a member's content, and the first reason for which one was not."""
+    at, found, why = 0, [], ""
+    while at < len(content):
+        record, end, reason = parse(content, at, True)
+        if record is None:
+            why = why or reason
+            line = _VERSION_LINE.search(content, at + 1)
+            end = line.start() if line else len(content)
+        else:
+            found.append(record)
+        at = end
+    return found, why
+
+
+def _vouched(r: Record) -> bool:
+    """Whether a digest of its own was checked for a record."""
+    return r.headers.get("warc-block-digest", "").startswith("sha1:") or r.headers["warc-type"] != "revisit" and r.headers.get("warc-payload-digest", "").startswith("sha1:")
+
+
 def salvage(data: bytes) -> Salvage:
-    """All records of an archive that pass every check, and the gaps between them."""
+    """All records of an archive that pass every check, and the gaps between them.
+
+    Of a member that fails its CRC, the records whose own digests are right count, and of one that is cut off all whole
+    ones; a record that is all there is in its member needs that member's CRC. The gap of such a member overlaps them.
+    """
     out, at, bad, why, line = Salvage(), 0, None, "", -1
+    # Records of the last broken member and where it failed: stored blocks show the same records as plain ones.
+    broken, until = [], 0
 
     def fail(place: int, reason: str) -> None:
         nonlocal bad, why
@@ -165,29 +205,33 @@ def salvage(data: bytes) -> Salvage:
     while at < len(data):
         if data.startswith(_MAGIC, at):
             content, end, reason = _inflate(data, at)
-            if content is not None:
-                if not content:
-                    good(at)
-                    at = end
-                    continue
-                inside, found, inner = 0, [], ""
-                while inside < len(content):
-                    record, inside, inner = parse(content, inside, True)
-                    if record is None:
-                        break
-                    found.append(record)
-                for r in found:
-                    r.offset, r.end = at, end
-                if found:
-                    good(at)
-                    out.records += found
+            if not content and not reason:
+                good(at)
+                at = end
+                continue
+            found, inner = _inside(content)
+            if reason and len(found) == 1 and len(content) == found[0].end - found[0].offset:
+                found = []
+            if reason.startswith("member:"):
+                found = [r for r in found if _vouched(r)]
+            for r in found:
+                r.offset, r.end = at, end
+            if found:
+                good(at)
+                out.records += found
+            if not reason:
                 if inner:
                     fail(at, inner)
                     good(end)
                 at = end
                 continue
+            if found:
+                broken, until = found, end
         elif _VERSION_LINE.match(data, at):
             record, end, reason = parse(data, at, False)
+            if record is not None and at < until and any((r.headers, r.block) == (record.headers, record.block) for r in broken):
+                at = end
+                continue
             if record is not None:
                 good(at)
                 out.records.append(record)
