@@ -108,6 +108,16 @@ def test_position_cases(spark):
         L.by_positions(d, q.drop("alt"))
 
 
+def test_position_queries_over_all_orders(spark):
+    from variantloom.plans import registry
+
+    orders = {r[0] for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey").collect()}
+    assert len([k for k in orders if k >= 500]) > 0
+    for name in ("j1_position_matches_all", "f12_position_index_all", "f8_request_index_all"):
+        got = registry.QUERIES[name](spark, SF)
+        assert {r[0] for r in got.select("request_ix" if name.startswith("f8") else "query_ix").collect()} == orders
+
+
 def test_windows(spark):
     v = spark.createDataFrame([(i + 1, "1", p) for i, p in enumerate([1, 4999, 5000, 7500, 20000])], "variant_index int, chromosome string, position int")
     got = [(r["start"], r["index"]) for r in W.sliding_windows(v).orderBy("start").collect()]
