@@ -274,6 +274,21 @@ def test_gram_against_numpy(ds):
     assert np.allclose(G.gram(d), want)
 
 
+def test_components_of_the_whole_cube(spark, ds):
+    from variantloom.plans import registry
+
+    got = {(r["sample"], r["component"]): r for r in registry.QUERIES["r3_components"](spark, SF).collect()}
+    values, vectors = G.principal_components(ds, 2)
+    assert len(got) == 2 * ds.samples.count() == 2 * len(vectors)
+    assert np.allclose([got[1, k]["eigenvalue"] for k in (1, 2)], values)
+
+
+def test_sample_major_over_all_samples(spark, ds):
+    from variantloom.plans import registry
+
+    assert registry.QUERIES["x10_sample_major_all"](spark, SF).count() == ds.selected_calls.select("sample_index").distinct().count()
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.vcf").write_text(VCF)

@@ -169,10 +169,14 @@ add("x9_delete", lambda s, d: X.delete(load(s, d), info=["aa"], samp=["sex"]).va
 add("x10_sample_major", lambda s, d: _sample_major(s, d), CUBE + "SELECT sample_index, COUNT(*) AS n, CAST(SUM(dp) AS BIGINT) AS dp FROM calls WHERE sample_index IN (2, 7) GROUP BY sample_index")
 
 
-def _sample_major(s, d):
+# The same over all samples.
+add("x10_sample_major_all", lambda s, d: _sample_major(s, d, "true"), CUBE + "SELECT sample_index, COUNT(*) AS n, CAST(SUM(dp) AS BIGINT) AS dp FROM calls GROUP BY sample_index")
+
+
+def _sample_major(s, d, some="sample_index in (2, 7)"):
     path = _path(s, "by-sample")
     X.sample_major(load(s, d), path, 8)
-    return s.read.parquet(path).where("sample_index in (2, 7)").groupBy("sample_index").agg(F.count(F.lit(1)).alias("n"), F.sum("dp").alias("dp"))
+    return s.read.parquet(path).where(some).groupBy("sample_index").agg(F.count(F.lit(1)).alias("n"), F.sum("dp").alias("dp"))
 
 
 # Matrices.
@@ -245,9 +249,13 @@ add("r5_genotype_table", lambda s, d: B.genotype_table(load(s, d)), CUBE + _DENS
 add("r6_rare_flagged", lambda s, d: _rare(s, d), CUBE + COUNTS + f"SELECT variant_index, {AF0} AS af FROM k WHERE variant_index % 3 = 0 AND {AF0} < 0.9e0")
 
 
-def _rare(s, d):
+# Flagged by a column of the variants.
+add("r6_rare_passed", lambda s, d: _rare(s, d, "filter = 'PASS'"), CUBE + COUNTS + f"SELECT k.variant_index, {AF0} AS af FROM k JOIN variants v ON v.variant_index = k.variant_index WHERE v.filter = 'PASS' AND {AF0} < 0.9e0")
+
+
+def _rare(s, d, flag="variant_index % 3 = 0"):
     ds = load(s, d)
-    flagged = ds.variants.where("variant_index % 3 = 0").select("variant_index")
+    flagged = ds.variants.where(flag).select("variant_index")
     return S.allele_freq(ds.filtered(variants=ds.variants.join(flagged, "variant_index", "left_semi"))).where("af < 0.9")
 
 
@@ -256,6 +264,5 @@ add("r3_components", lambda s, d: _pca(s, d))
 
 
 def _pca(s, d):
-    ds = L.by_chromosome(load(s, d), ["1", "2"])
-    values, vectors = G.principal_components(ds.filtered(samples=ds.samples.where("sample_index <= 100")), 2)
+    values, vectors = G.principal_components(load(s, d), 2)
     return s.createDataFrame([(i + 1, k + 1, float(values[k]), float(vectors[i, k])) for i in range(len(vectors)) for k in range(len(values))], "sample int, component int, eigenvalue double, loading double")
