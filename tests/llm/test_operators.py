@@ -467,6 +467,23 @@ def test_vectors(spark):
     assert np.mean([got[i]["n_links"] == hit[i].sum() for i in got]) > 0.9
 
 
+@pytest.mark.parametrize(("norm", "n"), [(0.0, 2000), (0.7, 200_000), (0.8, 200_000), (0.95, 200_000)])
+def test_recall_with_a_common_direction(norm, n):
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.sqrt((v * v).sum(1))[:, None]
+    common = np.eye(64)[0]
+    x = unit(norm * common + np.sqrt(1 - norm**2) * unit(rng.normal(size=(3000, 64))))
+    off = rng.normal(size=x.shape)
+    off = unit(off - (off * x).sum(1)[:, None] * x)
+    y = 0.935 * x + np.sqrt(1 - 0.935**2) * off
+    # The other of a pair lies about as far from the mean.
+    near = np.abs((y - x) @ common) < 0.1
+    chunks, bits, centred = vector_dedup.centred_shape(x, n)
+    mean, projection = vector_dedup.fit_itq(x, -(-chunks * bits // 64))
+    a, b = (vector_dedup.codes(v[near], mean if centred else 0 * mean, projection, chunks, bits) for v in (x, y))
+    assert near.sum() > 1000 and (a == b).any(1).mean() >= 0.98
+
+
 def test_vector_edges(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(1, v, 1), (2, v, 1), (3, v, 2), (4, v, None), (5, None, 1), (6, [0.0] * 3, 1), (7, [1.0, None, 3.0], 1), (8, [float("nan"), 2.0, 3.0], 1), (9, [float("inf"), 2.0, 3.0], 1), (10, [1.0, 2.0], 1), (None, v, 1), (11, [], 1)]

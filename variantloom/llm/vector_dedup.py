@@ -9,9 +9,11 @@ multi-index Hamming tables and are reranked there with the original vectors by
 cosine in double precision. Each pair is counted in the first table it meets in.
 
 Number and width of the chunks follow from the number of vectors of the largest
-label and the threshold alone: a chunk has about log2(n) - 4 bits (8 to 20), and
-there are enough chunks that a pair at the threshold, whose bits differ with
-probability acos(cosine) / pi each, is missed with probability MISS at most.
+label, the threshold and the sample: a chunk has about log2(n) - 4 bits (8 to 20), and
+there are enough chunks that a pair at the threshold is missed with probability MISS at
+most, in the mean over the sample. Bits differ with probability angle / pi each, where
+the angle is that of the pair as seen from the mean. Where that takes over WIDEN times
+the chunks of a mean of zero, signs are taken without the mean, at the raw angle.
 
 A bucket over PART vectors is cut into parts by hash, and each pair of parts is
 compared by itself: no task holds more than two parts, none emits pairs. It
@@ -43,6 +45,8 @@ COSINE, FIT_ROWS, MISS = 0.93, 8000, 0.01
 #: Vectors in a part of a bucket.
 PART = 128
 ROUNDS = 30
+#: Chunks for the angles about the mean, at most, as a multiple of those for the raw angle.
+WIDEN = 8
 
 
 def table_shape(n: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int, int]:
@@ -52,6 +56,24 @@ def table_shape(n: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int
     return math.ceil(math.log(miss) / math.log(1 - meet)), bits
 
 
+def centred_shape(x: np.ndarray, n: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int, int, bool]:
+    """(chunks, bits in each, whether the mean is taken off) for n vectors like the unit vectors x.
+
+    Two vectors at the threshold are sqrt(2 - 2 cosine) apart, whatever is taken off both; at a distance r from the mean
+    that is an angle of 2 asin(gap / 2 r).
+    """
+    chunks, bits = table_shape(n, cosine, miss)
+    if len(x) < 2:
+        return chunks, bits, True
+    r = np.sqrt(((x - x.mean(0)) ** 2).sum(1))
+    half = np.minimum(math.sqrt(max(2 - 2 * cosine, 0)) / 2 / np.maximum(r, 1e-12), 1)
+    meet = (1 - 2 * np.arcsin(half) / math.pi) ** bits
+    for c in range(chunks, WIDEN * chunks + 1):
+        if ((1 - meet) ** c).mean() <= miss:
+            return c, bits, True
+    return chunks, bits, False
+
+
 def fit_itq(x: np.ndarray, rotations: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(mean, projections): of unit vectors x, ``rotations`` learned square projections side by side."""
     rng = np.random.default_rng(seed)
@@ -165,12 +187,14 @@ def vector_components(vectors: DataFrame, cosine: float = COSINE, miss: float =
     lengths = usable.groupBy(F.size("embedding").alias("dim"), "label").count().groupBy("dim").agg(F.max("count").alias("n")).where("dim > 0").collect()
     found = None
     for row in lengths:
-        dim, (chunks, bits) = row["dim"], table_shape(row["n"], cosine, miss)
+        dim = row["dim"]
         mine = usable.where(F.size("embedding") == dim)
         sample = mine.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(fit_rows).select("embedding").toArrow()
         _, x = _unit(sample.column("embedding").combine_chunks(), dim)
         x = x / np.sqrt((x * x).sum(1))[:, None] if len(x) else x
+        chunks, bits, centred = centred_shape(x, row["n"], cosine, miss)
         mean, projection = fit_itq(x, -(-chunks * bits // dim), seed)
+        mean = mean if centred else np.zeros(dim)
         coded = materialize(mine.select("vec_id", "embedding", "label").mapInArrow(_coded(dim, mean, projection, chunks, bits, kind), "vec_id long, label string, vec binary, code array<long>"), "itq-codes")
         buckets = coded.select("vec_id", "label", F.posexplode("code").alias("chunk", "bucket"))
         full = buckets.groupBy("label", "chunk", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / part).cast("int")).drop("n")
