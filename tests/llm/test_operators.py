@@ -633,3 +633,14 @@ def test_mix(spark, odd):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
     t = mixing.take(odd)
     assert t.columns == odd.columns
+
+
+def test_take_mixes_rows_without_an_id(spark):
+    rows = [(None if i % 2 else i, f"w{i} " * (5 + i % 7), "ab"[i % 3 == 0]) for i in range(120)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    t = mixing.take(d).collect()
+    words_of = defaultdict(int)
+    for r in t:
+        words_of[r["source"]] += len(r["text"].split())
+    target = {r["source"]: r["target"] for r in mixing.mix(d).collect()}
+    assert any(r["doc_id"] is None for r in t) and all(abs(words_of[s] - x) <= 3 * mixing.BLOCK_TOKENS for s, x in target.items())

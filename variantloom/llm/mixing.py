@@ -101,13 +101,15 @@ def take(docs: DataFrame, **parameters) -> DataFrame:
     """docs as the mix takes them: each document taken / size times, to the nearest whole number.
 
     Only the document at the end of a shard's quota is taken in part, so sources stay near their targets. Documents
-    without words have nothing to take, and those without an id cannot be named by the mix; both are left out. Rows
-    with one id are taken equally often.
+    without words have nothing to take and are left out. Rows with one id are taken equally often; rows without an id
+    get keys of their own, which are stored, so every use of them sees the same.
     """
-    docs = docs.where("doc_id is not null")
-    mixed = mix(docs.select("doc_id", "source", "text"), **parameters).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
+    named = docs.where("doc_id is not null").withColumn("__row", F.col("doc_id").cast("string"))
+    nameless = docs.where("doc_id is null").withColumn("__row", F.concat(F.lit("null:"), F.monotonically_increasing_id().cast("string")))
+    rows = named.unionByName(materialize(nameless, "mix-nameless"))
+    mixed = mix(rows.select(F.col("__row").alias("doc_id"), "source", "text"), **parameters).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
     times = materialize(mixed.select(F.col("doc_id").alias("__taken"), F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size") + 0.5)).otherwise(0).cast("int").alias("__times")).where("__times > 0"), "mix-times")
-    out = docs.join(small(times), F.col("doc_id") == F.col("__taken"))
+    out = rows.join(small(times), F.col("__row") == F.col("__taken"))
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
 
