@@ -12,11 +12,13 @@ digest and the end of the record. After a failed check it searches for the next
 place where a valid record can begin, a gzip member's magic or a version line, and
 goes on there; what lies between is quarantined as a gap with its bytes' range and
 the reason. Inside a member the search is for the next version line, in what could be
-inflated of it.
+inflated of it. Members are inflated and parsed piece by piece, so a worker holds an
+archive's bytes, one record and one batch of results.
 
 Defined cases: a null payload is the empty payload; equal and null ids are written
 one by one; an empty table makes no archives and reads as no records; payloads may
-hold any bytes, version lines included (they are passed over by Content-Length).
+hold any bytes, version lines included (they are passed over by Content-Length), and
+be as long as a row can be; other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -42,7 +44,14 @@ ARCHIVE_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _VERSION_LINE = re.compile(rb"WARC/\d+\.\d+\r?\n")
-_MAGIC = b"\x1f\x8b\x08"
+_MAGIC = re.compile(rb"\x1f\x8b\x08")
+_BLANK = re.compile(rb"\r\n\r\n")
+#: Why parse() fails where the record may go on behind the data that there is.
+SHORT = "record is cut off"
+#: Inflated bytes that are taken at a time, at most; bytes that a version line may need.
+_PIECE, _LINE = 1 << 20, 16
+#: Bytes of members, payloads or gaps in one batch that a worker gives back, about.
+BATCH_BYTES = 4 << 20
 _EMPTY = zlib.compressobj(9, zlib.DEFLATED, 31).flush()
 
 
@@ -96,17 +105,18 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, kind: str,
     return encode([*head, ("WARC-Block-Digest", sha1_label(block))], block)
 
 
-def parse(data: bytes, at: int, compressed: bool) -> tuple[Record | None, int, str]:
-    """(record, end, "") of the record at a place, or (None, at, reason)."""
+def parse(data, at: int, compressed: bool) -> tuple[Record | None, int, str]:
+    """(record, end, "") of the record at a place of any bytes-like object, or (None, at, reason)."""
     line = _VERSION_LINE.match(data, at)
     if not line:
         return None, at, "no version line"
-    stop = data.find(b"\r\n\r\n", line.end() - 2)
-    if stop < 0:
+    blank = _BLANK.search(data, line.end() - 2)
+    if not blank:
         return None, at, "header block does not end"
+    stop = blank.start()
     headers: dict[str, str] = {}
     last = ""
-    for raw in data[line.end() : stop].split(b"\r\n"):
+    for raw in bytes(data[line.end() : stop]).split(b"\r\n"):
         text = raw.decode("utf-8", "replace")
         if text[:1] in " \t" and last:
             headers[last] += " " + text.strip()
@@ -120,9 +130,9 @@ def parse(data: bytes, at: int, compressed: bool) -> tuple[Record | None, int, s
         return None, at, "no type or length"
     begin = stop + 4
     end = begin + int(headers["content-length"])
-    if data[end : end + 4] != b"\r\n\r\n":
-        return None, at, "record does not end where its length says"
-    block = data[begin:end]
+    if bytes(data[end : end + 4]) != b"\r\n\r\n":
+        return None, at, SHORT if end + 4 > len(data) else "record does not end where its length says"
+    block = bytes(data[begin:end])
     record = Record(at, end + 4, headers, block, compressed)
     want = headers.get("warc-block-digest", "")
     if want.startswith("sha1:") and want != sha1_label(block):
@@ -133,47 +143,84 @@ def parse(data: bytes, at: int, compressed: bool) -> tuple[Record | None, int, s
     return record, end + 4, ""
 
 
-def _before_failure(data: bytes, at: int) -> tuple[bytes, int]:
-    """(content, place) up to where a broken gzip member can be inflated, in ever smaller steps."""
-    z, out, pos, step = zlib.decompressobj(31), [], at, 1 << 20
-    while step and pos < len(data):
-        kept = z.copy()
-        try:
-            out.append(z.decompress(data[pos : pos + step]))
-            pos += step
-        except zlib.error:
-            z, step = kept, step >> 4
-    return b"".join(out), min(pos, len(data))
-
-
-def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
-    """(content, end, "") of the gzip member at a place, CRC and size checked, or (what came before the failure, its place, reason)."""
-    z, out, pos, window = zlib.decompressobj(31), [], at, 1 << 13
-    try:
-        while not z.eof and pos < len(data):
-            chunk = data[pos : pos + window]
-            out.append(z.decompress(chunk))
-            pos, window = pos + len(chunk), min(window * 2, 1 << 20)
-    except zlib.error as e:
-        return *_before_failure(data, at), f"member: {e}"
-    if not z.eof:
-        return b"".join(out), len(data), "member is cut off"
-    return b"".join(out), pos - len(z.unused_data), ""
-
-
-def _inside(content: bytes) -> tuple[list[Record], str]:
-    """The valid records of a member's content, and the first reason for which one was not."""
-    at, found, why = 0, [], ""
-    while at < len(content):
-        record, end, reason = parse(content, at, True)
-        if record is None:
-            why = why or reason
-            line = _VERSION_LINE.search(content, at + 1)
-            end = line.start() if line else len(content)
+class Member:
+    """The records of the gzip member at a place, inflated and parsed piece by piece.
+
+    Iterating gives the valid records; then ``end`` is where the member ends (or could no longer be inflated), ``reason``
+    says why it is not sound, if so, and ``inner`` why some of its content is no record. What was parsed is let go, so
+    the content that is held at once is that of one record. Of a member that is not sound, records count whose own
+    digests are right (of one that is only cut off, all whole ones), but not one that is all there is in it.
+    """
+
+    def __init__(self, data, at: int):
+        self.data, self.at, self.end, self.reason, self.inner = data, at, at, "", ""
+        self.size = self.found = 0
+
+    def _pieces(self) -> Iterator[bytes]:
+        z, pos, window, n = zlib.decompressobj(31), self.at, 1 << 13, len(self.data)
+        while not z.eof and pos < n:
+            kept, took = z.copy(), min(window, n - pos)
+            try:
+                piece = z.decompress(self.data[pos : pos + took], _PIECE)
+            except zlib.error as e:
+                # The bytes before the failure, in ever smaller steps from the state before this window.
+                z, step = kept, took >> 1
+                while step and pos < n:
+                    kept = z.copy()
+                    try:
+                        piece = z.decompress(self.data[pos : pos + step])
+                        pos += min(step, n - pos)
+                    except zlib.error:
+                        z, step, piece = kept, step >> 1, b""
+                    yield piece
+                self.end, self.reason = pos, f"member: {e}"
+                return
+            pos, window = pos + took - len(z.unconsumed_tail) - len(z.unused_data), min(window * 2, 1 << 18)
+            yield piece
+        self.end = pos
+        if not z.eof:
+            self.reason = "member is cut off"
+
+    def __iter__(self) -> Iterator[Record]:
+        buf, pieces, over, at, first, waiting = bytearray(), self._pieces(), False, 0, None, []
+        need = 0
+        while True:
+            while len(buf) - at < max(need, 1) and not over:
+                piece = next(pieces, None)
+                over = piece is None
+                if at > _PIECE or at == len(buf):
+                    del buf[:at]
+                    at = 0
+                buf += piece or b""
+                self.size += len(piece or b"")
+            if at >= len(buf):
+                break
+            record, end, why = parse(buf, at, True)
+            if record is None and not over and (why in (SHORT, "header block does not end") or len(buf) - at < _LINE):
+                need = max(2 * (len(buf) - at), _LINE)
+                continue
+            need = 0
+            if record is None:
+                self.inner = self.inner or why
+                line = _VERSION_LINE.search(buf, at + 1)
+                at = line.start() if line else max(at + 1, len(buf) - (0 if over else _LINE))
+                continue
+            at, self.found = end, self.found + 1
+            whole = end - record.offset
+            if self.found == 1:
+                first = (record, whole)
+                continue
+            if first:
+                waiting, first = [first[0]], None
+            waiting.append(record)
+            yield from (r for r in waiting if _vouched(r))
+            waiting = [r for r in waiting if not _vouched(r)]
+        if first and not (self.reason and self.size == first[1]):
+            waiting.append(first[0])
+        if not self.reason.startswith("member:"):
+            yield from waiting
         else:
-            found.append(record)
-        at = end
-    return found, why
+            yield from (r for r in waiting if _vouched(r))
 
 
 def _vouched(r: Record) -> bool:
@@ -181,72 +228,72 @@ def _vouched(r: Record) -> bool:
     return r.headers.get("warc-block-digest", "").startswith("sha1:") or r.headers["warc-type"] != "revisit" and r.headers.get("warc-payload-digest", "").startswith("sha1:")
 
 
-def salvage(data: bytes) -> Salvage:
-    """All records of an archive that pass every check, and the gaps between them.
+def _mark(r: Record) -> bytes:
+    return hashlib.sha1(repr(sorted(r.headers.items())).encode() + r.block).digest()
 
-    Of a member that fails its CRC, the records whose own digests are right count, and of one that is cut off all whole
-    ones; a record that is all there is in its member needs that member's CRC. The gap of such a member overlaps them.
-    """
-    out, at, bad, why, line = Salvage(), 0, None, "", -1
-    # Records of the last broken member and where it failed: stored blocks show the same records as plain ones.
-    broken, until = [], 0
 
-    def fail(place: int, reason: str) -> None:
-        nonlocal bad, why
-        if bad is None:
-            bad, why = place, reason
-
-    def good(upto: int) -> None:
-        nonlocal bad
-        if bad is not None:
-            out.gaps.append((bad, upto, why))
-            bad = None
-
-    while at < len(data):
-        if data.startswith(_MAGIC, at):
-            content, end, reason = _inflate(data, at)
-            if not content and not reason:
-                good(at)
-                at = end
-                continue
-            found, inner = _inside(content)
-            if reason and len(found) == 1 and len(content) == found[0].end - found[0].offset:
-                found = []
-            if reason.startswith("member:"):
-                found = [r for r in found if _vouched(r)]
-            for r in found:
-                r.offset, r.end = at, end
-            if found:
-                good(at)
-                out.records += found
-            if not reason:
-                if inner:
-                    fail(at, inner)
-                    good(end)
-                at = end
+def salvaged(data) -> Iterator[Record | tuple[int, int, str]]:
+    """The records of an archive that pass every check, and the gaps (begin, end, reason) between them, as they are found.
+
+    ``data`` is any bytes-like object; no copy is made of it, and no record is held after it was given out. The gap of a
+    member that is not sound overlaps the records that were recovered from it.
+    """
+    data = memoryview(data)
+    at, bad, why, line, n = 0, None, "", -1, len(data)
+    # Marks of the records of the last broken member and where it failed: stored blocks show the same records as plain ones.
+    broken, until = set(), 0
+    while at < n:
+        if _MAGIC.match(data, at):
+            one, marks = Member(data, at), set()
+            for r in one:
+                if bad is not None:
+                    yield bad, at, why
+                    bad = None
+                marks.add(_mark(r))
+                r.offset, r.end = at, one.end
+                yield r
+            if not one.reason:
+                if bad is not None:
+                    yield bad, at, why
+                    bad = None
+                if one.inner:
+                    yield at, one.end, one.inner
+                at = one.end
                 continue
-            if found:
-                broken, until = found, end
+            reason = one.reason
+            if marks:
+                broken, until = marks, one.end
         elif _VERSION_LINE.match(data, at):
             record, end, reason = parse(data, at, False)
-            if record is not None and at < until and any((r.headers, r.block) == (record.headers, record.block) for r in broken):
+            if record is not None and at < until and _mark(record) in broken:
                 at = end
                 continue
             if record is not None:
-                good(at)
-                out.records.append(record)
+                if bad is not None:
+                    yield bad, at, why
+                    bad = None
+                yield record
                 at = end
                 continue
         else:
             reason = "no member or version line"
-        fail(at, reason)
+        if bad is None:
+            bad, why = at, reason
         # The next place where a member or a record can begin.
         if line <= at:
-            found_line = _VERSION_LINE.search(data, at + 1)
-            line = found_line.start() if found_line else len(data)
-        magic = data.find(_MAGIC, at + 1, line + len(_MAGIC))
-        at = magic if magic >= 0 else line
-    good(len(data))
+            found = _VERSION_LINE.search(data, at + 1)
+            line = found.start() if found else n
+        magic = _MAGIC.search(data, at + 1, line + 3)
+        at = magic.start() if magic else line
+    if bad is not None:
+        yield bad, n, why
+
+
+def salvage(data: bytes) -> Salvage:
+    """salvaged() as two lists; a record of a member says the member's place."""
+    out = Salvage()
+    for x in salvaged(data):
+        (out.records if isinstance(x, Record) else out.gaps).append(x)
     return out
 
 
@@ -257,7 +304,7 @@ def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = member(page_record(page_id.as_py(), url.as_py(), payload.as_py(), kind.as_py(), ref.as_py()))
             out.append((m if m[-1] == 0 else m + _EMPTY)[:-1])
             held += len(m)
-            if held > 8 << 20:
+            if held > BATCH_BYTES:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
                 out, held = [], 0
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
@@ -267,24 +314,28 @@ def _reader(with_payload: bool):
     return lambda batches: _read(batches, with_payload)
 
 
+def _row(path: str, x: Record | tuple[int, int, str], data, with_payload: bool) -> tuple:
+    if not isinstance(x, Record):
+        a, b, why = x
+        return (path, a, b, why, *[None] * 6, bytes(data[a:b]) if with_payload else None)
+    h = x.headers
+    kind, size, label = h["warc-type"], h.get("warc-payload-length", ""), h.get("warc-payload-digest", "")
+    payload = None if kind == "revisit" else x.payload
+    hexed = base64.b32decode(label[5:]).hex() if re.fullmatch(r"sha1:[A-Z2-7]{32}", label) else hashlib.sha1(x.payload).hexdigest()
+    return (path, x.offset, x.end, None, kind, h.get("warc-record-id"), h.get("warc-refers-to"), h.get("warc-target-uri"), hexed, int(size) if payload is None and size.isdecimal() else len(x.payload), payload if with_payload else None)
+
+
 def _read(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.RecordBatch]:
     names = ["archive", "start", "stop", "fault", "record_type", "record_id", "refers_to", "target_uri", "payload_digest", "payload_bytes", "payload"]
     for batch in batches:
         for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
-            path, got = path.as_py(), salvage(content.as_py())
-            rows, held = [], 0
-            for r in got.records:
-                h = r.headers
-                kind, size = h["warc-type"], h.get("warc-payload-length", "")
-                payload = None if kind == "revisit" else r.payload
-                label = h.get("warc-payload-digest", "")
-                hexed = base64.b32decode(label[5:]).hex() if re.fullmatch(r"sha1:[A-Z2-7]{32}", label) else hashlib.sha1(r.payload).hexdigest()
-                rows.append((path, r.offset, r.end, None, kind, h.get("warc-record-id"), h.get("warc-refers-to"), h.get("warc-target-uri"), hexed, int(size) if payload is None and size.isdecimal() else len(r.payload), payload if with_payload else None))
-                held += len(r.block)
-                if held > 4 << 20:
+            data, path, rows, held = memoryview(content.as_buffer()), path.as_py(), [], 0
+            for x in salvaged(data):
+                rows.append(_row(path, x, data, with_payload))
+                held += 400 + len(rows[-1][-1] or b"")
+                if held > BATCH_BYTES:
                     yield _batch(rows, names)
                     rows, held = [], 0
-            rows += [(path, a, b, why, None, None, None, None, None, None, content.as_py()[a:b]) for a, b, why in got.gaps]
             yield _batch(rows, names)
 
 
@@ -317,7 +368,8 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT,
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """All records of the archives under a path, and the gaps between them (rows with a fault; payload: the bytes skipped).
 
-    Without payloads, records are checked all the same.
+    Without payloads, records are checked all the same. An archive is one cell of a table (2 GB at most, as Spark reads
+    whole files); beyond it a task holds one record's content and a batch of about BATCH_BYTES.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(_reader(with_payload), "archive string, start long, stop long, fault string, record_type string, record_id string, refers_to string, target_uri string, payload_digest string, payload_bytes long, payload binary")
