@@ -1,15 +1,16 @@
 """Operator 8: main text of web pages by minimum-cut labelling of blocks.
 
 A page is read into text blocks in page order, each with the chain of elements
-around it. A classifier of block features (element names and their class, id and
-role words, links, length, sentence marks) gives a cost for calling the block
-content and one for calling it boilerplate: these are the capacities of its edges
+around it. A logistic model of block features (element names and their class, id and
+role words, links, length, sentence marks), fitted in html_costs, gives log odds,
+the cost of calling the block the other thing: these are the capacities of its edges
 to the two terminals. Neighbouring blocks are joined by smoothness edges, stronger
 the more ancestors they share, and so are consecutive children of one container,
 however far apart. The minimum cut (max-flow by shortest augmenting paths) labels
 all blocks at once; the blocks on the content side are the text.
 
-Scripts, styles, templates, forms and hidden elements hold no text at all.
+Scripts, styles, templates and hidden elements hold no text at all, and forms none
+unless they hold half of the page's text or more (pages wrapped in a form).
 Character references are decoded, runs of white space in a block become one space,
 ``<br>`` is such white space, and blocks are joined by a blank line.
 
@@ -18,7 +19,9 @@ Defined cases:
 * null, empty and text-free pages give the empty text; a page without any markup is one block and is kept;
 * unclosed, misnested and cut-off tags are read as far as they go: a tag that never ends is text up to the end of page
   only if no name follows its ``<``;
-* repeated rows and equal or null ids are extracted one by one; an empty table gives an empty result.
+* pages of any length and depth are read whole, in time in proportion to their length;
+* repeated rows and equal or null ids are extracted one by one; an empty table gives an empty result; other columns of the
+  input are not looked at.
 """
 
 from __future__ import annotations
@@ -29,44 +32,52 @@ from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .html_costs import features, weights
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[^<]+|<", re.DOTALL)
-_ATTR = re.compile(r"([A-Za-z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+#: A quote opens a value only behind "=", as in the HTML standard; one that never ends is a character of a value without quotes.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))*+)(?:>|\Z)|[^<]+|<""", re.DOTALL)
+_ATTR = re.compile(r"""([^\s=/>"'][^\s=/>]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _SPACE = re.compile(r"\s+")
-_SENTENCE = re.compile(r"[.!?…](?:\s|$)")
 #: Elements whose content is raw text up to their end tag, and those that hold no reading text.
 RAW = frozenset("script style textarea xmp noembed noframes".split())
-SILENT = frozenset("script style textarea xmp noembed noframes noscript template head title svg math iframe object canvas select option button form input label datalist dialog audio video".split())
+SILENT = frozenset("script style textarea xmp noembed noframes noscript template head title svg math iframe object canvas select option button input label datalist dialog audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that an open p ends at, besides p itself.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 #: Containers that speak for or against content, with what they add to the cost difference (positive: content).
 CONTAINER = {"article": 6.0, "main": 4.0, "nav": -9.0, "footer": -9.0, "aside": -9.0, "header": -3.0, "menu": -9.0, "address": -2.0}
-LEAF = {"p": 1.0, "h1": 1.5, "h2": 1.0, "h3": 0.7, "h4": 0.5, "blockquote": 1.0, "pre": 1.0, "li": -0.2, "td": -0.3, "figcaption": 0.3, "dt": 0.0, "dd": 0.2}
 _BAD = re.compile(r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion|ted)?|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side|footer|header|masthead|copyright|comments?|disqus|replies|reply|respond|share|sharing|social|related|recommend(?:ed|ations)?|widget|tags?|pagination|pager|toolbar|skip|login|search)(?:$|[-_\s\d])", re.IGNORECASE)
 _GOOD = re.compile(r"(?:^|[-_\s])(?:article|post|entry|content|body|story|main|text|page-content)(?:$|[-_\s\d])", re.IGNORECASE)
 _ROLES = {"navigation": -9.0, "banner": -9.0, "contentinfo": -9.0, "complementary": -9.0, "search": -9.0, "dialog": -9.0, "alert": -9.0, "main": 4.0, "article": 6.0}
-_NOTICE = re.compile(r"©|\bcopyright\b|\ball rights reserved\b|\bcookies?\b.*\b(?:accept|consent|agree)|\bprivacy policy\b|\bterms of (?:use|service)\b", re.IGNORECASE)
+#: A form that holds this share of a page's text is a wrapper of the page; what smaller ones hold is not read.
+WRAPPER = 0.5
 
 
-@dataclass
 class Element:
-    name: str
-    parent: Element | None
-    cost: float = 0.0
-    silent: bool = False
-    number: int = 0
+    """An open element, with what is known about the chain above it: its length and the strongest words for and against content."""
+
+    __slots__ = ("name", "parent", "silent", "number", "depth", "good", "bad", "form")
+
+    def __init__(self, name: str, parent: Element | None, cost: float = 0.0, silent: bool = False, number: int = 0):
+        self.name, self.parent, self.silent, self.number = name, parent, silent, number
+        self.depth = parent.depth + 1 if parent is not None else 1
+        self.good = max(cost, parent.good if parent is not None else 0.0)
+        self.bad = min(cost, parent.bad if parent is not None else 0.0)
+        self.form = number if name == "form" else parent.form if parent is not None else 0
 
 
 @dataclass
 class Block:
     parent: Element
+    #: Elements that the block and the one before it have around both.
+    shared: int = 0
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
@@ -95,18 +106,29 @@ def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order, empty ones left out."""
     root = Element("", None)
     here, count, out, links = root, 0, [], 0
+    # The least depth since the last block, and how many elements of a name are open.
+    low, names = 0, {}
     current: Block | None = None
     raw: str | None = None
     at = 0
 
     def close() -> None:
-        nonlocal current
+        nonlocal current, low
         if current is not None:
             current.text = _SPACE.sub(" ", html.unescape("".join(current.parts))).strip()
             if current.text:
                 out.append(current)
+                low = current.parent.depth
             current = None
 
+    def leave(x: Element) -> None:
+        """Close the elements down to x, which stays open."""
+        nonlocal here, low
+        while here is not x:
+            names[here.name] -= 1
+            here = here.parent
+        low = min(low, here.depth)
+
     while at < len(page):
         if raw:
             end = re.compile(rf"</{re.escape(raw)}(?=[\s/>]|\Z)", re.IGNORECASE).search(page, at)
@@ -123,7 +145,9 @@ def blocks_of(page: str) -> list[Block]:
             if current is None:
                 if s.isspace():
                     continue
-                current = Block(_container(here))
+                box = _container(here)
+                low = min(low, box.depth)
+                current = Block(box, low)
             current.parts.append(s)
             if links:
                 current.linked += len(s)
@@ -136,7 +160,7 @@ def blocks_of(page: str) -> list[Block]:
                 if current is not None:
                     current.parts.append(" ")
                 continue
-            x = here
+            x = here if names.get(name) else None
             while x is not None and x.name != name:
                 # An inline end tag does not reach over a block.
                 if name in INLINE and x.name not in INLINE:
@@ -146,7 +170,7 @@ def blocks_of(page: str) -> list[Block]:
             if x is not None and x.parent is not None:
                 if name not in INLINE:
                     close()
-                here = x.parent
+                leave(x.parent)
             elif name not in INLINE:
                 close()
             continue
@@ -161,29 +185,47 @@ def blocks_of(page: str) -> list[Block]:
                 x = here
                 while x is not None and (x.name in INLINE or x.name == "p"):
                     if x.name == "p":
-                        here = x.parent
+                        leave(x.parent)
                         break
                     x = x.parent
                 if name != "p":
-                    while here.name in INLINE and here.parent is not None:
-                        here = here.parent
+                    leave(_container(here))
             elif name in ("li", "dt", "dd", "tr", "td", "th", "option"):
                 same = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}[name]
                 x = here
                 while x is not None and (x.name in INLINE or x.name == "p" or x.name in same):
                     if x.name in same:
-                        here = x.parent
+                        leave(x.parent)
                     x = x.parent
         if name in VOID or m[3].endswith("/") and name in ("svg", "path"):
             continue
         cost, hidden = _cost(name, m[3])
         count += 1
+        names[name] = names.get(name, 0) + 1
         here = Element(name, here, cost, here.silent or hidden, count)
         if name == "a":
             links += 1
         if name in RAW:
             raw = name
     close()
+    return _without_forms(out)
+
+
+def _without_forms(blocks: list[Block]) -> list[Block]:
+    """The blocks but for those of forms that hold less than WRAPPER of the text; an inner form stands for itself."""
+    size: dict[int, int] = {}
+    for b in blocks:
+        size[b.parent.form] = size.get(b.parent.form, 0) + len(b.text)
+    least = WRAPPER * sum(size.values())
+    small = {f for f, n in size.items() if f and n < least}
+    out: list[Block] = []
+    low = 0
+    for b in blocks:
+        low = min(low, b.shared)
+        if b.parent.form not in small:
+            b.shared = low if out else 0
+            out.append(b)
+            low = b.parent.depth
     return out
 
 
@@ -193,24 +235,13 @@ def _container(x: Element) -> Element:
     return x
 
 
-def _chain(x: Element | None) -> list[Element]:
-    out = []
-    while x is not None:
-        out.append(x)
-        x = x.parent
-    return out
+def block_features(block: Block) -> np.ndarray:
+    return features(block.parent.name, block.parent.good, block.parent.bad, block.text, block.linked)
 
 
-def block_costs(block: Block) -> tuple[float, float]:
-    """Capacities to the content and to the boilerplate terminal: what it costs to call the block the other thing."""
-    n, chain = len(block.text), _chain(block.parent)
-    inside = [x.cost for x in chain if x.cost]
-    score = 0.8 + max((c for c in inside if c > 0), default=0.0) + (min((c for c in inside if c < 0), default=0.0) * 1.4)
-    score += LEAF.get(block.parent.name, 0.0)
-    score += min(n, 400) / 200 + 0.4 * min(len(_SENTENCE.findall(block.text)), 3)
-    score -= 5.0 * min(block.linked / max(n, 1), 1.0)
-    if n < 300 and _NOTICE.search(block.text):
-        score -= 3.0
+def block_costs(block: Block, w: np.ndarray) -> tuple[float, float]:
+    """Capacities to the content and to the boilerplate terminal: what it costs to call the block the other thing, as log odds."""
+    score = float(block_features(block) @ w)
     return max(score, 0.0), max(-score, 0.0)
 
 
@@ -262,18 +293,17 @@ def max_flow(n: int, edges: list[tuple[int, int, float, float]], source: int, si
                 break
 
 
-def label(blocks: list[Block]) -> list[bool]:
+def label(blocks: list[Block], w: np.ndarray) -> list[bool]:
     """Which blocks are content."""
     n = len(blocks)
     edges = []
-    chains = [{x.number for x in _chain(b.parent)} for b in blocks]
     last: dict[int, int] = {}
     for i, b in enumerate(blocks):
-        content, boiler = block_costs(b)
+        content, boiler = block_costs(b, w)
         edges.append((n, i, content, 0.0))
         edges.append((i, n + 1, boiler, 0.0))
         if i:
-            near = len(chains[i] & chains[i - 1]) / max(len(chains[i] | chains[i - 1]), 1)
+            near = b.shared / max(b.parent.depth + blocks[i - 1].parent.depth - b.shared, 1)
             edges.append((i - 1, i, 0.15 + 1.2 * near, 0.15 + 1.2 * near))
         # The block before this one in the same container, wherever it is.
         p = b.parent.parent.number if b.parent.parent is not None else -1
@@ -284,24 +314,29 @@ def label(blocks: list[Block]) -> list[bool]:
     return max_flow(n + 2, edges, n, n + 1)[:n]
 
 
-def main_text(page: str | None) -> str:
-    """The text of the blocks that the cut leaves on the content side."""
+def main_text(page: str | None, w: np.ndarray | None = None) -> str:
+    """The text of the blocks that the cut leaves on the content side, under the fitted weights unless others are given."""
     blocks = blocks_of(page or "")
     if len(blocks) == 1 and blocks[0].parent.parent is None:
         return blocks[0].text
-    return "\n\n".join(b.text for b, keep in zip(blocks, label(blocks), strict=True) if keep) if blocks else ""
+    w = np.array(weights()) if w is None else w
+    return "\n\n".join(b.text for b, keep in zip(blocks, label(blocks, w), strict=True) if keep) if blocks else ""
+
 
+def _extracted(fitted: tuple[float, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = np.array(fitted)
+        for batch in batches:
+            text = [main_text(x.as_py(), w) for x in batch.column("html")]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id").cast(pa.int64()), batch.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        text = [main_text(x.as_py()) for x in batch.column("html")]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id").cast(pa.int64()), batch.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
+    return run
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of pages(page_id, url, html)."""
     p = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return p.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    return p.mapInArrow(_extracted(weights()), "page_id long, url string, text string, n_chars long")
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
