@@ -4,13 +4,18 @@ The corpus is counted in blocks of equal token count. Sources get blocks by
 highest quotients (divisors 1, 3, 5, ...) of their targets; each source's blocks
 are apportioned in the same way to its shards, so every shard has an integer
 quota. Inside a shard, documents lie in a seeded order and form one stream of
-blocks; the quota takes whole passes of the stream and then its first blocks.
-Shards are small and independent: what is ever gathered by source are its shard
-totals, and by the whole corpus the source totals.
+words; the quota's words take whole passes of the stream and then its beginning.
+A block has 16 words, or fewer where the least target would not make eight of them
+(down to one word), so tiny sources and tiny corpora are mixed as well. Shards are
+independent: what is ever gathered by source are the totals of its shards (MAX_SHARDS
+at most; beyond that shards grow), and by the whole corpus those of its sources, which
+one task ranks. Equal rows are counted first and laid out in closed form, so copies
+and rows without an id load no task.
 
 Only DataFrame functions are used. Defined cases:
 
-* null or blank text has size 0 and takes 0; a null source is a source of its own, last in order;
+* null or blank text has size 0 and takes 0; a null source is a source of its own, last in order; texts of any length are
+  counted whole;
 * ``doc_id`` may be null or repeated: each row counts and is returned once;
 * an empty table gives an empty result; other columns of the input are not looked at.
 """
@@ -24,6 +29,10 @@ from .common import WORD, materialize, small, table
 
 #: Tokens of a block, and documents of a shard on average.
 BLOCK_TOKENS, SHARD_ROWS = 16, 1000
+#: Shards of a source, at most, and blocks that the least target makes, where blocks can be smaller.
+MAX_SHARDS, LEAST_BLOCKS = 20_000, 8
+#: Copies of a row that one task writes.
+COPIES = 100_000
 #: No source and no document is taken more than this many times.
 MAX_REPEATS = 3
 SEED = "mix-1"
@@ -74,27 +83,40 @@ def sainte_lague(parties: DataFrame, group: list[str], party: list[Column], vote
 
 def mix(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_rows: int = SHARD_ROWS, max_repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) for every row of docs(doc_id, source, text)."""
+    words = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    d = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("_key")), "mix")
-    sources = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.ceil(F.count(F.lit(1)) / shard_rows).alias("_shards"))
+    d = materialize(words.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("_copies")).withColumn("_key", key), "mix")
+    sources = d.groupBy("source").agg(F.sum(F.col("size") * F.col("_copies")).alias("source_size"), F.least(F.ceil(F.sum("_copies") / shard_rows), F.lit(MAX_SHARDS)).cast("long").alias("_shards"))
     sources = source_targets(sources, max_repeats)
-    sources = sources.withColumn("_n", F.round(F.sum("source_size").over(Window.partitionBy(F.lit(1))).cast("double") / block_tokens).cast("long"))
+    every = Window.partitionBy(F.lit(1))
+    least = F.min(F.when(F.col("source_size") > 0, F.col("target"))).over(every)
+    sources = sources.withColumn("_block", F.coalesce(F.greatest(F.lit(1), F.least(F.lit(block_tokens), F.floor(least / LEAST_BLOCKS))), F.lit(1)).cast("long"))
+    sources = sources.withColumn("_n", F.round(F.sum("source_size").over(every).cast("double") / F.col("_block")).cast("long"))
     sources = sainte_lague(sources, [], [F.col("source").isNull(), F.col("source")], "target", "_n", "_quota").drop("_n")
     sources = materialize(sources.withColumnRenamed("source", "_source"), "mix-sources")
     d = d.join(small(sources), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     d = d.withColumn("_shard", F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") % F.col("_shards")).drop("_shards")
     place = [F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_s"), F.col("_shard")]
-    shards = d.groupBy(*place).agg(F.sum("size").alias("_shard_size"), F.first("_quota").alias("_quota"))
+    whole = F.col("size") * F.col("_copies")
+    shards = d.groupBy(*place).agg(F.sum(whole).alias("_shard_size"), F.first("_quota").alias("_quota"), F.first("_block").alias("_block"))
     shards = sainte_lague(shards, ["_s"], [F.col("_shard")], "_shard_size", "_quota", "_blocks").drop("_quota")
-    d = d.drop("_quota").withColumn("_s", place[0])
+    shards = shards.withColumn("_words", F.col("_blocks") * F.col("_block")).drop("_blocks", "_block")
+    d = d.drop("_quota", "_block").withColumn("_s", place[0])
     stream = Window.partitionBy("_s", "_shard").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_start", F.coalesce(F.sum("size").over(stream), F.lit(0)))
+    d = d.withColumn("_start", F.coalesce(F.sum(whole).over(stream), F.lit(0)))
     d = d.join(small(materialize(shards, "mix-shards")), ["_s", "_shard"])
-    of = F.greatest(F.ceil(F.col("_shard_size") / block_tokens), F.lit(1))
-    passes = F.least(F.floor(F.col("_blocks") / of), F.lit(max_repeats))
-    rest = F.when(passes < max_repeats, (F.col("_blocks") - passes * of) * block_tokens).otherwise(0)
-    taken = passes * F.col("size") + F.least(F.greatest(rest - F.col("_start"), F.lit(0)), F.col("size"))
-    return d.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    passes = F.least(F.floor(F.col("_words") / F.greatest("_shard_size", F.lit(1))), F.lit(max_repeats))
+    rest = F.when(passes < max_repeats, F.col("_words") - passes * F.col("_shard_size")).otherwise(0)
+    kept = ["doc_id", "source", "size", "source_size", "target"]
+    d = d.select(*kept, "_copies", "_start", passes.alias("_passes"), rest.alias("_rest"))
+    # Copies of a row lie one behind the other in the stream. Those of a row with very many are written by several tasks.
+    few = d.where(F.col("_copies") <= COPIES).withColumn("_from", F.lit(0).cast("long"))
+    many = d.where(F.col("_copies") > COPIES).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(COPIES).cast("long"))))
+    many = many.repartition("doc_id", "source", "size", "_from")
+    d = few.unionByName(many).withColumn("_copy", F.explode(F.sequence(F.col("_from"), F.least(F.col("_copies"), F.col("_from") + COPIES) - 1)))
+    begin = F.col("_start") + F.col("_copy") * F.col("size")
+    taken = F.col("_passes") * F.col("size") + F.least(F.greatest(F.col("_rest") - begin, F.lit(0)), F.col("size"))
+    return d.select(*kept, taken.cast("long").alias("taken"))
 
 
 def take(docs: DataFrame, **parameters) -> DataFrame:
@@ -114,6 +136,7 @@ def take(docs: DataFrame, **parameters) -> DataFrame:
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of every document, under the corpus's own mix; the cases are those of mix()."""
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
@@ -134,21 +157,23 @@ def oracle(documents: str = "documents", block_tokens: int = BLOCK_TOKENS, shard
     return rf"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
                   md5(concat('{seed}:', coalesce(CAST(doc_id AS VARCHAR), 'null'))) AS k0 FROM {documents}),
-  s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(ceil(count(*) / CAST({shard_rows} AS DOUBLE)) AS BIGINT) AS shards FROM d GROUP BY source),
+  s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, least(CAST(ceil(count(*) / CAST({shard_rows} AS DOUBLE)) AS BIGINT), {MAX_SHARDS}) AS shards FROM d GROUP BY source),
   s1 AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS w, {max_repeats} * source_size AS cap, source IS NULL AS sn FROM s0),
   s2 AS (SELECT *, row_number() OVER (ORDER BY cap / CAST(w AS DOUBLE), sn, source) AS place,
                 CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / CAST(w AS DOUBLE), sn, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
                 / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY cap / CAST(w AS DOUBLE), sn, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS lev FROM s1),
   s3 AS (SELECT *, min(CASE WHEN lev * w <= cap THEN place END) OVER () AS fst FROM s2),
-  s4 AS (SELECT *, max(CASE WHEN place = fst THEN lev END) OVER () AS lam, CAST(round(CAST(sum(source_size) OVER () AS DOUBLE) / {block_tokens}) AS BIGINT) AS n FROM s3),
-  s5 AS (SELECT source, sn, source_size, shards, n, CASE WHEN place >= fst THEN lam * w ELSE CAST(cap AS DOUBLE) END AS target FROM s4),
-  {_apportion("s5", "", "sn, source", "target", "n", "source, source_size, shards, target", "s6").strip()},
-  e AS (SELECT d.*, s6.source_size, s6.target, s6.won AS quota, CAST('0x' || substr(k0, 1, 8) AS BIGINT) % shards AS shard, coalesce('s' || d.source, 'n') AS sk
+  s4 AS (SELECT *, max(CASE WHEN place = fst THEN lev END) OVER () AS lam FROM s3),
+  s45 AS (SELECT source, sn, source_size, shards, CASE WHEN place >= fst THEN lam * w ELSE CAST(cap AS DOUBLE) END AS target FROM s4),
+  s46 AS (SELECT *, coalesce(greatest(1, least({block_tokens}, CAST(floor(min(CASE WHEN source_size > 0 THEN target END) OVER () / {LEAST_BLOCKS}) AS BIGINT))), 1) AS b FROM s45),
+  s5 AS (SELECT *, CAST(round(CAST(sum(source_size) OVER () AS DOUBLE) / b) AS BIGINT) AS n FROM s46),
+  {_apportion("s5", "", "sn, source", "target", "n", "source, source_size, shards, target, b", "s6").strip()},
+  e AS (SELECT d.*, s6.source_size, s6.target, s6.b, s6.won AS quota, CAST('0x' || substr(k0, 1, 8) AS BIGINT) % shards AS shard, coalesce('s' || d.source, 'n') AS sk
         FROM d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source),
-  h0 AS (SELECT sk, shard, CAST(sum(size) AS BIGINT) AS ss, any_value(quota) AS quota FROM e GROUP BY sk, shard),
-  {_apportion("h0", "sk", "shard", "ss", "quota", "sk, shard, ss", "h1").strip()},
-  f AS (SELECT e.*, ss, won, coalesce(sum(size) OVER (PARTITION BY e.sk, e.shard ORDER BY k0, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st,
-               greatest(CAST(ceil(ss / CAST({block_tokens} AS DOUBLE)) AS BIGINT), 1) AS nb FROM e JOIN h1 ON e.sk = h1.sk AND e.shard = h1.shard),
-  g AS (SELECT *, least(CAST(floor(won / CAST(nb AS DOUBLE)) AS BIGINT), {max_repeats}) AS ps FROM f)
+  h0 AS (SELECT sk, shard, CAST(sum(size) AS BIGINT) AS ss, any_value(quota) AS quota, any_value(b) AS b FROM e GROUP BY sk, shard),
+  {_apportion("h0", "sk", "shard", "ss", "quota", "sk, shard, ss, b", "h1").strip()},
+  f AS (SELECT e.*, ss, won * h1.b AS words, coalesce(sum(size) OVER (PARTITION BY e.sk, e.shard ORDER BY k0, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st
+        FROM e JOIN h1 ON e.sk = h1.sk AND e.shard = h1.shard),
+  g AS (SELECT *, least(CAST(floor(words / CAST(greatest(ss, 1) AS DOUBLE)) AS BIGINT), {max_repeats}) AS ps FROM f)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(ps * size + least(greatest(CASE WHEN ps < {max_repeats} THEN (won - ps * nb) * {block_tokens} ELSE 0 END - st, 0), size) AS BIGINT) AS taken FROM g"""
+       CAST(ps * size + least(greatest(CASE WHEN ps < {max_repeats} THEN words - ps * ss ELSE 0 END - st, 0), size) AS BIGINT) AS taken FROM g"""
