@@ -7,21 +7,37 @@ for all sets below it, and a subtree is left as soon as the tokens that remain o
 both sides cannot reach the threshold.
 
 To distribute this, documents with equal sets become one class first. Two sets
-with Jaccard >= t differ in at most k tokens, so among k + 1 segments of the
-global order at least one holds exactly the same tokens of both; k depends on the
-set's size class only. Classes that share a segment are candidates, candidates
-reached over such segments form a block of the join, and every block has its own
-trie. Below t = 8/9 segments get so short that unrelated sets share empty ones;
-there, BANDS bands of ROWS min-hashes take their place. A pair at t = 0.8 shares
-none of them with probability (1 - 0.8^5)^60 < 5e-11, less at higher similarity. A large block is cut into parts, and each pair of parts is joined by itself
-(one part's trie, probed by the other), so no task holds more than two parts. All
-links between different sets are found; a part pair reports a spanning forest of
-its links instead of every pair, and the components are joined up afterwards.
+with Jaccard >= t differ in at most k tokens, k depending on their size class only,
+so of k + 2 segments of the global order at least two hold exactly the same tokens of
+both. Classes that share such a segment are candidates. An empty segment says nothing
+and makes no candidates: where one of two sets has one empty segment at most, they
+share another. The few sets with several empty segments meet over the tokens of their
+prefixes besides (the first n - ceil(t n) + 1 in the global order, of which a linking
+pair has one in common). Below t = 8/9 segments get so short that unrelated sets with
+a passage in common share them; there, BANDS bands of ROWS min-hashes take their
+place. A pair at t = 0.8 shares none of them with probability (1 - 0.8^5)^60 < 5e-11,
+less at higher similarity.
+
+Candidates reached over one another form a block, and every block has its own trie. A
+large block is cut into parts of about PART sets, and its links are found in rounds,
+of which a task never holds more than two parts:
+
+1. each part by itself;
+2. again and again, as long as that halves the number of groups: a few sets of every
+   linked group, dealt into parts anew. A dense group of copies is one group after
+   this, in time in proportion to its size;
+3. where several groups remain, all sets outside a block's largest group against all
+   of the block, part by part.
+
+No pair of sets in different groups is left out; pairs inside one group need no test.
+A task reports a spanning forest of its links, and the components are joined up
+afterwards.
 
 Defined cases:
 
 * null or blank text: the empty set, linked with nothing (its component is its own id);
 * fewer words than the shingle size: the whole sequence is the one shingle;
+* texts of any length are read whole (a text is worked on at once, in about 30 times its size);
 * equal documents and ties: one class, represented by its least id; rows with one ``doc_id`` are one node of the graph;
 * a null ``doc_id`` is linked with nothing and has a null component;
 * an empty table gives an empty result; other columns of the input are not looked at.
@@ -30,10 +46,11 @@ Defined cases:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit
@@ -41,6 +58,8 @@ from .common import connected_components, materialize, small, table
 
 #: Sets in a part of a block; a task joins two parts at most.
 PART = 128
+#: Sets of a group that stand for it in the second round.
+STAND_INS = 4
 #: Longest piece of a trie edge: bounds are tested after each.
 EDGE = 48
 #: Bands and min-hashes in each, where segments would be too short.
@@ -63,17 +82,25 @@ class Classes:
 
     def segments(self, c: int) -> int:
         # Sizes n <= m, overlap o <= n and union u <= n den / num: the sets differ in u - o <= u (den - num) / den tokens.
-        return self.top[c] * (self.den - self.num) // self.num + 1
+        differ = self.top[c] * (self.den - self.num) // self.num
+        return differ + 2 if differ else 1
 
 
-def segment_signatures(s: np.ndarray, c: int, parts: int) -> np.ndarray:
-    """One hash per segment of the sorted set s: of the class, the segment and the tokens in it."""
+def segment_signatures(s: np.ndarray, c: int, parts: int, prefix: int) -> np.ndarray:
+    """One hash per segment of the sorted set s that is not empty: of the class, the segment and the tokens in it.
+
+    With several empty segments, also one per token of the prefix.
+    """
     with np.errstate(over="ignore"):
         at = ((s >> _U(32)) * _U(parts)) >> _U(32)
         edge = np.searchsorted(at, np.arange(parts + 1, dtype=np.uint64))
         total = np.zeros(len(s) + 1, np.uint64)
         np.cumsum(textkit.mix64(s ^ _U(0xA0761D6478BD642F)), out=total[1:])
-        return textkit.mix64(total[edge[1:]] - total[edge[:-1]] + textkit.mix64(np.arange(parts, dtype=np.uint64) + _U(c << 32)))
+        out = textkit.mix64(total[edge[1:]] - total[edge[:-1]] + textkit.mix64(np.arange(parts, dtype=np.uint64) + _U(c << 32)))
+        full = edge[1:] > edge[:-1]
+        if parts - int(full.sum()) < 2:
+            return out[full]
+        return np.concatenate([out[full], textkit.mix64(s[:prefix] ^ textkit.mix64(np.array([(c << 32) + (1 << 31)], np.uint64)))])
 
 
 def band_signatures(s: np.ndarray) -> np.ndarray:
@@ -93,7 +120,8 @@ def signatures(s: np.ndarray, classes: Classes) -> np.ndarray:
     if 9 * classes.num < 8 * classes.den:
         return band_signatures(s)
     c = classes.of(len(s))
-    return np.concatenate([segment_signatures(s, x, classes.segments(x)) for x in {c, max(c - 1, 0)}])
+    prefix = len(s) + classes.num * len(s) // -classes.den + 1
+    return np.concatenate([segment_signatures(s, x, classes.segments(x), prefix) for x in {c, max(c - 1, 0)}])
 
 
 def sets_of(text: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -143,15 +171,15 @@ def _signed(size: int, num: int, den: int):
 def _with_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rest = [batch.column(c) for c in ("cls", "comp", "parts")]
+            rest = [batch.column(c) for c in ("cls", "comp", "cells")]
             done, held, got = 0, 0, []
             for row, s in sets_of(batch.column("text"), size):
                 got.append(s)
                 held += len(s)
                 if held > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([*(x.slice(done, row + 1 - done) for x in rest), _lists(got)], ["cls", "comp", "parts", "set"])
+                    yield pa.RecordBatch.from_arrays([*(x.slice(done, row + 1 - done) for x in rest), _lists(got)], ["cls", "comp", "cells", "set"])
                     done, held, got = row + 1, 0, []
-            yield pa.RecordBatch.from_arrays([*(x.slice(done) for x in rest), _lists(got)], ["cls", "comp", "parts", "set"])
+            yield pa.RecordBatch.from_arrays([*(x.slice(done) for x in rest), _lists(got)], ["cls", "comp", "cells", "set"])
 
     return run
 
@@ -296,6 +324,57 @@ def _joined(num: int, den: int):
     return run
 
 
+def _part(parts: str, seed: int) -> Column:
+    return F.pmod(F.xxhash64("cls", F.lit(seed)), F.col(parts)).cast("int")
+
+
+def _cell(i: Column, j: Column, side: Column) -> Column:
+    """A task of the join: the part whose trie is built (side 0) and the one that probes it (side 1), or one part alone."""
+    return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+
+
+def _join_cells(text: DataFrame, cells: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """The links (a, b), as forests, found in the cells of (cls, comp, cells)."""
+    sets = text.join(small(materialize(cells, "ngram-cells")), F.col("doc_id") == F.col("cls")).select("cls", "comp", "cells", "text")
+    sets = sets.mapInArrow(_with_sets(size), "cls long, comp long, cells array<struct<i:int,j:int,side:int>>, set array<long>")
+    dealt = sets.select("cls", "comp", "set", F.explode("cells").alias("x")).select("cls", "comp", "set", "x.i", "x.j", "x.side")
+    n = int(text.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = ["comp", "i", "j"]
+    return materialize(dealt.repartition(n, *key).sortWithinPartitions(*key, "cls").mapInArrow(_joined(num, den), "a long, b long"), "ngram-links")
+
+
+def _between_parts(text: DataFrame, big: DataFrame, edges: list[DataFrame], size: int, num: int, den: int, part: int) -> list[DataFrame]:
+    """More links of the blocks with several parts (cls, comp), whose parts were joined by themselves."""
+    found, before = [], None
+    while True:
+        linked = materialize(connected_components(reduce(DataFrame.unionByName, [*edges, *found])), "ngram-linked")
+        groups = big.join(small(linked), F.col("cls") == F.col("node"), "left").select("cls", "comp", F.coalesce("component", "cls").alias("grp"))
+        groups = materialize(groups, "ngram-groups")
+        sizes = groups.groupBy("comp", "grp").agg(F.count(F.lit(1)).alias("n"))
+        still = sizes.groupBy("comp").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("all"), F.max(F.struct("n", "grp")).alias("top")).where("groups > 1")
+        still = materialize(still.select("comp", "groups", "all", F.col("top.n").alias("top"), F.col("top.grp").alias("top_grp")), "ngram-open")
+        total = still.agg(F.sum("groups")).first()[0]
+        if not total:
+            return found
+        groups = groups.join(small(still), "comp")
+        if before is not None and 2 * total > before:
+            break
+        before = total
+        few = groups.groupBy("comp", "grp", "groups").agg(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("cls", F.lit(k)), "cls")).getField("cls") for k in range(STAND_INS)])).alias("few"))
+        few = few.select(F.explode("few").alias("cls"), "comp", F.ceil(F.col("groups") * STAND_INS / part).cast("int").alias("parts"))
+        mine = _part("parts", 1 + len(found))
+        found.append(_join_cells(text, few.select("cls", "comp", F.array(_cell(mine, mine, F.lit(0))).alias("cells")), size, num, den))
+    # All others against the largest group (its parts are numbered after theirs) and against one another.
+    others, largest = F.ceil((F.col("all") - F.col("top")) / part).cast("int"), F.ceil(F.col("top") / part).cast("int")
+    groups = groups.select("cls", "comp", (F.col("grp") == F.col("top_grp")).alias("in_top"), others.alias("others"), largest.alias("largest"))
+    groups = groups.withColumn("p", F.when(F.col("in_top"), F.col("others") + _part("largest", 0)).otherwise(_part("others", 0)))
+    probes = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda i: _cell(i, F.col("p"), F.lit(1)))
+    among = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda q: _cell(F.least(q, F.col("p")), F.greatest(q, F.col("p")), q < F.col("p")))
+    tries = F.transform(F.sequence(F.col("others"), F.col("others") + F.col("largest") - 1), lambda j: _cell(F.col("p"), j, F.lit(0)))
+    cells = F.when(F.col("in_top"), probes).otherwise(F.concat(among, tries))
+    return [*found, _join_cells(text, groups.select("cls", "comp", cells.alias("cells")), size, num, den)]
+
+
 def ngram_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, part: int = PART) -> DataFrame:
     """(doc_id, n_shingles, component_id) for docs(doc_id, text): documents link when den * overlap >= num * union."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -304,22 +383,20 @@ def ngram_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 1
     same = a.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("cls"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     same = materialize(same, "ngram-same")
     a = a.join(small(same), ["h1", "h2", "n_shingles"], "left").withColumn("cls", F.when(F.col("doc_id").isNotNull(), F.coalesce("cls", "doc_id")))
-    # Star edges: every class of a segment to the least class with the same segment.
+    # Star edges: every class with a signature to the least class with the same one.
     sig = a.where("doc_id = cls").select("cls", F.explode("sigs").alias("sig"))
-    lead = F.first("cls").over(Window.partitionBy("sig").orderBy("cls").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    blocks = connected_components(sig.select("cls", lead.alias("lead")).where("cls <> lead"), "cls", "lead")
+    lead = sig.groupBy("sig").agg(F.min("cls").alias("lead"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    stars = sig.join(small(materialize(lead, "ngram-leads")), "sig").where("cls <> lead").select("cls", "lead")
+    blocks = connected_components(stars, "cls", "lead")
     blocks = materialize(blocks.unionByName(blocks.select(F.col("component").alias("node"), "component").distinct()), "ngram-blocks")
     members = materialize(blocks.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).withColumn("parts", F.ceil(F.col("_n") / part).cast("int")).drop("_n"), "ngram-parts")
     cand = blocks.join(small(members), "component").select(F.col("node").alias("cls"), F.col("component").alias("comp"), "parts")
     cand = materialize(cand, "ngram-cand")
-    sets = text.join(small(cand), F.col("doc_id") == F.col("cls")).select("cls", "comp", "parts", "text")
-    sets = sets.mapInArrow(_with_sets(size), "cls long, comp long, parts int, set array<long>")
-    # Part p of a block is the trie of the pairs (p, j >= p) and the probe of the pairs (i < p, p).
-    mine = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, F.col("p")).alias("i"), F.greatest(q, F.col("p")).alias("j"), (q < F.col("p")).cast("int").alias("side")))
-    dealt = sets.withColumn("p", mine).select("cls", "comp", "set", F.explode(pairs).alias("x")).select("cls", "comp", "set", "x.i", "x.j", "x.side")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = dealt.repartition(n, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "cls").mapInArrow(_joined(num, den), "a long, b long")
+    edges = [_join_cells(text, cand.select("cls", "comp", F.array(_cell(_part("parts", 0), _part("parts", 0), F.lit(0))).alias("cells")), size, num, den)]
+    big = cand.where("parts > 1").drop("parts")
+    if not big.isEmpty():
+        edges += _between_parts(text, big, edges, size, num, den, part)
+    edges = reduce(DataFrame.unionByName, edges)
     linked = materialize(connected_components(edges), "ngram-components").withColumnRenamed("node", "_node")
     out = a.select("doc_id", "n_shingles", "cls").join(small(linked), F.col("cls") == F.col("_node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "cls").alias("component_id"))
