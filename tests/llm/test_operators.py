@@ -525,6 +525,32 @@ def test_ngram_join(spark, docs, size, num):
     assert all(r["n_shingles"] == len(shingles(texts[r["doc_id"]], size)) for r in got)
 
 
+def test_dense_groups_and_chains(spark):
+    """A group of 700 near copies over many parts, and chains in one block that only the last round can tell apart."""
+    rng = random.Random(21)
+    base = [f"b{i}" for i in range(120)]
+    texts = {}
+    for i in range(700):
+        t = list(base)
+        t[rng.randrange(120)] = f"x{i}"
+        texts[i] = " ".join(t)
+    for k in range(40):
+        step = [f"c{j}" for j in range(k * 5, k * 5 + 100)]
+        texts[1000 + k] = " ".join(step)
+    want = components({i: shingles(t, 3) for i, t in texts.items()}, 90, 100)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(df, 3, 90, part=8).collect()}
+    assert got == want and len(set(want.values())) < 30
+
+
+def test_empty_segments_make_no_candidates():
+    rng, classes = np.random.default_rng(7), ngram_join.Classes(90, 100)
+    shared = Counter()
+    for _ in range(3000):
+        shared.update(set(ngram_join.signatures(np.unique(rng.integers(0, 1 << 63, 30, dtype=np.uint64)), classes).tolist()))
+    assert max(shared.values()) == 1
+
+
 def test_ngram_join_edges(spark, odd):
     got = ngram_join.ngram_components(odd).collect()
     assert len(got) == len(ROWS)
