@@ -56,6 +56,19 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df.hint("merge")
 
 
+#: Copies of a row that one task writes.
+COPIES = 100_000
+
+
+def expanded(d: DataFrame, copies: str, most: int | None = None) -> DataFrame:
+    """Each row ``copies`` times, with the number of the copy in ``_copy``; the copies of a row with very many come from several tasks."""
+    most, one = most or COPIES, F.lit(0).cast("long")
+    few = d.where(F.col(copies) <= most).withColumn("_from", one)
+    many = d.where(F.col(copies) > most).withColumn("_from", F.explode(F.sequence(one, F.col(copies) - 1, F.lit(most).cast("long"))))
+    d = few.unionByName(many.repartition(*d.columns, "_from"))
+    return d.withColumn("_copy", F.explode(F.sequence(F.col("_from"), F.least(F.col(copies), F.col("_from") + most) - 1))).drop("_from")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for the nodes of an edge list; component is the smallest node reachable.
 

@@ -25,14 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, small, table
+from .common import COPIES, WORD, expanded, materialize, small, table
 
 #: Tokens of a block, and documents of a shard on average.
 BLOCK_TOKENS, SHARD_ROWS = 16, 1000
 #: Shards of a source, at most, and blocks that the least target makes, where blocks can be smaller.
 MAX_SHARDS, LEAST_BLOCKS = 20_000, 8
-#: Copies of a row that one task writes.
-COPIES = 100_000
 #: No source and no document is taken more than this many times.
 MAX_REPEATS = 3
 SEED = "mix-1"
@@ -109,11 +107,8 @@ def mix(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_rows: int = SHA
     rest = F.when(passes < max_repeats, F.col("_words") - passes * F.col("_shard_size")).otherwise(0)
     kept = ["doc_id", "source", "size", "source_size", "target"]
     d = d.select(*kept, "_copies", "_start", passes.alias("_passes"), rest.alias("_rest"))
-    # Copies of a row lie one behind the other in the stream. Those of a row with very many are written by several tasks.
-    few = d.where(F.col("_copies") <= COPIES).withColumn("_from", F.lit(0).cast("long"))
-    many = d.where(F.col("_copies") > COPIES).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(COPIES).cast("long"))))
-    many = many.repartition("doc_id", "source", "size", "_from")
-    d = few.unionByName(many).withColumn("_copy", F.explode(F.sequence(F.col("_from"), F.least(F.col("_copies"), F.col("_from") + COPIES) - 1)))
+    # Copies of a row lie one behind the other in the stream.
+    d = expanded(d, "_copies", COPIES)
     begin = F.col("_start") + F.col("_copy") * F.col("size")
     taken = F.col("_passes") * F.col("size") + F.least(F.greatest(F.col("_rest") - begin, F.lit(0)), F.col("size"))
     return d.select(*kept, taken.cast("long").alias("taken"))

@@ -10,16 +10,19 @@ compatible bin is found: no other piece of its cluster is in it, and fewer than
 PER_SOURCE of its source. Without one, a new bin is opened.
 
 A shard is a seeded share of about SHARD_ROWS documents, so a shard is one task's
-bounded work whatever the sources and clusters are; a hot source or a large
-cluster is spread over all shards by the hash of the row. No document is dropped
-or cut short: the pieces of a document cover it whole.
+bounded work whatever the sources and clusters are; a hot source, a large cluster
+or a row that is there many times is spread over all shards by the hash of the row
+and its number among its equals. No document is dropped or cut short: the pieces of
+a document cover it whole.
 
 Defined cases:
 
 * null or blank text has size 0 and is one piece of size 0, which takes part like any other;
 * a null source is a source of its own; documents with an empty cluster key conflict with nobody;
 * equal or null ids and repeated rows are packed one by one; equal rows are one cluster;
-* ties in size are broken by cluster, source, id; an empty table gives an empty result.
+* texts of any length are cut into pieces by their count of words alone;
+* ties in size are broken by cluster, source, id; an empty table gives an empty result;
+* other columns of the input are not looked at, but for ``cluster``, which is the cluster key where there is one.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import expanded, materialize, table
 from .mixing import word_count
 
 #: Tokens of a bin, documents of a shard on average, and how often one source may be in a bin.
@@ -122,9 +125,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
     words = F.regexp_replace(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"[\x20\x09-\x0D]+", " ")
     cluster = F.col("cluster").cast("string") if "cluster" in docs.columns else F.when(F.trim(words) != "", F.md5(F.trim(words)))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text")).alias("size"), F.col("source").cast("string").alias("source"), cluster.alias("cluster"))
-    d = materialize(d, "pack")
-    shards = max(1, -(-d.count() // shard_rows))
-    d = d.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size", "cluster", F.lit(seed)), F.lit(shards)))
+    # Equal rows are counted and told apart by their number, so that they spread over the shards like any others.
+    d = materialize(d.groupBy(*d.columns).agg(F.count(F.lit(1)).alias("_copies")), "pack")
+    shards = max(1, -(-(d.agg(F.sum("_copies")).first()[0] or 0) // shard_rows))
+    d = expanded(d, "_copies").withColumn("shard", F.pmod(F.xxhash64("doc_id", "size", "cluster", F.lit(seed), "_copy"), F.lit(shards)))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return d.repartition(max(n, min(shards, 100_000)), "shard").sortWithinPartitions("shard").mapInArrow(_packed(capacity, per_source), SCHEMA)
 
