@@ -7,8 +7,9 @@ weighs the encoded passages, and a logistic unit scores their weighted mean. Onl
 document labels are learned from; the attention finds the passages that tell.
 
 The model is fitted on the driver with numpy on at most FIT_DOCS labelled
-documents (those of the least seeded hash); it has a few thousand numbers and is
-sent to the executors, which score every whole text in one pass without a shuffle.
+documents (those of the least seeded hash) and FIT_PASSAGES passages of each, so on
+100 MB at most; it has a few thousand numbers and is sent to the executors, which
+score every whole text, all its passages, in one pass without a shuffle.
 
 Defined cases:
 
@@ -33,8 +34,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from . import textkit
 from .common import small, table
 
-#: Words of a passage; labelled documents that a model is fitted on, at most.
-PASSAGE, FIT_DOCS = 64, 6000
+#: Words of a passage; labelled documents that a model is fitted on, at most, and passages of each (evenly spaced ones of longer documents).
+PASSAGE, FIT_DOCS, FIT_PASSAGES = 64, 6000, 128
 #: Units of the encoder and of the attention; passes over the fitted documents; documents a step.
 HIDDEN, ATTENTION, EPOCHS, BATCH = 24, 12, 40, 128
 #: A document is kept at this score.
@@ -172,7 +173,9 @@ def held_out(doc_id: Column) -> Column:
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, x, at in bags(batch.column("text")):
-            flat = pa.array([x[at[i] : at[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())
+            rows = [np.arange(at[i], at[i + 1]) for i in range(hi - lo)]
+            rows = [r if len(r) <= FIT_PASSAGES else r[np.linspace(0, len(r) - 1, FIT_PASSAGES).astype(int)] for r in rows]
+            flat = pa.array([x[r].tobytes() for r in rows], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("label").slice(lo, hi - lo), flat], ["label", "bag"])
 
 

@@ -29,13 +29,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def _power(base: int, n: int) -> np.ndarray:
+    """The first n powers of a base; tables longer than eight slices are not kept."""
     have = _powers.get(base)
     if have is None or len(have) < n:
         out = np.empty(max(n, SLICE_BYTES + 1), np.uint64)
         out[0] = 1
         out[1:] = _U(base)
         with np.errstate(over="ignore"):
-            have = _powers[base] = np.multiply.accumulate(out)
+            have = np.multiply.accumulate(out)
+        if len(have) <= 8 * SLICE_BYTES:
+            _powers[base] = have
     return have
 
 
