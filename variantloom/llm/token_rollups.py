@@ -16,7 +16,9 @@ comes again later is still known.
 Defined cases: null texts count no tokens, null sources and languages are keys of
 their own; a document that is deleted without being known gives negative totals
 (the log is a sum, and says so); a key whose documents and tokens are all zero is
-not listed; an empty batch is committed and changes nothing.
+not listed; an empty batch or table is committed and changes nothing; repeated rows
+and equal ids count each time; texts of any length are encoded whole; other columns of
+the input are not looked at.
 """
 
 from __future__ import annotations
@@ -110,66 +112,94 @@ class Rollup:
         """The newest complete snapshot; each holds all that the ones before it hold."""
         return max(self._names("snapshots"), default=None)
 
-    def batches(self) -> list[str]:
-        """Names of the committed batches."""
+    def _snap(self) -> DataFrame | None:
         s = self._snapshot()
-        held = [r["batch"] for r in self.spark.read.parquet(f"{self.path}/snapshots/{s}").where("batch is not null").select("batch").collect()] if s else []
+        return self.spark.read.parquet(f"{self.path}/snapshots/{s}") if s else None
+
+    def known(self, batch: str) -> bool:
+        """Whether a batch is committed, by a look at its folder or in the snapshot; no list of names is fetched."""
+        if self._done(f"batches/{batch}"):
+            return True
+        snap = self._snap()
+        return snap is not None and not snap.where(F.col("batch") == batch).isEmpty()
+
+    def batches(self) -> list[str]:
+        """Names of the committed batches, those in the snapshot among them."""
+        snap = self._snap()
+        held = [r["batch"] for r in snap.where("batch is not null").select("batch").collect()] if snap is not None else []
         return sorted({*held, *self._names("batches")})
 
     def commit(self, batch: str, rows: DataFrame) -> bool:
         """Add signed rows under a name; False, without any change, if that name is committed already."""
         if not re.fullmatch(r"[A-Za-z0-9][-A-Za-z0-9.]*", batch):
             raise ValueError("a batch is named by letters, digits, '-' and '.'")
-        if batch in self.batches():
+        if self.known(batch):
             return False
         rows.groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in SUMS]).write.mode("overwrite").parquet(f"{self.path}/batches/{batch}")
         return True
 
-    def _rows(self) -> DataFrame | None:
-        s, out = self._snapshot(), None
-        held = set()
-        if s:
-            snap = self.spark.read.parquet(f"{self.path}/snapshots/{s}")
-            held = {r["batch"] for r in snap.where("batch is not null").select("batch").collect()}
+    def _rows(self, names: list[str]) -> DataFrame | None:
+        """The rows of the snapshot and of those of the named batches that it does not hold."""
+        snap, out = self._snap(), None
+        if snap is not None:
+            # Of the batches that are still listed, those the snapshot holds: it was made while a folder waited to be deleted.
+            held = {r["batch"] for r in snap.where(F.col("batch").isin(names)).select("batch").collect()} if names else set()
+            names = [n for n in names if n not in held]
             out = snap.where("batch is null").select(*KEY, *SUMS)
-        paths = [f"{self.path}/batches/{b}" for b in self._names("batches") if b not in held]
-        if paths:
-            more = self.spark.read.parquet(*paths).select(*KEY, *SUMS)
+        if names:
+            more = self.spark.read.parquet(*[f"{self.path}/batches/{b}" for b in names]).select(*KEY, *SUMS)
             out = more if out is None else out.unionByName(more)
         return out
 
-    def totals(self) -> DataFrame:
-        """(source, lang, tokenizer, n_docs, n_tokens, n_chars) over all committed batches."""
-        rows = self._rows()
+    def totals(self, names: list[str] | None = None) -> DataFrame:
+        """(source, lang, tokenizer, n_docs, n_tokens, n_chars) over all committed batches, or the snapshot and the named ones."""
+        rows = self._rows(self._names("batches") if names is None else names)
         if rows is None:
             return self.spark.createDataFrame([], "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long")
         return rows.groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in SUMS]).where("n_docs <> 0 or n_tokens <> 0 or n_chars <> 0")
 
     def compact(self) -> None:
-        """Fold all committed batches into a new snapshot, in which their names stay known."""
-        names = self.batches()
+        """Fold the batches that are committed now into a new snapshot, in which their names stay known.
+
+        One list of batches is taken at the start; one that is committed meanwhile is neither counted nor deleted.
+        """
+        names, snap = self._names("batches"), self._snap()
         if not names:
             return
         s = self._snapshot()
         known = self.spark.createDataFrame([(n,) for n in names], "batch string")
-        snap = self.totals().withColumn("batch", F.lit(None).cast("string")).unionByName(known, allowMissingColumns=True)
-        snap.write.mode("overwrite").parquet(f"{self.path}/snapshots/{int(s or 0) + 1:012d}")
-        for n in self._names("batches"):
-            if n in names:
-                fs, p = self._fs(f"{self.path}/batches/{n}")
-                fs.delete(p, True)
+        if snap is not None:
+            known = known.unionByName(snap.where("batch is not null").select("batch")).distinct()
+        new = self.totals(names).withColumn("batch", F.lit(None).cast("string")).unionByName(known, allowMissingColumns=True)
+        new.write.mode("overwrite").parquet(f"{self.path}/snapshots/{int(s or 0) + 1:012d}")
+        for n in names:
+            fs, p = self._fs(f"{self.path}/batches/{n}")
+            fs.delete(p, True)
+
+
+def draft(docs: DataFrame) -> DataFrame:
+    """docs as they were before their revision: without the last third of each text."""
+    text = F.col("text").cast("string")
+    return docs.withColumn("text", F.substring(text, F.lit(1), F.length(text) - F.floor(F.length(text) / 3).cast("int")))
 
 
 def op9_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after three batches: all documents are inserted, exact copies deleted, and the first batch sent again.
+    """Totals after these batches: drafts of all documents are inserted, all are revised to their full texts, exact copies are
+    deleted, and the first two batches are sent again.
 
     Of documents with equal texts, those but the one of the least id are deleted by their own counts.
     """
-    counts = materialize(count_tokens(table(spark, sf_dir, "documents")), "rollup-counts")
+    docs = table(spark, sf_dir, "documents")
+    old = count_tokens(draft(docs))
+    counts = materialize(count_tokens(docs), "rollup-counts")
     rollup = Rollup(spark, fresh_path(spark, "rollup"))
-    rollup.commit("insert-0", signed(counts))
+    drafts = materialize(signed(old).groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in SUMS]), "rollup-drafts")
+    rollup.commit("insert-0", drafts)
+    revision = signed(counts).unionByName(drafts.select(*KEY, *[(-F.col(c)).alias(c) for c in SUMS]))
+    rollup.commit("revise-1", revision)
     same = counts.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     copies = counts.join(small(materialize(same, "rollup-same")), "digest").where(F.col("doc_id") > F.col("_first"))
-    rollup.commit("delete-copies-1", signed(copies, -1))
-    rollup.commit("insert-0", signed(counts))
+    rollup.commit("delete-copies-2", signed(copies, -1))
+    rollup.commit("insert-0", drafts)
+    rollup.commit("revise-1", revision)
     return rollup.totals()
