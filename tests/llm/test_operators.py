@@ -278,6 +278,48 @@ def test_quality_gradients():
         assert g[k][i] == pytest.approx((up - down) / (2 * step), abs=1e-6)
 
 
+def brute_score(model, text):
+    """The score of one text by plain loops: passages, features, encoder, gated attention, weighted mean."""
+    b = (text or "").encode()
+    found = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+    groups = [found[i : i + quality.PASSAGE] for i in range(0, len(found), quality.PASSAGE)] or [[]]
+    pairs = Counter((b[x[0] : x[1]], b[y[0] : y[1]]) for x, y in zip(found, found[1:], strict=False))
+    kinds = [set(k) for k in (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\t\n\v\f\r", b".", b",", b"!", b"?", b"|", b"\"'", b"#$%&*@^~`", b"<>{}[]()", b"-_", b"/:;=+\\")]
+    total, weights, codes = 0.0, [], []
+    for g, group in enumerate(groups):
+        lo = group[0][0] if g else 0
+        hi = groups[g + 1][0][0] if g + 1 < len(groups) else len(b)
+        share = [0.0] * (len(kinds) + 3)
+        for c in b[lo:hi]:
+            share[next((i + 1 for i, k in enumerate(kinds) if c in k), 0) if c < 0x80 else len(kinds) + 1 + (c >= 0xC0)] += 1
+        x = [(s / max(hi - lo, 1)) ** 0.5 for s in share]
+        w = [b[s:e] for s, e in group]
+        n, size = max(len(w), 1), [len(v) for v in w]
+        mean = sum(size) / n
+        twice = sum(pairs[p] > 1 for p in zip(w, [b[s:e] for s, e in found[g * quality.PASSAGE + 1 : g * quality.PASSAGE + 1 + len(w)]], strict=False))
+        x += [len(w) / quality.PASSAGE, np.log1p(len(found)), mean / 8, max(sum(v * v for v in size) / n - mean**2, 0) ** 0.5 / 8, sum(p == q for p, q in zip(w, w[1:], strict=False)) / n, len(set(w)) / n, twice / n, sum(v <= 3 for v in size) / n, sum(v > 20 for v in size) / n]
+        z = np.clip((np.array(x, np.float32).astype(float) - model.mean) / model.std, -6, 6)
+        h = np.tanh(z @ model.p["w1"] + model.p["b1"])
+        weights.append(np.exp(sum(np.tanh(h @ model.p["v"][:, k]) / (1 + np.exp(-(h @ model.p["u"][:, k]))) * model.p["w"][k] for k in range(quality.ATTENTION))))
+        codes.append(h)
+    z = sum(a * h for a, h in zip(weights, codes, strict=True)) / sum(weights)
+    return 1 / (1 + np.exp(-(z @ model.p["c"] + model.p["d"][0])))
+
+
+def test_quality_scores_against_plain_loops(spark, docs):
+    model = quality.train(table(spark, SF, "documents"), table(spark, SF, "labels"))
+    got = collect(quality.op3_quality(spark, SF))
+    for i, text in zip(docs.doc_id[:80], docs.text[:80], strict=True):
+        assert got[i]["score"] == pytest.approx(brute_score(model, text), abs=1e-4)
+        assert got[i]["held_out"] == (secrets_crc(str(i)) % 5 == 0) and got[i]["predicted"] == int(got[i]["score"] >= 0.3)
+
+
+def secrets_crc(text):
+    import zlib
+
+    return zlib.crc32(text.encode())
+
+
 def test_quality_edges(spark, odd, tmp_path):
     model = quality.train(table(spark, SF, "documents"), table(spark, SF, "labels"))
     got = quality.score(odd, model).collect()
@@ -343,6 +385,13 @@ def test_tails_of_copies_are_kept_apart(spark):
     assert sum(len(b) == 2 for b in bins.values()) == 3
 
 
+def test_equal_rows_spread_over_shards(spark):
+    rows = [(None, "a b c", "s")] * 900 + [(5, "d e", "t")] * 300
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), shard_rows=100).collect()
+    per = Counter(r["shard"] for r in got)
+    assert len(got) == 1200 and len(per) == 12 and max(per.values()) < 300
+
+
 # 5 ---------------------------------------------------------------------------------------------
 
 
@@ -774,6 +823,30 @@ def test_rollup_commits(spark, odd):
         r.commit("../x", token_rollups.signed(k))
 
 
+def test_compaction_leaves_later_batches_alone(spark, odd, monkeypatch):
+    """A batch that is committed while a snapshot is being made counts once, before and after."""
+    r = token_rollups.Rollup(spark, fresh_path(spark, "rollup-test"))
+    k = token_rollups.count_tokens(odd).cache()
+    r.commit("a", token_rollups.signed(k))
+    plain = token_rollups.Rollup.totals
+
+    def late(self, names=None):
+        if names is not None:
+            self.commit("late", token_rollups.signed(k))
+        return plain(self, names)
+
+    monkeypatch.setattr(token_rollups.Rollup, "totals", late)
+    r.compact()
+    monkeypatch.undo()
+    want = {(*x[:3], 2 * x[3], 2 * x[4], 2 * x[5]) for x in token_rollups.signed(k).groupBy("source", "lang", "tokenizer").agg(*[F.sum(c) for c in ("n_docs", "n_tokens", "n_chars")]).collect()}
+    assert r.batches() == ["a", "late"] and {tuple(x) for x in r.totals().collect()} == {x for x in want if any(x[3:])}
+
+
+def test_rollup_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    assert token_rollups.op9_token_rollups(spark, str(tmp_path)).count() == 0
+
+
 def test_rollup_rewrites_a_broken_batch(spark, odd):
     import os
 
