@@ -17,13 +17,16 @@ Defined cases:
 
 * a null text is the empty text; a text without words has the fingerprint of zeros, likeness 1 to another such and
   0 to any other;
-* rows with equal or null ``doc_id`` are documents of their own, ordered by text (null ids come last in descending order);
+* rows with equal or null ``doc_id`` are documents of their own, ordered by a hash of their text (null ids come last in
+  descending order); equal rows follow one another, whichever comes first;
+* texts of any length count whole;
 * an empty table gives an empty result; other columns of the input are not looked at.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,8 +40,10 @@ SAMPLES = 64
 BLOCK = 8
 #: Hex digits of a sample in the fingerprint.
 DIGITS = 4
-#: Ranges that the documents are dealt into, at most, and documents in each, about.
-RANGES, RANGE_ROWS = 10_000, 250
+#: Ranges that the documents are dealt into, at most, and documents in each, about (more where there are over 25 million documents).
+RANGES, RANGE_ROWS = 100_000, 250
+#: Ranges of one id's rows.
+_WITHIN = 1 << 20
 _LOW = (1 << 31) - 1
 
 
@@ -66,38 +71,57 @@ def _hex(minimum: Column) -> Column:
     return F.lpad(F.lower(F.hex(minimum.bitwiseAND(F.lit(_LOW)) % (16**DIGITS - 1) + 1)), DIGITS, "0")
 
 
+def _longs(values: list[int]) -> Column:
+    """An array of longs as one folded literal, however many there are."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
+
+
 def _place(doc_id: Column, bounds: list[int]) -> Column:
     """How many of the bounds, ascending, are at or over an id: its range, descending. Looked up in two steps of about sqrt(n)."""
     if not bounds:
         return F.lit(0)
     step = max(1, math.isqrt(len(bounds)))
-    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    tops = F.lit([g[-1] for g in groups]).cast("array<bigint>")
+    tops = _longs([bounds[min(i + step, len(bounds)) - 1] for i in range(0, len(bounds), step)])
     below = F.size(F.filter(tops, lambda b: b < doc_id))
-    inner = F.size(F.filter(F.coalesce(F.get(F.lit(groups).cast("array<array<bigint>>"), below), F.array().cast("array<bigint>")), lambda b: b < doc_id))
+    inner = F.size(F.filter(F.slice(_longs(bounds), below * step + 1, F.lit(step)), lambda b: b < doc_id))
     return F.greatest(F.lit(len(bounds)) - below * step - inner, F.lit(0))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """(_range, _pos, doc_id, text, next_text): the next document in descending doc_id, after the last the first.
 
-    Ranges of doc_id are cut at quantiles, and a window inside each finds the next row. For the last row of a range, the
-    first document of the range that follows is laid behind it: one more row a range, whose result is dropped.
+    Ranges of doc_id are cut at quantiles, and a window inside each finds the next row. Rows of one id, and rows without
+    one, are ordered by a hash of their text; where an id takes up several quantiles, and for null ids, that hash cuts
+    them into as many ranges. For the last row of a range, the first document of the range that follows is laid behind
+    it: one more row a range, whose result is dropped.
     """
     d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    cuts = min(RANGES, max(1, d.count() // RANGE_ROWS))
-    bounds = d.agg(F.percentile_approx("doc_id", [i / cuts for i in range(1, cuts)], 20 * cuts)).first()[0] if cuts > 1 else None
-    bounds = sorted(set(bounds or []))
-    # Ids over the last bound are range 0, null ids the last range.
+    known, nameless = d.agg(F.count("doc_id"), F.count(F.lit(1)) - F.count("doc_id")).first()
+    cuts = min(RANGES, max(1, known // RANGE_ROWS))
+    marks = d.agg(F.percentile_approx("doc_id", [i / cuts for i in range(1, cuts)], 20 * min(cuts, 25_000))).first()[0] if cuts > 1 else None
+    times = Counter(marks or [])
+    bounds = sorted(times)
+    # Ids over the last bound are range 0, null ids the last ranges. Of the range behind a bound, the rows of that very id come first.
+    hashed = F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("string"))
+    within = lambda k: F.least(F.floor((hashed.cast("double") / F.lit(float(1 << 64)) + 0.5) * k), k - 1).cast("long")
+    of = _place(F.col("doc_id"), bounds)
+    many = [times[b] for b in reversed(bounds)]
+    hot = F.coalesce(F.get(_longs(many), of - 1), F.lit(1).cast("long"))
+    inside = F.when(F.coalesce(F.get(_longs(bounds[::-1]), of - 1) == F.col("doc_id"), F.lit(False)) & (hot > 1), within(hot)).otherwise(F.when(hot > 1, hot).otherwise(0))
+    null_ranges = F.lit(max(1, min(RANGES, nameless // RANGE_ROWS)))
     # Stated as never null: a null test on one use of the ranges would keep Spark from reusing the shuffle for the other.
-    place = F.coalesce(F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(_place(F.col("doc_id"), bounds)), F.lit(0))
+    place = F.when(F.col("doc_id").isNull(), F.lit((len(bounds) + 1) * _WITHIN).cast("long") + within(null_ranges)).otherwise(of.cast("long") * _WITHIN + (inside if any(k > 1 for k in many) else F.lit(0)))
+    place = F.coalesce(place, F.lit(0).cast("long"))
     d = d.withColumn("_range", place)
-    first = materialize(docs.select("doc_id").withColumn("_range", place).groupBy("_range").agg(F.max("doc_id").alias("_top")), "cws-ranges")
+    only_ids = not nameless and not any(k > 1 for k in many)
+    first = (docs.select("doc_id") if only_ids else docs.select("doc_id", F.col("text").cast("string").alias("text"))).withColumn("_range", place if not only_ids else F.coalesce(of.cast("long") * _WITHIN, F.lit(0).cast("long")))
+    first = materialize(first.groupBy("_range").agg(F.max("doc_id").alias("_top")), "cws-ranges")
     ring = Window.orderBy("_range")
-    before = first.withColumn("_of", F.coalesce(F.lag("_range").over(ring), F.max("_range").over(Window.partitionBy(F.lit(1)))))
-    heads = d.drop("_range").join(F.broadcast(before), F.col("doc_id").eqNullSafe(F.col("_top"))).groupBy("_of").agg(F.min("text").alias("text"))
-    d = d.withColumn("_head", F.lit(0)).unionByName(heads.select(F.lit(None).cast(d.schema["doc_id"].dataType).alias("doc_id"), "text", F.coalesce("_of", F.lit(0)).alias("_range"), F.lit(1).alias("_head")))
-    down = Window.partitionBy("_range").orderBy("_head", F.col("doc_id").desc_nulls_last(), "text")
+    before = first.withColumn("_of", F.coalesce(F.lag("_range").over(ring), F.max("_range").over(Window.partitionBy(F.lit(1))))).withColumnRenamed("_range", "_mine")
+    heads = d.join(F.broadcast(before), F.col("doc_id").eqNullSafe(F.col("_top")) & (F.col("_range") == F.col("_mine")))
+    heads = heads.groupBy("_of").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    d = d.withColumn("_head", F.lit(0)).unionByName(heads.select(F.lit(None).cast(d.schema["doc_id"].dataType).alias("doc_id"), "text", F.coalesce("_of", F.lit(0).cast("long")).alias("_range"), F.lit(1).alias("_head")))
+    down = Window.partitionBy("_range").orderBy("_head", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
     d = d.withColumn("_pos", F.row_number().over(down)).withColumn("next_text", F.lead("text").over(down)).where("_head = 0")
     return d.select("_range", "_pos", "doc_id", "text", "next_text")
 
