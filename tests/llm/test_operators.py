@@ -118,6 +118,56 @@ def test_fingerprints_edges(spark, odd):
     assert fingerprints.with_next(empty).count() == 0
 
 
+def test_hot_and_missing_ids_are_cut_into_ranges(spark, monkeypatch):
+    """An id that a third of the rows have and rows without one: several ranges of each, and still one ring of all rows."""
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 20)
+    rows = [(i, f"text {i}") for i in range(300)] + [(150, f"hot {i}") for i in range(300)] + [(None, f"no id {i}") for i in range(300)]
+    d = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    follow = {r["text"]: r["next_text"] for r in d}
+    assert len(follow) == 900 and len(set(follow.values())) == 900
+    at, order = "text 299", []
+    for _ in range(900):
+        order.append(at)
+        at = follow[at]
+    ids = {t: i for i, t in rows}
+    assert at == "text 299" and len(set(order)) == 900
+    assert [ids[t] for t in order] == sorted((i for i, _ in rows), key=lambda i: (i is None, -(i or 0)))
+    per = defaultdict(set)
+    for r in d:
+        per[r["doc_id"]].add(r["_range"])
+    assert len(per[150]) > 3 and len(per[None]) > 3 and max(Counter(r["_range"] for r in d).values()) < 100
+
+
+def test_signatures_against_plain_arithmetic(spark):
+    """Consistent weighted samples recomputed in numpy from the same 64-bit hashes."""
+    texts = ["a b c a a d", "x y z z", "one", "a b c a a d e f g h"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "_pos int, a string").select(F.lit(0).alias("_range"), "_pos", "a", F.col("a").alias("b"))
+    got = {r["_pos"]: r["fingerprint"] for r in fingerprints.fingerprint_pairs(d).collect()}
+    words_ = sorted({w for t in texts for w in t.split()})
+    h = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in words_], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    blocks, k = fingerprints.SAMPLES // fingerprints.BLOCK, fingerprints.BLOCK
+    ask = spark.createDataFrame([(w, h[w], p, s) for w in words_ for p in range(blocks) for s in range(2 * k)], "w string, h long, p int, s int").select("w", "p", "s", F.xxhash64("h", "p", "s").alias("x"))
+    draw = {(r["w"], r["p"], r["s"]): r["x"] & ((1 << 64) - 1) for r in ask.collect()}
+    unit = lambda x, shift: ((x >> shift & ((1 << 21) - 1)) + 0.5) / (1 << 21)
+    best, levels = {}, set()
+    for i, t in enumerate(texts):
+        for p in range(blocks):
+            for s in range(k):
+                rows = []
+                for w, n in Counter(t.split()).items():
+                    a, g = draw[w, p, 2 * s], draw[w, p, 2 * s + 1]
+                    r, c, beta = -np.log(unit(a, 0) * unit(a, 21)), -np.log(unit(g, 0) * unit(g, 21)), unit(a, 42)
+                    level = int(np.floor(np.log(n) / r + beta))
+                    rows.append((np.log(c) - r * (level - beta + 1), w, level))
+                best[i, p, s] = min(rows)[1:]
+                levels.add((h[min(rows)[1]], min(rows)[2]))
+    ask = spark.createDataFrame(sorted(levels), "h long, t long").select("h", "t", F.xxhash64("h", "t").alias("x")).collect()
+    last = {(r["h"], r["t"]): r["x"] & ((1 << 31) - 1) for r in ask}
+    for i in range(len(texts)):
+        want = "".join(f"{last[h[best[i, p, s][0]], best[i, p, s][1]] % (16**fingerprints.DIGITS - 1) + 1:0{fingerprints.DIGITS}x}" for p in range(blocks) for s in range(k))
+        assert got[i] == want
+
+
 def test_fingerprints_on_odd_tables(spark, odd, tmp_path):
     odd.write.parquet(f"{tmp_path}/documents.parquet")
     got = fingerprints.op1_fingerprints(spark, str(tmp_path)).collect()
