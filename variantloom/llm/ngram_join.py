@@ -171,15 +171,15 @@ def _signed(size: int, num: int, den: int):
 def _with_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rest = [batch.column(c) for c in ("cls", "comp", "cells")]
+            rest = [batch.column(c) for c in ("key", "comp", "cells")]
             done, held, got = 0, 0, []
             for row, s in sets_of(batch.column("text"), size):
                 got.append(s)
                 held += len(s)
                 if held > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([*(x.slice(done, row + 1 - done) for x in rest), _lists(got)], ["cls", "comp", "cells", "set"])
+                    yield pa.RecordBatch.from_arrays([*(x.slice(done, row + 1 - done) for x in rest), _lists(got)], ["key", "comp", "cells", "set"])
                     done, held, got = row + 1, 0, []
-            yield pa.RecordBatch.from_arrays([*(x.slice(done) for x in rest), _lists(got)], ["cls", "comp", "cells", "set"])
+            yield pa.RecordBatch.from_arrays([*(x.slice(done) for x in rest), _lists(got)], ["key", "comp", "cells", "set"])
 
     return run
 
@@ -275,57 +275,55 @@ class Trie:
         return found
 
 
-def forest(sets: list[np.ndarray], side: list[int], num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the sets: within one side, or between sides 0 and 1."""
-    root = list(range(len(sets)))
+def forest(keys: list[int], sets: list[np.ndarray], side: list[int], num: int, den: int) -> list[tuple[int, int]]:
+    """Links among the sets, within one side or between sides 0 and 1: every key with the least key that it is linked to.
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
+    Sets with one key count as linked.
+    """
+    root: dict[int, int] = {k: k for k in keys}
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
 
     two = 1 in side
     inside = [i for i, s in enumerate(side) if s == 0]
-    trie, out = Trie([sets[i] for i in inside]), []
+    trie = Trie([sets[i] for i in inside])
     for p in [i for i, s in enumerate(side) if s == 1] if two else inside:
         for q in trie.probe(sets[p], num, den):
-            a, b = find(p), find(inside[q])
-            if a != b:
-                root[a] = b
-                out.append((p, inside[q]))
-    return out
+            a, b = find(keys[p]), find(keys[inside[q]])
+            root[max(a, b)] = min(a, b)
+    return [(k, r) for k in root if (r := find(k)) != k]
 
 
 def _joined(num: int, den: int):
-    def block(keys: list[int], side: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-        return [(keys[a], keys[b]) for a, b in forest(sets, side, num, den)]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, keys, side, sets = None, [], [], []
         for batch in batches:
             k = list(zip(*(batch.column(c).to_pylist() for c in ("comp", "i", "j")), strict=True))
-            cls, sd = batch.column("cls").to_pylist(), batch.column("side").to_pylist()
+            own, sd = batch.column("key").to_pylist(), batch.column("side").to_pylist()
             col = batch.column("set")
             at, flat = col.offsets.to_numpy(), col.values.to_numpy().view(np.uint64)
             out: list[tuple[int, int]] = []
             for r in range(batch.num_rows):
                 if k[r] != key:
-                    out += block(keys, side, sets) if len(keys) > 1 else []
+                    out += forest(keys, sets, side, num, den) if len(keys) > 1 else []
                     key, keys, side, sets = k[r], [], [], []
-                keys.append(cls[r])
+                keys.append(own[r])
                 side.append(sd[r])
                 sets.append(flat[at[r] : at[r + 1]].copy())
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
-        out = block(keys, side, sets) if len(keys) > 1 else []
+        out = forest(keys, sets, side, num, den) if len(keys) > 1 else []
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
     return run
 
 
-def _part(parts: str, seed: int) -> Column:
-    return F.pmod(F.xxhash64("cls", F.lit(seed)), F.col(parts)).cast("int")
+def _part(parts: str, seed: int, key: str = "cls") -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(seed)), F.col(parts)).cast("int")
 
 
 def _cell(i: Column, j: Column, side: Column) -> Column:
@@ -334,45 +332,52 @@ def _cell(i: Column, j: Column, side: Column) -> Column:
 
 
 def _join_cells(text: DataFrame, cells: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The links (a, b), as forests, found in the cells of (cls, comp, cells)."""
-    sets = text.join(small(materialize(cells, "ngram-cells")), F.col("doc_id") == F.col("cls")).select("cls", "comp", "cells", "text")
-    sets = sets.mapInArrow(_with_sets(size), "cls long, comp long, cells array<struct<i:int,j:int,side:int>>, set array<long>")
-    dealt = sets.select("cls", "comp", "set", F.explode("cells").alias("x")).select("cls", "comp", "set", "x.i", "x.j", "x.side")
+    """The links (a, b) of keys, each to the least key of its cell that it is linked to, found in the cells of (cls, key, comp, cells)."""
+    sets = text.join(small(materialize(cells, "ngram-cells")), F.col("doc_id") == F.col("cls")).select("key", "comp", "cells", "text")
+    sets = sets.mapInArrow(_with_sets(size), "key long, comp long, cells array<struct<i:int,j:int,side:int>>, set array<long>")
+    dealt = sets.select("key", "comp", "set", F.explode("cells").alias("x")).select("key", "comp", "set", "x.i", "x.j", "x.side")
     n = int(text.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = ["comp", "i", "j"]
-    return materialize(dealt.repartition(n, *key).sortWithinPartitions(*key, "cls").mapInArrow(_joined(num, den), "a long, b long"), "ngram-links")
+    by = ["comp", "i", "j"]
+    return materialize(dealt.repartition(n, *by).sortWithinPartitions(*by, "key").mapInArrow(_joined(num, den), "a long, b long"), "ngram-links")
+
+
+def _regrouped(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """(cls, comp, grp) with each group under the group that it was linked to; a group is in one cell, so it has one link at most."""
+    return groups.join(small(links), F.col("grp") == F.col("a"), "left").select("cls", "comp", F.coalesce("b", "grp").alias("grp"))
 
 
-def _between_parts(text: DataFrame, big: DataFrame, edges: list[DataFrame], size: int, num: int, den: int, part: int) -> list[DataFrame]:
-    """More links of the blocks with several parts (cls, comp), whose parts were joined by themselves."""
-    found, before = [], None
+def _between_parts(text: DataFrame, big: DataFrame, links: DataFrame, size: int, num: int, den: int, part: int) -> list[DataFrame]:
+    """More links of the blocks with several parts (cls, comp), whose parts were joined by themselves with these links."""
+    found, before, groups = [], None, big.withColumn("grp", F.col("cls"))
     while True:
-        linked = materialize(connected_components(reduce(DataFrame.unionByName, [*edges, *found])), "ngram-linked")
-        groups = big.join(small(linked), F.col("cls") == F.col("node"), "left").select("cls", "comp", F.coalesce("component", "cls").alias("grp"))
-        groups = materialize(groups, "ngram-groups")
+        groups = materialize(_regrouped(groups, links), "ngram-groups")
         sizes = groups.groupBy("comp", "grp").agg(F.count(F.lit(1)).alias("n"))
         still = sizes.groupBy("comp").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("all"), F.max(F.struct("n", "grp")).alias("top")).where("groups > 1")
         still = materialize(still.select("comp", "groups", "all", F.col("top.n").alias("top"), F.col("top.grp").alias("top_grp")), "ngram-open")
-        total = still.agg(F.sum("groups")).first()[0]
+        total, blocks = still.agg(F.sum("groups"), F.count(F.lit(1))).first()
         if not total:
             return found
-        groups = groups.join(small(still), "comp")
+        rest = groups.join(small(still, blocks), "comp")
         if before is not None and 2 * total > before:
             break
         before = total
-        few = groups.groupBy("comp", "grp", "groups").agg(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("cls", F.lit(k)), "cls")).getField("cls") for k in range(STAND_INS)])).alias("few"))
-        few = few.select(F.explode("few").alias("cls"), "comp", F.ceil(F.col("groups") * STAND_INS / part).cast("int").alias("parts"))
-        mine = _part("parts", 1 + len(found))
-        found.append(_join_cells(text, few.select("cls", "comp", F.array(_cell(mine, mine, F.lit(0))).alias("cells")), size, num, den))
+        few = rest.groupBy("comp", "grp", "groups").agg(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("cls", F.lit(k)), "cls")).getField("cls") for k in range(STAND_INS)])).alias("few"))
+        few = few.select(F.explode("few").alias("cls"), F.col("grp").alias("key"), "comp", F.ceil(F.col("groups") * STAND_INS / part).cast("int").alias("parts"))
+        # All that stand in for one group are in one cell.
+        mine = _part("parts", 1 + len(found), "key")
+        links = _join_cells(text, few.select("cls", "key", "comp", F.array(_cell(mine, mine, F.lit(0))).alias("cells")), size, num, den)
+        found.append(links)
+        groups = rest.select("cls", "comp", "grp")
+    groups = rest
     # All others against the largest group (its parts are numbered after theirs) and against one another.
     others, largest = F.ceil((F.col("all") - F.col("top")) / part).cast("int"), F.ceil(F.col("top") / part).cast("int")
-    groups = groups.select("cls", "comp", (F.col("grp") == F.col("top_grp")).alias("in_top"), others.alias("others"), largest.alias("largest"))
+    groups = groups.select("cls", "comp", F.col("grp").alias("key"), (F.col("grp") == F.col("top_grp")).alias("in_top"), others.alias("others"), largest.alias("largest"))
     groups = groups.withColumn("p", F.when(F.col("in_top"), F.col("others") + _part("largest", 0)).otherwise(_part("others", 0)))
     probes = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda i: _cell(i, F.col("p"), F.lit(1)))
     among = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda q: _cell(F.least(q, F.col("p")), F.greatest(q, F.col("p")), q < F.col("p")))
     tries = F.transform(F.sequence(F.col("others"), F.col("others") + F.col("largest") - 1), lambda j: _cell(F.col("p"), j, F.lit(0)))
     cells = F.when(F.col("in_top"), probes).otherwise(F.concat(among, tries))
-    return [*found, _join_cells(text, groups.select("cls", "comp", cells.alias("cells")), size, num, den)]
+    return [*found, _join_cells(text, groups.select("cls", "key", "comp", cells.alias("cells")), size, num, den)]
 
 
 def ngram_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, part: int = PART) -> DataFrame:
@@ -384,18 +389,20 @@ def ngram_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 1
     same = materialize(same, "ngram-same")
     a = a.join(small(same), ["h1", "h2", "n_shingles"], "left").withColumn("cls", F.when(F.col("doc_id").isNotNull(), F.coalesce("cls", "doc_id")))
     # Star edges: every class with a signature to the least class with the same one.
-    sig = a.where("doc_id = cls").select("cls", F.explode("sigs").alias("sig"))
+    # Signatures are shuffled once, for their minima and for the join with those, which streams over them.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sig = a.where("doc_id = cls").select("cls", F.explode("sigs").alias("sig")).repartition(n, "sig")
     lead = sig.groupBy("sig").agg(F.min("cls").alias("lead"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    stars = sig.join(small(materialize(lead, "ngram-leads")), "sig").where("cls <> lead").select("cls", "lead")
+    stars = sig.join(lead.hint("shuffle_hash"), "sig").where("cls <> lead").select("cls", "lead")
     blocks = connected_components(stars, "cls", "lead")
     blocks = materialize(blocks.unionByName(blocks.select(F.col("component").alias("node"), "component").distinct()), "ngram-blocks")
     members = materialize(blocks.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).withColumn("parts", F.ceil(F.col("_n") / part).cast("int")).drop("_n"), "ngram-parts")
     cand = blocks.join(small(members), "component").select(F.col("node").alias("cls"), F.col("component").alias("comp"), "parts")
     cand = materialize(cand, "ngram-cand")
-    edges = [_join_cells(text, cand.select("cls", "comp", F.array(_cell(_part("parts", 0), _part("parts", 0), F.lit(0))).alias("cells")), size, num, den)]
+    edges = [_join_cells(text, cand.select("cls", F.col("cls").alias("key"), "comp", F.array(_cell(_part("parts", 0), _part("parts", 0), F.lit(0))).alias("cells")), size, num, den)]
     big = cand.where("parts > 1").drop("parts")
     if not big.isEmpty():
-        edges += _between_parts(text, big, edges, size, num, den, part)
+        edges += _between_parts(text, big, edges[0], size, num, den, part)
     edges = reduce(DataFrame.unionByName, edges)
     linked = materialize(connected_components(edges), "ngram-components").withColumnRenamed("node", "_node")
     out = a.select("doc_id", "n_shingles", "cls").join(small(linked), F.col("cls") == F.col("_node"), "left")
