@@ -66,21 +66,44 @@ class VariantDataset:
         return c
 
     def _calls_of_arrays(self) -> DataFrame:
-        """One row per cell of the arrays that is not plainly 0/0; arrays follow the selected samples in order."""
-        v = self.variants
+        if self.ploidy != 2:
+            raise ValueError("tables of calls are diploid; selected_cells has any ploidy")
+        c = self._cells_of_arrays()
+        return c.select("variant_index", "sample_index", F.get("g", F.lit(0)).alias("a1"), F.get("g", F.lit(1)).alias("a2"), "phase", "dp", "ds")
+
+    @property
+    def selected_cells(self) -> DataFrame:
+        """(variant_index, sample_index, g, phase, dp, ds) of the cells that are not plainly reference, of any ploidy; g has the codes."""
+        if self.calls is None:
+            return self._cells_of_arrays()
+        return self.selected_calls.select("variant_index", "sample_index", F.array("a1", "a2").alias("g"), "phase", "dp", "ds")
+
+    def _cells_of_arrays(self, every: bool = False) -> DataFrame:
+        """One row per cell of the arrays that is not plainly reference, or per cell; arrays follow the selected samples in order."""
+        v, p = self.decoded().variants, self.ploidy
         if "gt" not in v.columns:
             raise ValueError("this dataset has no genotypes")
-        if self.ploidy != 2:
-            raise ValueError("calls are diploid")
         kinds = {"phase": "boolean", "dp": "int", "ds": "double"}
         plain = {"phase": "array<boolean>", "dp": "array<int>", "ds": "array<double>"}
-        have = {c for c in kinds if c in v.columns and v.schema[c].dataType.simpleString() == plain[c]}
-        at = lambda c, i: F.get(F.col(c), i) if c in have else F.lit(False if c == "phase" else None).cast(kinds[c])
-        cell = F.transform(F.sequence(F.lit(0), (F.size("gt") / 2).cast("int") - 1), lambda i: F.struct((i + 1).alias("_s"), F.get(F.col("gt"), 2 * i).alias("a1"), F.get(F.col("gt"), 2 * i + 1).alias("a2"), *[at(c, i).alias(c) for c in kinds]))
-        told = lambda x: ~(x["a1"].eqNullSafe(0) & x["a2"].eqNullSafe(0) & ~F.coalesce(x["phase"], F.lit(False)) & x["dp"].isNull() & F.coalesce(x["ds"], F.lit(0.0)).eqNullSafe(0.0))
-        c = v.where(F.size("gt") > 0).select("variant_index", F.explode(F.filter(cell, told)).alias("x")).select("variant_index", "x.*")
+        have = {f.name for f in v.schema.fields if f.name in kinds and f.dataType.simpleString() == plain[f.name]}
+        fill = {"phase": False, "ds": 0.0 if every else None}
+        at = lambda c, i: F.get(F.col(c), i) if c in have else F.lit(fill.get(c)).cast(kinds[c])
+        cell = F.transform(F.sequence(F.lit(0), (F.size("gt") / p).cast("int") - 1), lambda i: F.struct((i + 1).alias("_s"), F.slice("gt", i * p + 1, p).alias("g"), *[at(c, i).alias(c) for c in kinds]))
+        told = lambda x: ~(F.forall(x["g"], lambda a: a.eqNullSafe(0)) & ~F.coalesce(x["phase"], F.lit(False)) & x["dp"].isNull() & F.coalesce(x["ds"], F.lit(0.0)).eqNullSafe(0.0))
+        c = v.where(F.size("gt") > 0).select("variant_index", F.explode(cell if every else F.filter(cell, told)).alias("x")).select("variant_index", "x.*")
+        return c.join(self._places(), "_s").select("variant_index", "sample_index", "g", *kinds)
+
+    def _places(self) -> DataFrame:
+        """(sample_index, _s): the places of the selected samples in the arrays; broadcast up to a counted bound."""
         own = self.samples.select("sample_index", F.row_number().over(_by_index()).alias("_s"))
-        return c.join(F.broadcast(own) if self.n_samples <= 500_000 else own, "_s").select("variant_index", "sample_index", "a1", "a2", *kinds)
+        return F.broadcast(own) if self.n_samples <= 500_000 else own
+
+    def decoded(self) -> VariantDataset:
+        """With ``gt`` in ``variants`` from the genotype text where that is all there is."""
+        v = self.variants
+        if "gt" in v.columns or "gs" not in v.columns:
+            return self
+        return self.with_(variants=v.withColumn("gt", F.transform(F.filter(F.split("gs", ""), lambda x: x != ""), allele_of_code)))
 
     def filtered(self, variants: DataFrame | None = None, samples: DataFrame | None = None) -> VariantDataset:
         """The dataset with a smaller selection of variants and / or samples."""
@@ -101,11 +124,11 @@ class VariantDataset:
 
         One shuffle of the calls by variant; the arrays are laid out by JVM expressions (runs of 0/0 between calls).
         """
-        if "gt" in self.variants.columns:
-            return self
-        s = self.samples.select("sample_index", F.row_number().over(_by_index()).alias("_s")) if self.meta.get("samples_filtered") else None
+        if {"gt", "gs"} & set(self.variants.columns):
+            return self.decoded()
+        s = self._places() if self.meta.get("samples_filtered") else None
         c = self.selected_calls
-        c = c.join(F.broadcast(s), "sample_index") if s is not None else c.withColumn("_s", F.col("sample_index"))
+        c = c.join(s, "sample_index") if s is not None else c.withColumn("_s", F.col("sample_index"))
         n, p = self.n_samples, self.ploidy
         e = c.groupBy("variant_index").agg(F.array_sort(F.collect_list(F.struct("_s", "a1", "a2", "phase", "dp", "ds"))).alias("e"))
 
@@ -133,9 +156,9 @@ class VariantDataset:
             return self
         if "gt" in v.columns:
             return self.with_(variants=v.withColumn("gs", F.array_join(F.transform("gt", allele_code), "")))
-        s = self.samples.select("sample_index", F.row_number().over(_by_index()).alias("_s")) if self.meta.get("samples_filtered") else None
+        s = self._places() if self.meta.get("samples_filtered") else None
         c = self.selected_calls
-        c = c.join(F.broadcast(s), "sample_index") if s is not None else c.withColumn("_s", F.col("sample_index"))
+        c = c.join(s, "sample_index") if s is not None else c.withColumn("_s", F.col("sample_index"))
         e = c.groupBy("variant_index").agg(F.array_sort(F.collect_list(F.struct("_s", F.concat(allele_code(F.col("a1")), allele_code(F.col("a2"))).alias("g")))).alias("e"))
         n, p = self.n_samples, self.ploidy
         gap = lambda x, i: (x["_s"] - F.when(i > 0, F.get(F.col("e"), i - 1)["_s"]).otherwise(0) - 1) * p
@@ -145,10 +168,11 @@ class VariantDataset:
         return self.with_(variants=out)
 
     def cells(self) -> DataFrame:
-        """(variant_index, sample_index, a1, a2) of every cell, absent calls filled in; for sample-major work on small selections."""
-        grid = self.variants.select("variant_index").join(F.broadcast(self.samples.select("sample_index")), how="cross") if self.n_samples <= 100_000 else self.variants.select("variant_index").crossJoin(self.samples.select("sample_index"))
-        c = self.selected_calls.withColumn("_call", F.lit(True))
-        return grid.join(c, ["variant_index", "sample_index"], "left").withColumns({"a1": F.when(F.col("_call"), F.col("a1")).otherwise(0), "a2": F.when(F.col("_call"), F.col("a2")).otherwise(0), "phase": F.coalesce("phase", F.lit(False)), "ds": F.when(F.col("_call"), F.col("ds")).otherwise(0.0)}).drop("_call")
+        """(variant_index, sample_index, g, phase, dp, ds) of every cell, laid out by variant and taken apart; also a1 and a2 where diploid."""
+        c = self.dense()._cells_of_arrays(every=True)
+        if self.ploidy != 2:
+            return c
+        return c.select("variant_index", "sample_index", F.get("g", F.lit(0)).alias("a1"), F.get("g", F.lit(1)).alias("a2"), "g", "phase", "dp", "ds")
 
 
 #: Characters of allele codes in genotype texts.
@@ -161,6 +185,12 @@ def allele_code(a):
     return F.when(a.isNull(), ".").when(a < 10, a.cast("string")).when(a < len(CODES), F.substring(F.lit(CODES), a + 1, 1)).otherwise(big)
 
 
+def allele_of_code(c):
+    """The allele code of a character of a genotype text, null for '.'."""
+    code = F.ascii(c)
+    return F.when(c != ".", F.when(code < 58, code - 48).when(code < 91, code - 55).otherwise(code - 61)).cast("int")
+
+
 def _by_index():
     from pyspark.sql import Window
 
@@ -168,14 +198,15 @@ def _by_index():
 
 
 def _slice_samples(ds: VariantDataset, samples: DataFrame) -> DataFrame:
-    """Arrays of ds cut to a smaller set of its samples (their places are a bounded list: one int per kept sample)."""
+    """Arrays of ds cut to a smaller set of its samples, whose places are one row (an int per kept sample) beside every variant."""
     place = ds.samples.select("sample_index", F.row_number().over(_by_index()).alias("_s"))
-    keep = F.lit([r["_s"] for r in place.join(samples.select("sample_index"), "sample_index", "left_semi").orderBy("_s").collect()]).cast("array<int>")
-    p, v = ds.ploidy, ds.variants
+    row = place.join(samples.select("sample_index"), "sample_index", "left_semi").agg(F.array_sort(F.collect_list("_s")).alias("_keep"))
+    p, v, keep = ds.ploidy, ds.variants, F.col("_keep")
     picked = lambda c: F.transform(keep, lambda i: F.get(F.col(c), i - 1))
-    cut = {c: picked(c) for c in v.columns if c in ("phase", "dp", "ds") or c.startswith("fmt_")}
+    kind = {f.name: f.dataType.typeName() for f in v.schema.fields}
+    cut = {c: picked(c) for c in v.columns if (c in ("phase", "dp", "ds") or c.startswith("fmt_")) and kind[c] == "array"}
     if "gt" in v.columns:
         cut["gt"] = F.flatten(F.transform(keep, lambda i: F.slice(F.col("gt"), (i - 1) * p + 1, p)))
     if "gs" in v.columns:
         cut["gs"] = F.array_join(F.transform(keep, lambda i: F.substring(F.col("gs"), (i - 1) * p + 1, F.lit(p))), "")
-    return v.withColumns(cut)
+    return v.crossJoin(F.broadcast(row)).withColumns(cut).drop("_keep")

@@ -84,6 +84,19 @@ def call_dosage_alt2(a1: Column, a2: Column) -> Column:
     return F.when(a1.isNotNull() | a2.isNotNull(), F.coalesce((a1 != 0).cast("int"), F.lit(0)) + F.coalesce((a2 != 0).cast("int"), F.lit(0)))
 
 
+def cell_dosage(g: Column) -> Column:
+    """Reference alleles of one cell of any ploidy; null if any allele is missing."""
+    return F.when(~F.exists(g, lambda x: x.isNull()), F.size(F.filter(g, lambda x: x == 0)))
+
+
+def cell_dosage_alt(g: Column) -> Column:
+    return F.when(~F.exists(g, lambda x: x.isNull()), F.size(F.filter(g, lambda x: x != 0)))
+
+
+def cell_dosage_alt2(g: Column) -> Column:
+    return F.when(F.exists(g, lambda x: x.isNotNull()), F.size(F.filter(g, lambda x: x != 0)))
+
+
 def gt_text(gt: Column, phase: Column, ploidy: int = 2) -> Column:
     """VCF text of each sample's genotype: codes or '.', joined by '|' if phased, else '/'."""
     n = (F.size(gt) / ploidy).cast("int")

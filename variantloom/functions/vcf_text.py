@@ -57,7 +57,8 @@ def sized(array: Column, number: str, n_allele: Column, name: str, kind: str, st
 def info_text(info: Column, name: str) -> Column:
     """Text of an INFO key: the first of repeated ones counts, null without it, '' for a bare flag."""
     hit = F.filter(F.split(info, ";"), lambda e: (e == name) | e.startswith(name + "="))
-    return F.regexp_replace(F.get(hit, F.lit(0)), f"^{name}=?", "")
+    first = F.get(hit, F.lit(0))
+    return F.when(first.isNotNull(), F.substring(first, F.lit(len(name) + 2), F.length(first)))
 
 
 def strip_prefix(chromosome: Column, prefixes: tuple[str, ...] = ("chr",)) -> Column:
@@ -66,14 +67,27 @@ def strip_prefix(chromosome: Column, prefixes: tuple[str, ...] = ("chr",)) -> Co
     done = F.lit(False)
     for p in prefixes:
         hit = F.lower(F.substring(chromosome, 1, len(p))) == p.lower()
-        out = F.when(hit & ~done, F.regexp_replace(chromosome, f"(?i)^{p}", "")).otherwise(out)
+        out = F.when(hit & ~done, F.substring(chromosome, F.lit(len(p) + 1), F.length(chromosome))).otherwise(out)
         done = done | hit
     return out
 
 
-def alleles_of(gt: Column) -> Column:
-    """Allele codes of a GT text; '.' is null."""
-    return F.transform(F.split(gt, r"[|/]"), lambda x: x.try_cast("int"))
+def alleles_of(gt: Column, n_allele: Column | None = None, strict: bool = False) -> Column:
+    """Allele codes of a GT text; '.' is null.
+
+    With the number of alleles, a code at or over it is null as well. With ``strict``, such a code, and a text that is no
+    code, is an error.
+    """
+
+    def one(x: Column) -> Column:
+        code = F.trim(x).try_cast("int")
+        beyond = F.lit(False) if n_allele is None else (code >= n_allele) | (code < 0)
+        if not strict:
+            return F.when(~beyond, code) if n_allele is not None else code
+        wrong = (code.isNull() & ~F.trim(x).isin(".", "")) | F.coalesce(beyond, F.lit(False))
+        return F.when(wrong, F.raise_error(F.concat(F.lit("no allele of this variant: "), gt)).cast("int")).otherwise(code)
+
+    return F.transform(F.split(gt, r"[|/]"), one)
 
 
 def padded(codes: Column, ploidy: int) -> Column:

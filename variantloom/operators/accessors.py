@@ -54,23 +54,39 @@ def info(ds: VariantDataset, name: str, number: str = "1") -> DataFrame:
     return ds.variants.select("variant_id", x.alias("value"))
 
 
-def call_text(ds: VariantDataset) -> Column:
-    """Genotype text of a recorded call, '.' if both alleles are missing."""
-    a = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
-    return F.when(F.col("a1").isNull() & F.col("a2").isNull(), ".").otherwise(F.concat(a("a1"), F.when(F.col("phase"), "|").otherwise("/"), a("a2")))
+def cell_text(g: Column, phase: Column) -> Column:
+    """Genotype text of a cell of any ploidy, '.' if all alleles are missing."""
+    codes = F.transform(g, lambda x: F.coalesce(x.cast("string"), F.lit(".")))
+    return F.when(F.forall(g, lambda x: x.isNull()), ".").otherwise(F.replace(F.array_join(codes, "/"), F.lit("/"), F.when(phase, F.lit("|")).otherwise(F.lit("/"))))
 
 
-def geno(ds: VariantDataset) -> DataFrame:
-    """(variant_index, sample_index, gt) of the recorded calls; all other cells are 0/0."""
-    return ds.selected_calls.select("variant_index", "sample_index", call_text(ds).alias("gt"))
+def geno(ds: VariantDataset, fields: list[str] | None = None, recorded: bool = False) -> DataFrame:
+    """(variant_index, sample_index, gt, ...) of all cells, with other FORMAT fields by name; ``recorded``: of the recorded calls only.
+
+    ``fields`` names what to take (GT, DP, DS, or a field that was read from a file); all by default. A field that a
+    variant does not have is null.
+    """
+    if recorded:
+        return ds.selected_cells.select("variant_index", "sample_index", cell_text(F.col("g"), F.col("phase")).alias("gt"))
+    d = ds.dense()
+    have = {"DP": "dp", "DS": "ds"} | {c.removeprefix("fmt_"): c for c in d.variants.columns if c.startswith("fmt_")}
+    kind = {f.name: f.dataType.typeName() for f in d.variants.schema.fields}
+    have = {n: c for n, c in have.items() if kind.get(c) == "array"}
+    names = ["GT", *sorted(have)] if fields is None else fields
+    if missing := [n for n in names if n != "GT" and n not in have]:
+        raise KeyError(f"no such field: {', '.join(missing)}")
+    p = ds.ploidy
+    text = lambda i: cell_text(F.slice("gt", i * p + 1, p), F.coalesce(F.get(F.col("phase"), i), F.lit(False)))
+    one = lambda i: F.struct((i + 1).alias("_s"), *[(text(i) if n == "GT" else F.get(F.col(have[n]), i)).alias(n.lower()) for n in names])
+    cells = d.variants.where(F.lit(ds.n_samples > 0)).select("variant_index", F.explode(F.transform(F.sequence(F.lit(0), F.lit(max(ds.n_samples, 1) - 1)), one)).alias("x")).select("variant_index", "x.*")
+    return cells.join(d._places(), "_s").select("variant_index", "sample_index", *[n.lower() for n in names])
 
 
 def genotype_table(ds: VariantDataset) -> DataFrame:
     """(gt, n) of unphased genotype texts over all cells, counted from the calls."""
-    a = lambda c: F.col(c).cast("string")
-    per = ds.selected_calls.select(F.when(F.col("a1").isNotNull() & F.col("a2").isNotNull(), F.concat(a("a1"), F.lit("/"), a("a2"))).alias("gt")).groupBy("gt").agg(F.count(F.lit(1)).alias("n"))
+    per = ds.selected_cells.select(F.when(~F.exists("g", lambda x: x.isNull()), F.array_join(F.col("g").cast("array<string>"), "/")).alias("gt")).groupBy("gt").agg(F.count(F.lit(1)).alias("n"))
     total = ds.n_samples * ds.n_variants
-    rest = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("k")).select(F.lit("0/0").alias("gt"), (F.lit(total) - F.col("k")).alias("n"))
+    rest = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("k")).select(F.lit("/".join(["0"] * ds.ploidy)).alias("gt"), (F.lit(total) - F.col("k")).alias("n"))
     return per.unionByName(rest).groupBy("gt").agg(F.sum("n").alias("n")).where("n > 0")
 
 

@@ -43,9 +43,9 @@ def apply_variants(ds: VariantDataset, columns: str | list[str], function: Calla
     return rows.mapInPandas(run, f"variant_index int, value {kind}")
 
 
-def apply_samples(ds: VariantDataset, function: Callable[[pd.DataFrame], Any], schema: str = "sample_index int, value double", recorded_only: bool = True) -> DataFrame:
-    """function(frame of a sample's calls) -> frame; recorded calls by default, all cells otherwise."""
-    return (ds.selected_calls if recorded_only else ds.cells()).groupBy("sample_index").applyInPandas(function, schema)
+def apply_samples(ds: VariantDataset, function: Callable[[pd.DataFrame], Any], schema: str = "sample_index int, value double", recorded_only: bool = False) -> DataFrame:
+    """function(frame of a sample's cells) -> frame; all cells by default, the recorded calls only if asked for."""
+    return (ds.selected_calls if recorded_only else ds.cells().drop("g") if ds.ploidy == 2 else ds.cells()).groupBy("sample_index").applyInPandas(function, schema)
 
 
 def parallel(ds: VariantDataset, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str, split: str = "by.variant", parts: int | None = None) -> DataFrame:

@@ -49,8 +49,11 @@ def get(ds: VariantDataset, name: str, external: Mapping[str, DataFrame] | None
         f = {"$dosage": C.dosage, "$dosage_alt": C.dosage_alt, "$dosage_alt2": C.dosage_alt2}[name]
         return ds.dense().variants.select(i, f(F.col("gt"), ds.ploidy).alias("value"))
     if name in ("$dosage_sp", "$dosage_sp2"):
-        f = C.call_dosage_alt if name == "$dosage_sp" else C.call_dosage_alt2
-        return C.sparse_entries(ds.selected_calls, f(F.col("a1"), F.col("a2")))
+        if ds.ploidy == 2:
+            f = C.call_dosage_alt if name == "$dosage_sp" else C.call_dosage_alt2
+            return C.sparse_entries(ds.selected_calls, f(F.col("a1"), F.col("a2")))
+        f = C.cell_dosage_alt if name == "$dosage_sp" else C.cell_dosage_alt2
+        return C.sparse_entries(ds.selected_cells, f(F.col("g")))
     if name.startswith("annotation/info/"):
         x = name.removeprefix("annotation/info/")
         column = _known(v, x.removeprefix("@"))

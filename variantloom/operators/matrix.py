@@ -51,12 +51,17 @@ def pack_by_variant_native(ds: VariantDataset) -> DataFrame:
 
 
 def pack_by_sample(ds: VariantDataset) -> DataFrame:
-    """(sample_index, block, packed): blocks of four variants in file order, one byte each as an int."""
-    alt = F.when(F.col("a1").isNull() & F.col("a2").isNull(), 3).otherwise(F.least(C.call_dosage_alt2(F.col("a1"), F.col("a2")), F.lit(3)))
-    c = ds.cells().select("sample_index", F.floor((F.col("variant_index") - 1) / 4).alias("block"), ((F.col("variant_index") - 1) % 4).alias("k"), alt.alias("v"))
-    byte = F.sum(F.col("v") * F.pow(F.lit(4.0), F.col("k"))).cast("int")
-    missing = F.sum(F.pow(F.lit(4.0), F.col("k"))).cast("int")
-    return c.groupBy("sample_index", "block").agg((byte + (255 - missing * 3)).alias("packed"))
+    """(sample_index, block, packed): blocks of four variants in file order, one byte each as an int; any ploidy.
+
+    The code arrays of four variants meet in one row, which is taken apart by sample there; unused bits are ones.
+    """
+    d, p = ds.dense(), ds.ploidy
+    code = F.transform(C.dosage_alt2(F.col("gt"), p), lambda x: F.least(F.coalesce(x, F.lit(3)), F.lit(3)))
+    v = d.variants.select(F.floor((F.col("variant_index") - 1) / 4).alias("block"), ((F.col("variant_index") - 1) % 4).alias("k"), code.alias("c"))
+    four = v.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("k", "c"))).alias("m"))
+    byte = lambda i: sum(F.coalesce(F.get(F.try_element_at("m", F.lit(k)), i), F.lit(3)) * 4**k for k in range(4))
+    rows = four.where(F.lit(ds.n_samples > 0)).select("block", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(max(ds.n_samples, 1) - 1)), byte)).alias("_p", "packed"))
+    return rows.withColumn("_s", F.col("_p") + 1).join(d._places(), "_s").select("sample_index", "block", F.col("packed").cast("int").alias("packed"))
 
 
 def gram(ds: VariantDataset, block: int = 512) -> np.ndarray:
@@ -107,12 +112,12 @@ def inbreeding(ds: VariantDataset) -> DataFrame:
     """
     from . import stats as S
 
-    n = S.call_counts(ds).select("variant_index", S.frequency().alias("p")).where("p > 0 and p < 1")
+    n = S.counts(ds).select("variant_index", S.frequency().alias("p")).where("p > 0 and p < 1")
     term = lambda g: (g * g - g * (1 + 2 * F.col("p")) + 2 * F.col("p") * F.col("p")) / (2 * F.col("p") * (1 - F.col("p")))
-    two = F.lit(2.0)
+    two = F.lit(float(ds.ploidy))
     all_ = n.agg(F.sum(term(two)).alias("_t"), F.count(F.lit(1)).alias("_n"))
-    g = C.call_dosage(F.col("a1"), F.col("a2")).cast("double")
-    per = ds.selected_calls.join(n, "variant_index").groupBy("sample_index").agg(F.sum(term(two)).alias("_less"), F.sum(term(g)).alias("_add"), F.sum(g.isNull().cast("int")).alias("_miss"))
+    g = C.cell_dosage(F.col("g")).cast("double")
+    per = ds.selected_cells.join(n, "variant_index").groupBy("sample_index").agg(F.sum(term(two)).alias("_less"), F.sum(term(g)).alias("_add"), F.sum(g.isNull().cast("int")).alias("_miss"))
     s = ds.samples.select("sample_index").join(per, "sample_index", "left").crossJoin(F.broadcast(all_))
     total = F.coalesce("_t", F.lit(0.0)) - F.coalesce("_less", F.lit(0.0)) + F.coalesce("_add", F.lit(0.0))
     return s.select("sample_index", F.try_divide(total, (F.col("_n") - F.coalesce("_miss", F.lit(0))).cast("double")).alias("f"))

@@ -46,6 +46,8 @@ def merge_variants(*parts: VariantDataset) -> VariantDataset:
     """
     if len({p.ploidy for p in parts}) > 1:
         raise ValueError("files differ in ploidy")
+    if any(p.calls is None for p in parts):
+        return _merge_variants_of_arrays([p.dense() for p in parts])
     keys = reduce(DataFrame.unionAll, [p.variants.select(C.chrom_pos_allele(F.col("chromosome"), F.col("position"), F.col("allele")).alias("k"), F.lit(i).alias("f")).distinct() for i, p in enumerate(parts)])
     if not keys.groupBy("k").count().where("count > 1").isEmpty():
         raise ValueError("files share both samples and variants")
@@ -70,6 +72,104 @@ def merge_variants(*parts: VariantDataset) -> VariantDataset:
     return VariantDataset(table, samples.join(annotation, "sample_id", "left"), reduce(DataFrame.unionByName, calls), merge_meta(*parts), parts[0].ploidy)
 
 
+def _array_columns(p: VariantDataset) -> list[str]:
+    """Columns with a value a sample (gt: ploidy values): genotypes, phase, dosages, depths and FORMAT fields."""
+    return [f.name for f in p.variants.schema.fields if f.dataType.typeName() == "array" and (f.name in ("gt", "phase", "dp", "ds") or f.name.startswith("fmt_"))]
+
+
+def _kinds(parts: list[VariantDataset]) -> dict[str, str]:
+    """The array columns of all files and their types; files have to agree on these."""
+    out: dict[str, str] = {}
+    for p in parts:
+        for c in _array_columns(p):
+            kind = p.variants.schema[c].dataType.simpleString()
+            if out.setdefault(c, kind) != kind:
+                raise ValueError(f"files differ in the type of {c}")
+    return out
+
+
+def _laid_out(column: str, kind: str, order: Column, ploidy: int) -> Column:
+    """An array column with its values at the places that ``order`` names (0: none, so missing and not phased)."""
+    none = F.lit(False) if column == "phase" else F.lit(None).cast(kind[6:-1])
+    if column == "gt":
+        return F.flatten(F.transform(order, lambda i: F.when((i > 0) & (F.size("gt") > 0), F.slice("gt", (i - 1) * ploidy + 1, ploidy)).otherwise(F.array_repeat(none, ploidy))))
+    # A field that a variant does not have stays null.
+    return F.when(F.col(column).isNotNull(), F.transform(order, lambda i: F.when(i > 0, F.coalesce(F.get(F.col(column), i - 1), none)).otherwise(none)))
+
+
+def _placed_samples(parts: list[VariantDataset]) -> tuple[DataFrame, list[DataFrame]]:
+    """The union of the samples, and per file one row: the place of every sample of the union among the file's own, or 0."""
+    samples = sample_union(parts).drop("files")
+    rows = []
+    for p in parts:
+        own = p.samples.select("sample_id", F.row_number().over(Window.orderBy("sample_index")).alias("_own"))
+        have = samples.join(own, "sample_id", "left").select("sample_index", F.coalesce("_own", F.lit(0)).alias("_own"))
+        rows.append(have.agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_index", "_own"))), lambda x: x["_own"]).alias("_order")))
+    return samples, rows
+
+
+def _with_annotation(samples: DataFrame, parts: list[VariantDataset]) -> DataFrame:
+    return samples.join(_first_annotation(parts), "sample_id", "left")
+
+
+def _merge_variants_of_arrays(parts: list[VariantDataset]) -> VariantDataset:
+    """merge_variants() over arrays, of any ploidy: every array is laid out anew over the samples of all files, without a shuffle."""
+    keys = reduce(DataFrame.unionAll, [p.variants.select(C.chrom_pos_allele(F.col("chromosome"), F.col("position"), F.col("allele")).alias("k"), F.lit(i).alias("f")).distinct() for i, p in enumerate(parts)])
+    if not keys.groupBy("k").count().where("count > 1").isEmpty():
+        raise ValueError("files share both samples and variants")
+    kinds, p0 = _kinds(parts), parts[0].ploidy
+    samples, orders = _placed_samples(parts)
+    offset, variants = 0, []
+    for p, order in zip(parts, orders, strict=True):
+        v = numbered(p.variants.drop("gs", "geno_extra"), "variant_index").crossJoin(F.broadcast(order))
+        v = v.withColumns({c: _laid_out(c, kinds[c], F.col("_order"), p0) for c in _array_columns(p)})
+        v = v.withColumn("variant_index", (F.col("_rank") + offset).cast("int")).withColumn("variant_id", F.col("variant_index").cast("long")).drop("_rank", "_order")
+        variants.append(v)
+        offset += p.n_variants
+    table = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), variants)
+    return VariantDataset(table, _with_annotation(samples, parts), None, merge_meta(*parts), p0)
+
+
+def _merge_samples_of_arrays(parts: list[VariantDataset]) -> VariantDataset:
+    """merge_samples() over arrays, of any ploidy: per variant, the files' arrays are put together in the order of all samples.
+
+    A FORMAT field is null for a variant that has it in no file, and missing for the samples of files without it.
+    """
+    key, kinds, p0 = ["chromosome", "position", "allele"], _kinds(parts), parts[0].ploidy
+    samples, orders = _placed_samples(parts)
+    arrays = sorted(kinds)
+    each = []
+    for i, p in enumerate(parts):
+        v = p.variants.drop("gs", "geno_extra", "variant_id")
+        v = v.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("variant_index")))
+        own = F.struct(*[F.col(c) if c in v.columns else F.lit(None).cast(kinds[c]).alias(c) for c in arrays]).alias("_own")
+        rest = [c for c in v.columns if c not in (*key, *arrays, "_n", "variant_index")]
+        each.append(v.select(*key, "_n", F.lit(i).alias("_f"), "variant_index", own, *rest))
+    u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), each)
+    rest = [c for c in u.columns if c not in (*key, "_f", "_n", "variant_index", "_own")]
+    first = u.groupBy(*key, "_n").agg(F.min(F.struct("_f", "variant_index")).alias("_k"), F.map_from_entries(F.collect_list(F.struct("_f", "_own"))).alias("_files"), *[F.min_by(c, "_f").alias(c) for c in rest])
+    placed = numbered(first.withColumn("_file", F.col("_k._f")).withColumn("_old", F.col("_k.variant_index")), "_old", "_file")
+    table = placed.withColumn("variant_index", F.col("_rank").cast("int")).withColumn("variant_id", F.col("_rank")).drop("_file", "_old", "_rank", "_k", "_n")
+    # One row: of every sample of the union, its file and its place there.
+    where = reduce(DataFrame.crossJoin, [o.withColumnRenamed("_order", f"_o{i}") for i, o in enumerate(orders)])
+
+    def at(i: int) -> Column:
+        return F.transform(F.col(f"_o{i}"), lambda x: F.when(x > 0, F.struct(F.lit(i).alias("f"), x.cast("int").alias("i"))))
+
+    table = table.crossJoin(F.broadcast(where.select(reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.coalesce(x, y)), [at(i) for i in range(len(parts))]).alias("_where"))))
+
+    def together(c: str) -> Column:
+        none = F.lit(False) if c == "phase" else F.lit(None).cast(kinds[c][6:-1])
+        of = lambda w: F.try_element_at("_files", w["f"])[c]
+        if c == "gt":
+            return F.flatten(F.transform("_where", lambda w: F.when(F.size(of(w)) > 0, F.slice(of(w), (w["i"] - 1) * p0 + 1, p0)).otherwise(F.array_repeat(none, p0))))
+        out = F.transform("_where", lambda w: F.coalesce(F.get(of(w), w["i"] - 1), none))
+        return out if c == "phase" else F.when(F.exists(F.map_values("_files"), lambda x: x[c].isNotNull()), out)
+
+    table = table.withColumns({c: together(c) for c in arrays}).drop("_files", "_where")
+    return VariantDataset(table, _with_annotation(samples, parts), None, merge_meta(*parts), p0)
+
+
 def _first_annotation(parts) -> DataFrame:
     """Sample annotation of the first file that has the sample."""
     each = [p.samples.drop("sample_index").withColumn("_f", F.lit(i)) for i, p in enumerate(parts)]
@@ -86,6 +186,8 @@ def merge_samples(*parts: VariantDataset) -> VariantDataset:
     """
     if len({p.ploidy for p in parts}) > 1:
         raise ValueError("files differ in ploidy")
+    if any(p.calls is None for p in parts):
+        return _merge_samples_of_arrays([p.dense() for p in parts])
     key = ["chromosome", "position", "allele"]
     samples = sample_union(list(parts)).drop("files")
     each = [p.variants.drop("gt", "phase", "dp", "ds", "variant_id").withColumn("_f", F.lit(i)) for i, p in enumerate(parts)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from typing import Any
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dataset import VariantDataset
+from ..session import shared_dir
 
 _FIXED = {"position": "int", "chromosome": "string", "allele": "string"}
 _NOTES = {"annotation/id": "id", "annotation/qual": "qual", "annotation/filter": "filter"}
@@ -73,12 +75,14 @@ def add_value(ds: VariantDataset, name: str, value: Any, replace: bool = False,
 def add_stream(ds: VariantDataset, name: str, function: Callable[[Iterator], Iterator], kind: str) -> VariantDataset:
     """annotation/info/X from a function over blocks: an iterator of frames of variants to frames (variant_index, value).
 
-    Blocks are made and written as they come; as many values as variants have to come out.
+    Blocks are made and written as they come, so the function runs once; as many values as variants have to come out.
     """
     col = name.removeprefix("annotation/info/")
-    made = ds.variants.mapInPandas(function, f"variant_index int, value {kind}")
-    if made.count() != ds.n_variants:
-        raise ValueError(f"{name} needs a value for every variant")
+    path = f"{shared_dir(ds.spark)}/variantloom/stream-{uuid.uuid4().hex}"
+    ds.variants.mapInPandas(function, f"variant_index int, value {kind}").write.parquet(path)
+    made = ds.spark.read.schema(f"variant_index int, value {kind}").parquet(path)
+    if made.count() != ds.n_variants or not made.groupBy("variant_index").count().where("count > 1").isEmpty():
+        raise ValueError(f"{name} needs one value for every variant")
     return add_value(ds, f"annotation/info/{col}", made, replace=True)
 
 
@@ -99,5 +103,5 @@ def append_fill(rows: DataFrame, name: str, value: Any) -> DataFrame:
 
 def sample_major(ds: VariantDataset, path: str, buckets: int = 64) -> None:
     """Write the calls once more, dealt and sorted by sample, so that reads of a few samples skip the rest."""
-    c = ds.selected_calls
+    c = ds.selected_calls if ds.ploidy == 2 else ds.selected_cells
     c.repartition(buckets, F.pmod("sample_index", F.lit(buckets))).sortWithinPartitions("sample_index", "variant_index").write.mode("overwrite").parquet(path)

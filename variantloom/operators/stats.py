@@ -118,8 +118,7 @@ def all_allele_counts(ds: VariantDataset) -> DataFrame:
 
     Codes beyond the known alleles count in n only. Calls are counted per (variant, code) and laid out by code.
     """
-    c = ds.selected_calls
-    a = c.select("variant_index", F.explode(F.array("a1", "a2")).alias("code"))
+    a = ds.selected_cells.select("variant_index", F.explode("g").alias("code"))
     per = a.groupBy("variant_index", "code").agg(F.count(F.lit(1)).alias("k"))
     per = per.groupBy("variant_index").agg(F.map_from_entries(F.collect_list(F.when(F.col("code").isNotNull(), F.struct("code", "k")))).alias("m"), F.sum("k").alias("rec"), F.sum(F.when(F.col("code").isNull(), F.col("k"))).alias("nm"))
     n = ds.ploidy * ds.n_samples
@@ -138,51 +137,125 @@ def missing_per_variant(ds: VariantDataset, dense: bool = False) -> DataFrame:
     return (dense_counts if dense else counts)(ds).select("variant_index", missing_rate().alias("missing"))
 
 
+def _missing_alleles(ds: VariantDataset) -> tuple[DataFrame, Column]:
+    """Cells of any ploidy and how many missing alleles each has."""
+    if ds.ploidy == 2:
+        return ds.selected_calls, F.col("a1").isNull().cast("long") + F.col("a2").isNull().cast("long")
+    return ds.selected_cells, F.size(F.filter("g", lambda x: x.isNull())).cast("long")
+
+
 def missing_per_sample(ds: VariantDataset) -> DataFrame:
     """(sample_index, missing): missing alleles over ploidy x variants. Calls are summed by sample on the map side first."""
-    nm = F.col("a1").isNull().cast("long") + F.col("a2").isNull().cast("long")
-    per = ds.selected_calls.groupBy("sample_index").agg(F.sum(nm).alias("_nm"))
+    c, nm = _missing_alleles(ds)
+    per = c.groupBy("sample_index").agg(F.sum(nm).alias("_nm"))
     total = ds.ploidy * ds.n_variants
     return ds.samples.join(per, "sample_index", "left").select("sample_index", F.try_divide(F.coalesce("_nm", F.lit(0)).cast("double"), F.lit(float(total))).alias("missing"))
 
 
 def missing_both(ds: VariantDataset) -> DataFrame:
     """(axis, ix, missing) of variants and samples from one aggregation of the calls over grouping sets."""
-    nm = F.col("a1").isNull().cast("long") + F.col("a2").isNull().cast("long")
-    per = ds.selected_calls.select("variant_index", "sample_index", nm.alias("nm")).groupingSets([["variant_index"], ["sample_index"]], "variant_index", "sample_index").agg(F.sum("nm").alias("nm"), F.grouping("variant_index").alias("g"))
+    c, nm = _missing_alleles(ds)
+    per = c.select("variant_index", "sample_index", nm.alias("nm")).groupingSets([["variant_index"], ["sample_index"]], "variant_index", "sample_index").agg(F.sum("nm").alias("nm"), F.grouping("variant_index").alias("g"))
     rate = lambda n: F.try_divide(F.coalesce("nm", F.lit(0)).cast("double"), F.lit(float(n)))
     v = ds.variants.select("variant_index").join(per.where("g = 0").select("variant_index", "nm"), "variant_index", "left")
     s = ds.samples.select("sample_index").join(per.where("g = 1").select("sample_index", "nm"), "sample_index", "left")
     return v.select(F.lit("variant").alias("axis"), F.col("variant_index").alias("ix"), rate(ds.ploidy * ds.n_samples).alias("missing")).unionByName(s.select(F.lit("sample").alias("axis"), F.col("sample_index").alias("ix"), rate(ds.ploidy * ds.n_variants).alias("missing")))
 
 
-def ds_sums(ds: VariantDataset) -> DataFrame:
-    """variants plus num (samples with a dosage) and total (their sum), from the recorded dosages (absent: 0)."""
-    per = ds.selected_calls.groupBy("variant_index").agg(F.sum(F.col("ds").isNull().cast("long")).alias("_null"), F.sum("ds").alias("_sum"))
-    v = ds.variants.join(per, "variant_index", "left")
-    return v.withColumn("num", (ds.n_samples - F.coalesce("_null", F.lit(0))).cast("long")).withColumn("total", F.coalesce("_sum", F.lit(0.0))).drop("_null", "_sum")
+def dosage_field(ds: VariantDataset) -> str | None:
+    """The column with a list of dosages per sample (one an alternative allele), if there is one; else dosages are one a sample."""
+    for f in ds.variants.schema.fields:
+        if f.name in ("fmt_DS", "ds") and f.dataType.simpleString().startswith("array<array<"):
+            return f.name
+    return None
 
 
-def ds_allele_freq(ds: VariantDataset, ref_allele: int = 0) -> DataFrame:
-    """(variant_index, af) from one dosage column: alt sum / (num x ploidy), or 1 less that for the reference; other codes null."""
-    af = F.try_divide(F.col("total"), F.col("num") * F.lit(float(ds.ploidy)))
-    return ds_sums(ds).select("variant_index", (1 - af if ref_allele == 0 else af if ref_allele == 1 else F.lit(None).cast("double")).alias("af"))
+def _finite(a: Column) -> Column:
+    return F.filter(a, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
-def ds_allele_count(ds: VariantDataset, ref_allele: int = 0) -> DataFrame:
-    s = F.col("total")
-    ac = F.col("num") * F.lit(float(ds.ploidy)) - s if ref_allele == 0 else s if ref_allele == 1 else F.lit(None).cast("double")
-    return ds_sums(ds).select("variant_index", F.when(F.col("num") > 0, ac).alias("ac"))
+def _sum(a: Column) -> Column:
+    return F.aggregate(_finite(a), F.lit(0.0), lambda s, x: s + x)
+
+
+def ds_sums(ds: VariantDataset, alt: int = 0) -> DataFrame:
+    """variants plus num (dosages that are there), total (their sum), m (columns) and cells (samples x columns).
+
+    Of one column, from the recorded dosages (absent: 0) or the arrays; of lists per sample, pooled over all m columns,
+    or with ``alt`` of that alternative allele alone (none beyond m). A variant without dosages has m = 1, all missing.
+    """
+    name = dosage_field(ds)
+    if name is None and (ds.calls is not None or "ds" in ds.variants.columns):
+        per = ds.selected_calls.groupBy("variant_index").agg(F.sum(F.col("ds").isNull().cast("long")).alias("_null"), F.sum("ds").alias("_sum")) if ds.calls is not None else None
+        if per is None:
+            v = ds.variants.withColumns({"num": F.size(_finite(F.col("ds"))).cast("long"), "total": _sum(F.col("ds"))})
+        else:
+            v = ds.variants.join(per, "variant_index", "left")
+            v = v.withColumns({"num": (ds.n_samples - F.coalesce("_null", F.lit(0))).cast("long"), "total": F.coalesce("_sum", F.lit(0.0))}).drop("_null", "_sum")
+        v = v.withColumns({"m": F.lit(1), "cells": F.lit(ds.n_samples).cast("long")})
+        return v if alt <= 1 else v.withColumns({"num": F.lit(0).cast("long"), "total": F.lit(0.0)})
+    if name is None:
+        raise ValueError("this dataset has no dosages")
+    rows = F.coalesce(F.transform(F.col(name), lambda x: x.cast("array<double>")), F.array().cast("array<array<double>>"))
+    m = F.greatest(F.coalesce(F.array_max(F.transform(rows, lambda x: F.size(x))), F.lit(1)), F.lit(1))
+    flat = F.flatten(F.transform(rows, lambda x: F.coalesce(x, F.array().cast("array<double>")))) if alt == 0 else F.transform(rows, lambda x: F.get(x, F.lit(alt - 1)))
+    v = ds.variants.withColumn("m", m).withColumn("_flat", flat)
+    v = v.withColumns({"num": F.size(_finite(F.col("_flat"))).cast("long"), "total": _sum(F.col("_flat")), "cells": (ds.n_samples * F.col("m")).cast("long")})
+    return v.drop("_flat")
+
+
+def _ds_freq(ds: VariantDataset, alt: int) -> Column:
+    """Of ds_sums: the reference pools the columns, sum x m / (num x ploidy) from 1; another allele has its own column."""
+    af = F.try_divide(F.col("total") * (F.col("m") if alt == 0 else F.lit(1)), F.col("num") * F.lit(float(ds.ploidy)))
+    return 1 - af if alt == 0 else _of_known(ds, alt, af)
+
+
+def _of_known(ds: VariantDataset, alt: int, x: Column) -> Column:
+    """Null for an allele beyond the known ones; a single column is that of allele 1 whether it is known or not."""
+    return F.when(F.lit(alt) < C.num_allele(F.col("allele")), x) if dosage_field(ds) else x
+
+
+def ds_allele_freq(ds: VariantDataset, ref_allele: int = 0, minor: bool = False) -> DataFrame:
+    """(variant_index, af) from dosages of any number of columns; an allele without a column or beyond the known ones is null."""
+    af = _ds_freq(ds, ref_allele)
+    return ds_sums(ds, ref_allele).select("variant_index", (F.when(af > 0.5, 1 - af).otherwise(af) if minor else af).alias("af"))
+
+
+def ds_allele_count(ds: VariantDataset, ref_allele: int = 0, minor: bool = False) -> DataFrame:
+    """(variant_index, ac): num x ploidy / m less the sum for the reference, the sum of its column for another allele."""
+    whole = F.col("num") * F.lit(float(ds.ploidy)) / (F.col("m") if ref_allele == 0 else F.lit(1))
+    ac = whole - F.col("total") if ref_allele == 0 else _of_known(ds, ref_allele, F.col("total"))
+    return ds_sums(ds, ref_allele).select("variant_index", F.when(F.col("num") > 0, F.least(ac, whole - ac) if minor else ac).alias("ac"))
 
 
 def ds_missing(ds: VariantDataset, per_variant: bool = True) -> DataFrame:
-    """Share of cells without a dosage per variant, or of variants with any missing dosage per sample."""
+    """Share of samples x columns without a dosage per variant, or of variants with any missing dosage per sample."""
     if per_variant:
-        return ds_sums(ds).select("variant_index", F.try_divide((ds.n_samples - F.col("num")).cast("double"), F.lit(float(ds.n_samples))).alias("missing"))
-    per = ds.selected_calls.groupBy("sample_index").agg(F.sum(F.col("ds").isNull().cast("long")).alias("_nm"))
+        return ds_sums(ds).select("variant_index", F.try_divide((F.col("cells") - F.col("num")).cast("double"), F.col("cells").cast("double")).alias("missing"))
+    name = dosage_field(ds)
+    if name is None:
+        per = ds.selected_calls.groupBy("sample_index").agg(F.sum(F.col("ds").isNull().cast("long")).alias("_nm"))
+    else:
+        # Counted per place in the arrays, added up on the map side first.
+        rows = ds.variants.select(F.posexplode(F.transform(F.coalesce(F.col(name), F.array_repeat(F.lit(None).cast("array<double>"), ds.n_samples)), lambda x: (F.coalesce(F.size(_finite(x.cast("array<double>"))), F.lit(0)) < F.greatest(F.coalesce(F.array_max(F.transform(F.col(name), lambda y: F.size(y))), F.lit(1)), F.lit(1))).cast("long"))).alias("_p", "_bad"))
+        per = rows.groupBy("_p").agg(F.sum("_bad").alias("_nm")).withColumn("_s", F.col("_p") + 1).join(ds._places(), "_s").select("sample_index", "_nm")
     return ds.samples.join(per, "sample_index", "left").select("sample_index", F.try_divide(F.coalesce("_nm", F.lit(0)).cast("double"), F.lit(float(ds.n_variants))).alias("missing"))
 
 
+def ds_af_ac_missing(ds: VariantDataset, minor: bool = False, alt: bool = False, ns: bool = False) -> DataFrame:
+    """(variant_index, af, ac, miss[, ns]) from dosages in one pass; ``alt`` turns to the other alleles before ``minor`` folds."""
+    af = _ds_freq(ds, 0)
+    af = 1 - af if alt else af
+    whole = F.col("num") * F.lit(float(ds.ploidy)) / F.col("m")
+    ac = F.col("total") if alt else whole - F.col("total")
+    ac = F.least(ac, whole - ac) if minor else ac
+    miss = F.try_divide((F.col("cells") - F.col("num")).cast("double"), F.col("cells").cast("double"))
+    cols = [(F.when(af > 0.5, 1 - af).otherwise(af) if minor else af).alias("af"), F.when(F.col("num") > 0, ac).alias("ac"), miss.alias("miss")]
+    if ns:
+        cols.append(F.bround(F.lit(float(ds.n_samples)) * (1 - miss), 0).cast("long").alias("ns"))
+    return ds_sums(ds).select("variant_index", *cols)
+
+
 def dosage_matrix_freq(dosages: Column, ploidy: int = 2, alt_index: int = 0, m: int = 1) -> Column:
     """Allele frequency from an array (alt allele) of arrays (sample) of dosages; alt_index 0 is the reference.
 

@@ -28,7 +28,6 @@ add("f1_filter_both", lambda s, d: S.allele_freq(L.by_sample_id(L.by_flag(load(s
     " FROM variants v CROSS JOIN n LEFT JOIN c ON c.variant_index = v.variant_index WHERE num_allele = 2 GROUP BY v.variant_index")
 add("f2_samples_by_id", lambda s, d: L.by_sample_id(load(s, d), ["Supplier#000000001", "Supplier#000000003", None, "none"]).samples.select("sample_index", "sample_id"), CUBE + "SELECT sample_index, sample_id FROM samples WHERE sample_id IN ('Supplier#000000001', 'Supplier#000000003')")
 add("f3_samples_by_index", lambda s, d: L.by_index(load(s, d), [3, 1, 3, None], "sample").samples.select("sample_index", "sample_id"), CUBE + "SELECT sample_index, sample_id FROM samples WHERE sample_index IN (1, 3)")
-add("f4_variants_by_id", lambda s, d: _v(L.by_variant_id(load(s, d), s.read.parquet(f"{d}/orders.parquet").select((F.col("o_orderkey") + 1).alias("i")).where("i % 3 = 0"))), CUBE + _V + " WHERE variant_id IN (SELECT o_orderkey + 1 FROM orders WHERE (o_orderkey + 1) % 3 = 0)")
 add("f5_variants_by_flag", lambda s, d: _v(L.by_flag(load(s, d), F.col("qual") > 56.5)), CUBE + _V + " WHERE qual > 56.5e0")
 add("f5_variants_by_index", lambda s, d: _v(L.by_index(load(s, d), [2, 5, 5, 7])), CUBE + _V + " WHERE variant_index IN (2, 5, 7)")
 add("f6_intersect_index", lambda s, d: _v(L.by_index(L.by_flag(load(s, d), F.col("num_allele") > 2), range(1, 12), intersect=True)), CUBE + ", r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY variant_index) AS n FROM variants WHERE num_allele > 2) SELECT variant_index, variant_id FROM r WHERE n <= 11")
@@ -45,19 +44,17 @@ def _stack(s, d):
 
 
 add("f7_filter_stack", _stack, CUBE + "SELECT variant_index, variant_id, 2 AS level FROM variants WHERE chromosome IN ('1', '2', 'X') AND num_allele = 2 UNION ALL SELECT variant_index, variant_id, 1 AS level FROM variants WHERE chromosome IN ('1', '2', 'X')")
-add("f8_request_index", lambda s, d: _requested(s, d), CUBE + ", q AS (SELECT o_orderkey AS request_ix, o_custkey + 1 AS variant_id FROM orders WHERE o_orderkey < 500), sel AS (SELECT variant_id, ROW_NUMBER() OVER (ORDER BY variant_index) AS place FROM variants WHERE variant_id IN (SELECT variant_id FROM q)) SELECT q.request_ix, CAST(sel.place AS BIGINT) AS place FROM q LEFT JOIN sel ON sel.variant_id = q.variant_id")
 
 
-def _requested(s, d, some="o_orderkey < 500"):
+def _requested(s, d):
     ds = load(s, d)
-    q = s.read.parquet(f"{d}/orders.parquet").where(some).select(F.col("o_orderkey").alias("request_ix"), (F.col("o_custkey") + 1).alias("variant_id"))
+    q = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("request_ix"), (F.col("o_custkey") + 1).alias("variant_id"))
     chosen = L.by_variant_id(ds, q.select("variant_id")).variants.select("variant_id", "variant_index")
     return L.index_of_requested(q, chosen, "variant_id")
 
 
-# The same over all orders.
-add("f4_variants_by_id_all", lambda s, d: _v(L.by_variant_id(load(s, d), s.read.parquet(f"{d}/orders.parquet").select((F.col("o_orderkey") + 1).alias("i")))), CUBE + _V + " WHERE variant_id IN (SELECT o_orderkey + 1 FROM orders)")
-add("f8_request_index_all", lambda s, d: _requested(s, d, "true"), CUBE + ", q AS (SELECT o_orderkey AS request_ix, o_custkey + 1 AS variant_id FROM orders), sel AS (SELECT variant_id, ROW_NUMBER() OVER (ORDER BY variant_index) AS place FROM variants WHERE variant_id IN (SELECT variant_id FROM q)) SELECT q.request_ix, CAST(sel.place AS BIGINT) AS place FROM q LEFT JOIN sel ON sel.variant_id = q.variant_id")
+add("f4_variants_by_id", lambda s, d: _v(L.by_variant_id(load(s, d), s.read.parquet(f"{d}/orders.parquet").select((F.col("o_orderkey") + 1).alias("i")))), CUBE + _V + " WHERE variant_id IN (SELECT o_orderkey + 1 FROM orders)")
+add("f8_request_index", lambda s, d: _requested(s, d), CUBE + ", q AS (SELECT o_orderkey AS request_ix, o_custkey + 1 AS variant_id FROM orders), sel AS (SELECT variant_id, ROW_NUMBER() OVER (ORDER BY variant_index) AS place FROM variants WHERE variant_id IN (SELECT variant_id FROM q)) SELECT q.request_ix, CAST(sel.place AS BIGINT) AS place FROM q LEFT JOIN sel ON sel.variant_id = q.variant_id")
 
 
 add("f9_reset", lambda s, d: _v(L.FilterStack(L.by_flag(load(s, d), F.lit(True))).reset()), CUBE + _V)
@@ -75,15 +72,15 @@ _RANGES = ", r AS (SELECT CAST(c_custkey % 22 + 1 AS VARCHAR) AS rc, c_custkey *
 add("j2_range_join", lambda s, d: _v(L.by_ranges(load(s, d), _ranges(s, d), strip=None)), CUBE + _RANGES + " " + _V + " v WHERE EXISTS (SELECT 1 FROM r WHERE rc = v.chromosome AND v.position BETWEEN lo AND hi)")
 
 
-def _queries(s, d, some="o_orderkey < 2000"):
+def _queries(s, d):
     """Positions from orders, some with alleles, some with wildcards, with repeats and misses."""
     k = F.col("o_custkey")
-    o = s.read.parquet(f"{d}/orders.parquet").where(some)
+    o = s.read.parquet(f"{d}/orders.parquet")
     return o.select(F.col("o_orderkey").alias("query_ix"), F.when(k % 24 == 22, "X").when(k % 24 == 23, "Y").otherwise(((k % 24) + 1).cast("string")).alias("chromosome"), (1000 + (k % 30) * 1250).cast("int").alias("position"), F.when(k % 3 == 0, "T").when(k % 3 == 1, "G").alias("ref"), F.when(k % 2 == 0, F.when(k % 3 == 0, "C,G").otherwise("A")).alias("alt"))
 
 
 _Q = """, q AS (SELECT o_orderkey AS query_ix, CASE WHEN o_custkey % 24 = 22 THEN 'X' WHEN o_custkey % 24 = 23 THEN 'Y' ELSE CAST(o_custkey % 24 + 1 AS VARCHAR) END AS qc, CAST(1000 + (o_custkey % 30) * 1250 AS INT) AS qp,
-  CASE WHEN o_custkey % 3 = 0 THEN 'T' WHEN o_custkey % 3 = 1 THEN 'G' END AS qr, CASE WHEN o_custkey % 2 = 0 THEN CASE WHEN o_custkey % 3 = 0 THEN 'C,G' ELSE 'A' END END AS qa FROM orders WHERE o_orderkey < 2000),
+  CASE WHEN o_custkey % 3 = 0 THEN 'T' WHEN o_custkey % 3 = 1 THEN 'G' END AS qr, CASE WHEN o_custkey % 2 = 0 THEN CASE WHEN o_custkey % 3 = 0 THEN 'C,G' ELSE 'A' END END AS qa FROM orders),
  m AS (SELECT query_ix, variant_index FROM q LEFT JOIN variants v ON qc = chromosome AND qp = position AND (qr IS NULL OR qr = split_part(allele, ',', 1)) AND (qa IS NULL OR (strpos(allele, ',') > 0 AND qa = substr(allele, strpos(allele, ',') + 1))))
 """
 add("j1_position_matches", lambda s, d: L.match_positions(load(s, d).variants, _queries(s, d)), CUBE + _Q + "SELECT query_ix, variant_index FROM m")
@@ -91,13 +88,6 @@ add("f12_positions", lambda s, d: _v(L.by_positions(load(s, d), _queries(s, d)))
 add("f12_positions_first", lambda s, d: _v(L.by_positions(load(s, d), _queries(s, d), multi=False)), CUBE + _Q + _V + " WHERE variant_index IN (SELECT MIN(variant_index) FROM m GROUP BY query_ix)")
 add("f12_positions_no_alleles", lambda s, d: _v(L.by_positions(load(s, d), _queries(s, d).drop("ref", "alt"))), CUBE + _Q + _V + " v WHERE EXISTS (SELECT 1 FROM q WHERE qc = v.chromosome AND qp = v.position)")
 add("f12_position_index", lambda s, d: L.position_index(load(s, d), _queries(s, d)), CUBE + _Q + ", r AS (SELECT variant_index, ROW_NUMBER() OVER (ORDER BY variant_index) AS place FROM (SELECT DISTINCT variant_index FROM m WHERE variant_index IS NOT NULL)), f AS (SELECT query_ix, MIN(variant_index) AS variant_index FROM m GROUP BY query_ix) SELECT f.query_ix, CAST(r.place AS BIGINT) AS place FROM f LEFT JOIN r ON r.variant_index = f.variant_index")
-# The same over all orders.
-_Q_ALL = _Q.replace(" WHERE o_orderkey < 2000", "")
-add("j1_position_matches_all", lambda s, d: L.match_positions(load(s, d).variants, _queries(s, d, "true")), CUBE + _Q_ALL + "SELECT query_ix, variant_index FROM m")
-add("f12_positions_all", lambda s, d: _v(L.by_positions(load(s, d), _queries(s, d, "true"))), CUBE + _Q_ALL + _V + " WHERE variant_index IN (SELECT variant_index FROM m)")
-add("f12_positions_first_all", lambda s, d: _v(L.by_positions(load(s, d), _queries(s, d, "true"), multi=False)), CUBE + _Q_ALL + _V + " WHERE variant_index IN (SELECT MIN(variant_index) FROM m GROUP BY query_ix)")
-add("f12_positions_no_alleles_all", lambda s, d: _v(L.by_positions(load(s, d), _queries(s, d, "true").drop("ref", "alt"))), CUBE + _Q_ALL + _V + " v WHERE EXISTS (SELECT 1 FROM q WHERE qc = v.chromosome AND qp = v.position)")
-add("f12_position_index_all", lambda s, d: L.position_index(load(s, d), _queries(s, d, "true")), CUBE + _Q_ALL + ", r AS (SELECT variant_index, ROW_NUMBER() OVER (ORDER BY variant_index) AS place FROM (SELECT DISTINCT variant_index FROM m WHERE variant_index IS NOT NULL)), f AS (SELECT query_ix, MIN(variant_index) AS variant_index FROM m GROUP BY query_ix) SELECT f.query_ix, CAST(r.place AS BIGINT) AS place FROM f LEFT JOIN r ON r.variant_index = f.variant_index")
 add("f13_annotation_ids", lambda s, d: _v(L.by_annotation_id(load(s, d), L.by_chromosome(load(s, d), ["1"]), ["rs5", "rs17", "rs100", None])), CUBE + _V + " WHERE id IN ('rs5', 'rs17', 'rs100')")
 _MAF, _MAC = fold(AF0), "CASE WHEN tot > nm THEN least(n0, tot - nm - n0) END"
 add("f14_condition_default", lambda s, d: _v(L.by_condition(load(s, d))), CUBE + COUNTS + f"SELECT k.variant_index, variant_id FROM k JOIN variants v ON v.variant_index = k.variant_index WHERE {_MAC} >= 1")

@@ -253,4 +253,4 @@ def _ways(s, d):
     return a.join(b, "variant_index").join(c, "variant_index")
 
 
-add("r2_missing_rates", lambda s, d: S.missing_both(L.by_chromosome(load(s, d), ["6"])).where("axis = 'variant'").select("ix", "missing"), CUBE + COUNTS + "SELECT variant_index AS ix, CAST(nm AS DOUBLE) / CAST(tot AS DOUBLE) AS missing FROM k WHERE chromosome = '6'")
+add("r2_missing_rates", lambda s, d: S.missing_both(load(s, d)), CUBE + COUNTS + "SELECT 'variant' AS axis, variant_index AS ix, CAST(nm AS DOUBLE) / CAST(tot AS DOUBLE) AS missing FROM k UNION ALL SELECT 'sample', s.sample_index, CAST(COUNT(*) FILTER (c.variant_index IS NOT NULL AND a1 IS NULL) + COUNT(*) FILTER (c.variant_index IS NOT NULL AND a2 IS NULL) AS DOUBLE) / (SELECT 2e0 * COUNT(*) FROM variants) FROM samples s LEFT JOIN calls c ON c.sample_index = s.sample_index GROUP BY s.sample_index")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -17,6 +16,7 @@ from ..operators import merge as M
 from ..operators import mutate as X
 from ..operators import stats as S
 from ..operators import summary as Y
+from ..session import shared_dir
 from ..sources import plink, store, vcf
 from ..sources.fixture import CUBE, load
 from .base import add
@@ -24,9 +24,8 @@ from .stats_queries import _ALT, _DENSE, AF0, COUNTS
 
 
 def _path(s, name: str) -> str:
-    """A new folder: under the session's shared one if it names one, else a local one."""
-    base = s.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/variantloom-files"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder under the session's shared one."""
+    return f"{shared_dir(s)}/{name}-{uuid.uuid4().hex}"
 
 
 # Summaries.
@@ -74,7 +73,9 @@ add("b4_header", lambda s, d: s.createDataFrame([(x,) for x in vcf.header_lines(
 add("b5_info", lambda s, d: B.info(load(s, d), "aa").withColumnRenamed("value", "aa"), CUBE + "SELECT variant_id, NULLIF(aa, '') AS aa FROM variants")
 add("b5_info_per_alt", lambda s, d: B.info(load(s, d), "ac", number="A").select("variant_id", F.posexplode("value").alias("k", "ac")), CUBE + "SELECT variant_id, CAST(k AS INT) AS k, CASE WHEN k = 0 THEN ac END AS ac FROM (SELECT variant_id, ac, unnest(range(num_allele - 1)) AS k FROM variants)")
 _GT = "CASE WHEN a1 IS NULL AND a2 IS NULL THEN '.' ELSE COALESCE(CAST(a1 AS VARCHAR), '.') || CASE WHEN phase THEN '|' ELSE '/' END || COALESCE(CAST(a2 AS VARCHAR), '.') END"
-add("b6_genotype_text", lambda s, d: B.geno(load(s, d)), CUBE + f"SELECT variant_index, sample_index, {_GT} AS gt FROM calls")
+add("b6_genotype_text", lambda s, d: B.geno(load(s, d), ["GT"]), CUBE + _DENSE + f"SELECT variant_index, sample_index, {_GT} AS gt FROM g")
+add("b6_genotype_text_recorded", lambda s, d: B.geno(load(s, d), recorded=True), CUBE + f"SELECT variant_index, sample_index, {_GT} AS gt FROM calls")
+add("b6_format_fields", lambda s, d: B.geno(load(s, d), ["DP", "DS"]), CUBE + _DENSE + "SELECT variant_index, sample_index, dp, ds FROM g")
 add("b7_row_ranges", lambda s, d: B.row_ranges(load(s, d)).select("variant_id", "chromosome", "start", "end", "ref", "qual"), CUBE + f'SELECT variant_id, chromosome, position AS start, {_END} AS "end", split_part(allele, \',\', 1) AS ref, qual FROM variants')
 add("b7_col_data", lambda s, d: B.col_data(load(s, d)), CUBE + "SELECT CAST(sample_index AS BIGINT) AS samples, sample_id, family, sex FROM samples")
 add("k9_as_vcf", lambda s, d: B.as_vcf(load(s, d)).select("variant_id", "ref", "alt", F.array_join("gt", " ").alias("gt")), CUBE + _DENSE + f", t AS (SELECT variant_index, string_agg(COALESCE(CAST(a1 AS VARCHAR), '.') || CASE WHEN phase THEN '|' ELSE '/' END || COALESCE(CAST(a2 AS VARCHAR), '.'), ' ' ORDER BY sample_index) AS gt FROM g GROUP BY variant_index) SELECT variant_id, split_part(allele, ',', 1) AS ref, {_ALT} AS alt, gt FROM variants v JOIN t ON t.variant_index = v.variant_index")
@@ -166,17 +167,15 @@ def _squares(frames):
 
 add("x7_sample_annotation", lambda s, d: X.add_value(load(s, d), "sample.annotation/rank", F.col("sample_index") * 10).samples.select("sample_id", "rank"), CUBE + "SELECT sample_id, CAST(sample_index * 10 AS INT) AS rank FROM samples")
 add("x9_delete", lambda s, d: X.delete(load(s, d), info=["aa"], samp=["sex"]).variants.drop("p_partkey", "qual"), CUBE + "SELECT variant_index, variant_id, chromosome, position, num_allele, allele, id, filter, ac FROM variants")
-add("x10_sample_major", lambda s, d: _sample_major(s, d), CUBE + "SELECT sample_index, COUNT(*) AS n, CAST(SUM(dp) AS BIGINT) AS dp FROM calls WHERE sample_index IN (2, 7) GROUP BY sample_index")
 
 
-# The same over all samples.
-add("x10_sample_major_all", lambda s, d: _sample_major(s, d, "true"), CUBE + "SELECT sample_index, COUNT(*) AS n, CAST(SUM(dp) AS BIGINT) AS dp FROM calls GROUP BY sample_index")
+add("x10_sample_major", lambda s, d: _sample_major(s, d), CUBE + "SELECT sample_index, COUNT(*) AS n, CAST(SUM(dp) AS BIGINT) AS dp FROM calls GROUP BY sample_index")
 
 
-def _sample_major(s, d, some="sample_index in (2, 7)"):
+def _sample_major(s, d):
     path = _path(s, "by-sample")
     X.sample_major(load(s, d), path, 8)
-    return s.read.parquet(path).where(some).groupBy("sample_index").agg(F.count(F.lit(1)).alias("n"), F.sum("dp").alias("dp"))
+    return s.read.parquet(path).groupBy("sample_index").agg(F.count(F.lit(1)).alias("n"), F.sum("dp").alias("dp"))
 
 
 # Matrices.
@@ -246,14 +245,12 @@ add("e_vcf_numbers", lambda s, d: load(s, d).variants.select("variant_index", T.
 # Recipes.
 add("r4_inbreeding", lambda s, d: G.inbreeding(load(s, d)), CUBE + COUNTS + _DENSE + f", p AS (SELECT variant_index, {AF0} AS p FROM k), h AS (SELECT sample_index, CASE WHEN a1 IS NOT NULL AND a2 IS NOT NULL THEN CAST((a1 = 0)::INT + (a2 = 0)::INT AS DOUBLE) END AS d, p FROM g JOIN p ON p.variant_index = g.variant_index WHERE p > 0 AND p < 1) SELECT sample_index, AVG((d * d - d * (1 + 2 * p) + 2 * p * p) / (2 * p * (1 - p))) AS f FROM h GROUP BY sample_index")
 add("r5_genotype_table", lambda s, d: B.genotype_table(load(s, d)), CUBE + _DENSE + "SELECT CASE WHEN a1 IS NOT NULL AND a2 IS NOT NULL THEN a1 || '/' || a2 END AS gt, COUNT(*) AS n FROM g GROUP BY 1")
-add("r6_rare_flagged", lambda s, d: _rare(s, d), CUBE + COUNTS + f"SELECT variant_index, {AF0} AS af FROM k WHERE variant_index % 3 = 0 AND {AF0} < 0.9e0")
 
 
-# Flagged by a column of the variants.
 add("r6_rare_passed", lambda s, d: _rare(s, d, "filter = 'PASS'"), CUBE + COUNTS + f"SELECT k.variant_index, {AF0} AS af FROM k JOIN variants v ON v.variant_index = k.variant_index WHERE v.filter = 'PASS' AND {AF0} < 0.9e0")
 
 
-def _rare(s, d, flag="variant_index % 3 = 0"):
+def _rare(s, d, flag):
     ds = load(s, d)
     flagged = ds.variants.where(flag).select("variant_index")
     return S.allele_freq(ds.filtered(variants=ds.variants.join(flagged, "variant_index", "left_semi"))).where("af < 0.9")

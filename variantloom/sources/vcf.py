@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import re
+import struct
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -90,29 +94,34 @@ def count_rows(spark: SparkSession, *paths: str) -> int:
 def numbered_lines(spark: SparkSession, paths: list[str], comment: str | None = "#") -> DataFrame:
     """(line_ix, value) of the data lines of files in order.
 
-    Lines are numbered inside each split of a file, where one task reads them in order; only the number of lines of each
-    split is summed up over files and offsets. ``line_ix`` starts at 1.
+    Lines are numbered inside each split of a file, where one task reads them in order: their numbers in the scan, less
+    the first of the split, plus the lines of the splits before. Only these two numbers a split are gathered; the text is
+    not shuffled. ``line_ix`` starts at 1.
     """
-    out = None
-    for i, p in enumerate(paths):
-        t = spark.read.text(p).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_in")).withColumn("_f", F.lit(i))
-        out = t if out is None else out.unionByName(t)
     keep = F.trim("value") != ""
     if comment:
         keep = keep & ~F.col("value").startswith(comment)
-    out = out.where(keep)
+    out = None
+    for i, p in enumerate(paths):
+        t = spark.read.text(p).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at")).where(keep)
+        t = t.withColumn("_in", F.monotonically_increasing_id()).withColumn("_f", F.lit(i))
+        out = t if out is None else out.unionByName(t)
     split = ["_f", "_file", "_at"]
-    before = out.groupBy(*split).agg(F.count(F.lit(1)).alias("_n"))
+    before = out.groupBy(*split).agg(F.count(F.lit(1)).alias("_n"), F.min("_in").alias("_first"))
     before = before.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    ranked = out.withColumn("_k", F.row_number().over(Window.partitionBy(*split).orderBy("_in"))).join(before, split)
-    return ranked.select((F.col("_before") + F.col("_k")).alias("line_ix"), "value")
+    ranked = out.join(F.broadcast(before) if before.count() <= 500_000 else before, split)
+    return ranked.select((F.col("_before") + F.col("_in") - F.col("_first") + 1).alias("line_ix"), "value")
 
 
 def read_vcf(spark: SparkSession, *paths: str, info: list[str] | None = None, fmt: list[str] | None = None, ploidy: int | None = None, prefixes: tuple[str, ...] = ("chr",), start: int = 1, count: int = -1, strict: bool = True) -> VariantDataset:
     """Read files of the same samples, one after the other; gzip files are read whole, others in splits.
 
     ``info`` and ``fmt`` name the fields to take (all by default); start and count choose rows. Unknown INFO keys are
-    passed over. With ``strict``, malformed numbers and lists longer than their Number are errors, else missing.
+    passed over. With ``strict``, malformed numbers, lists longer than their Number and allele codes that the variant does
+    not have are errors, else missing. A variant whose only allele is '.' has as many alleles as its genotypes say.
+
+    A field is the column of its name, a FORMAT field with ``fmt_`` before it; names that differ from one that is there by
+    case only get ``info_`` or an underscore more, and dots become underscores. ``meta["vcf"]["columns"]`` has the field of every such column.
     """
     ship(spark)
     heads = [read_header(spark, p) for p in paths]
@@ -132,11 +141,24 @@ def read_vcf(spark: SparkSession, *paths: str, info: list[str] | None = None, fm
         T.value(at(5), "Float", strict).alias("qual"), F.when(at(6) == ".", F.lit(None)).otherwise(at(6)).alias("filter"), at(7).alias("_info"), at(8).alias("_format"), F.slice(c, 10, max(len(h.samples), 1)).alias("_cells"),
     )
     n = F.when(F.col("allele") == "", 0).otherwise(F.size(F.split("allele", ",")))
-    cols = {}
-    for name, e in h.info.items():
-        if info is not None and name not in info or name in v.columns:
+    cols, fields = {}, {}
+    taken = {c.lower() for c in (*v.columns, "gt", "gs", "phase", "geno_extra", "num_allele")}
+
+    def column(name: str, field: str, prefix: str = "") -> str:
+        name = re.sub(r"\W", "_", name)
+        if name.lower() in taken:
+            name = prefix + name
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        fields[name] = field
+        return name
+
+    for field, e in h.info.items():
+        if info is not None and field not in info:
             continue
-        t, number = T.info_text(F.col("_info"), name), e.get("Number", ".")
+        name, key = column(field, field, "info_"), field
+        t, number = T.info_text(F.col("_info"), key), e.get("Number", ".")
         if e.get("Type") == "Flag":
             cols[name] = t.isNotNull()
         elif number == "1":
@@ -147,17 +169,21 @@ def read_vcf(spark: SparkSession, *paths: str, info: list[str] | None = None, fm
     for name, e in h.format.items():
         if name == "GT" or fmt is not None and name not in fmt:
             continue
-        cols[f"fmt_{name}"] = _field(keys, name, lambda text, kind=e["Type"]: T.values(text, kind, strict))
+        cols[column(f"fmt_{name}", name)] = _field(keys, name, lambda text, kind=e["Type"]: T.values(text, kind, strict))
     if h.samples:
         cols["_gt"] = F.coalesce(_field(keys, "GT", lambda text: text), F.transform("_cells", lambda _: F.lit(None).cast("string")))
     v = v.withColumns(cols)
     if h.samples:
         none = F.array_repeat(F.lit(None).cast("int"), p)
-        long = F.filter(F.transform("_gt", lambda g, i: F.struct((i + 1).alias("sample_index"), F.slice(T.alleles_of(g), p + 1, 1000).alias("alleles"))), lambda x: F.size(x["alleles"]) > 0)
-        v = v.withColumns({"gt": F.flatten(F.transform("_gt", lambda g: F.coalesce(T.padded(T.alleles_of(g), p), none))), "phase": F.transform("_gt", lambda g: F.coalesce(g.contains("|"), F.lit(False))), "geno_extra": long})
-    v = v.drop("_info", "_format", "_cells", "_gt")
+        known = F.when(F.col("allele").isin(".", ".,.", ""), F.lit(2**31 - 1)).otherwise(n)
+        v = v.withColumn("_codes", F.transform("_gt", lambda g: T.alleles_of(g, known, strict)))
+        rest = lambda codes: F.slice(codes, F.lit(p + 1), F.greatest(F.size(codes) - p, F.lit(0)))
+        long = F.filter(F.transform("_codes", lambda codes, i: F.struct((i + 1).alias("sample_index"), rest(codes).alias("alleles"))), lambda x: F.size(x["alleles"]) > 0)
+        most = F.greatest(F.coalesce(F.array_max(F.flatten("_codes")), F.lit(0)), F.lit(0)) + 1
+        v = v.withColumns({"num_allele": F.when(F.col("allele").isin(".", ".,."), most).otherwise(n), "gt": F.flatten(F.transform("_codes", lambda codes: F.coalesce(T.padded(codes, p), none))), "phase": F.transform("_gt", lambda g: F.coalesce(g.contains("|"), F.lit(False))), "geno_extra": long})
+    v = v.drop("_info", "_format", "_cells", "_gt", "_codes")
     s = spark.createDataFrame(list(enumerate(h.samples, 1)), "sample_index int, sample_id string")
-    meta = {"file_format": "variantloom", "version": "1", "vcf": {"version": h.version, "info": h.info, "format": h.format, "filter": h.filter, "alt": h.alt, "contig": h.contig, "reference": h.reference}}
+    meta = {"file_format": "variantloom", "version": "1", "vcf": {"version": h.version, "info": h.info, "format": h.format, "filter": h.filter, "alt": h.alt, "contig": h.contig, "reference": h.reference, "columns": {c: f for c, f in fields.items() if c not in (f, f"fmt_{f}")}}}
     return VariantDataset(v, s, None, meta, p)
 
 
@@ -171,12 +197,13 @@ def header_lines(ds: VariantDataset, info: list[str], fmt: list[str]) -> list[st
     h = ds.meta.get("vcf", {})
     kind = {f.name: f.dataType.simpleString() for f in ds.variants.schema.fields}
     quoted = lambda e: ",".join(f'{k}="{v}"' if k in ("Description", "Source", "Version") else f"{k}={v}" for k, v in e.items())
+    field = lambda n: h.get("columns", {}).get(n, n.upper() if n in ("dp", "ds") else n.removeprefix("fmt_"))
     guess = lambda n: {"ID": n, "Number": "0" if kind[n] == "boolean" else "." if kind[n].startswith("array") else "1", "Type": vcf_type(kind[n]), "Description": n}
     out = ["##fileformat=VCFv4.2", "##source=variantloom", *[f"##reference={r}" for r in h.get("reference", [])]]
-    out += [f"##INFO=<{quoted(h.get('info', {}).get(n) or guess(n))}>" for n in info]
+    out += [f"##INFO=<{quoted(h.get('info', {}).get(field(n)) or {**guess(n), 'ID': field(n)})}>" for n in info]
     out += [f"##FILTER=<{quoted(e)}>" for e in h.get("filter", {}).values()]
     out += ['##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">'] if "gt" in kind else []
-    out += [f"##FORMAT=<{quoted(h.get('format', {}).get(n.removeprefix('fmt_')) or {**guess(n), 'ID': n.removeprefix('fmt_')})}>" for n in fmt]
+    out += [f"##FORMAT=<{quoted(h.get('format', {}).get(field(n)) or {**guess(n), 'ID': field(n)})}>" for n in fmt]
     return out + [f"##contig=<{quoted(e)}>" for e in h.get("contig", {}).values()] + [f"##ALT=<{quoted(e)}>" for e in h.get("alt", {}).values()]
 
 
@@ -189,12 +216,13 @@ def vcf_lines(ds: VariantDataset, info: list[str] | None = None, fmt: list[str]
     fmt = [c for c in kind if c.startswith("fmt_") or c in ("dp", "ds")] if fmt is None else fmt
     if missing := [n for n in (*info, *fmt) if n not in kind]:
         raise KeyError(f"no such field: {', '.join(missing)}")
-    entries = F.array_compact(F.array(*[T.info_entry(n, F.col(n), kind[n]) for n in info])) if info else F.array().cast("array<string>")
+    field = lambda n: ds.meta.get("vcf", {}).get("columns", {}).get(n, n.removeprefix("fmt_"))
+    entries = F.array_compact(F.array(*[T.info_entry(field(n), F.col(n), kind[n]) for n in info])) if info else F.array().cast("array<string>")
     cells = [*T.head_columns(prefix), F.coalesce(F.nullif(F.array_join(entries, ";"), F.lit("")), F.lit("."))]
     if "gt" in kind:
         from ..functions.columns import gt_text
 
-        names = [n.removeprefix("fmt_").upper() if n in ("dp", "ds") else n.removeprefix("fmt_") for n in fmt]
+        names = [n.upper() if n in ("dp", "ds") else field(n) for n in fmt]
         # A field that the variant does not have is left out of its FORMAT.
         have = [F.exists(F.col(n), lambda x: x.isNotNull()) for n in fmt]
         cells.append(F.concat_ws(":", F.lit("GT"), *[F.when(F.coalesce(y, F.lit(False)), n) for y, n in zip(have, names, strict=True)]))
@@ -210,8 +238,38 @@ def vcf_lines(ds: VariantDataset, info: list[str] | None = None, fmt: list[str]
     return v.select("variant_index", F.concat_ws("\t", *cells).alias("value"))
 
 
+#: Bytes of text in a block of BGZF, at most.
+BGZF_BYTES = 65_280
+
+
+def bgzf_block(data: bytes, level: int = 6) -> bytes:
+    """A gzip member with the extra field that gives its length, as blocks of BGZF have it; empty data make the end mark."""
+    z = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = z.compress(data) + z.flush()
+    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0"
+    return head + struct.pack("<H", len(head) + len(body) + 9) + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+
+def _bgzf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines to blocks without their last byte, which is zero in every block: its trailer ends with a length below 65,536."""
+    held = bytearray()
+    for batch in batches:
+        out = []
+        for x in batch.column(0):
+            held += x.as_py().encode() + b"\n"
+            while len(held) >= BGZF_BYTES:
+                out.append(bgzf_block(bytes(held[:BGZF_BYTES]))[:-1])
+                del held[:BGZF_BYTES]
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["block"])
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([bgzf_block(bytes(held))[:-1]], pa.binary())], ["block"])
+
+
 def write_vcf(ds: VariantDataset, path: str, info: list[str] | None = None, fmt: list[str] | None = None, prefix: str = "", header: bool = True, compression: str | None = None) -> None:
-    """Write the selection as a folder of VCF text whose parts, in order of their names, are one file; the header comes first."""
+    """Write the selection as a folder of VCF text whose parts, in order of their names, are one file; the header comes first.
+
+    ``compression`` is a codec of Spark's, or "bgzf": blocks that BGZF readers take, the parts as one file again.
+    """
     lines = vcf_lines(ds, info, fmt, prefix)
     if header:
         kind = ds.dense().variants.columns if ds.calls is not None else ds.variants.columns
@@ -221,5 +279,11 @@ def write_vcf(ds: VariantDataset, path: str, info: list[str] | None = None, fmt:
         ids = [r["sample_id"] for r in ds.samples.orderBy("sample_index").select("sample_id").collect()] if "gt" in kind else []
         names = ["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", *(["FORMAT", *ids] if ids else [])]
         lines = ds.spark.createDataFrame([(i - len(top) - 1, x) for i, x in enumerate([*top, "\t".join(names)])], "variant_index int, value string").unionByName(lines)
-    w = lines.orderBy("variant_index").select("value").write.mode("overwrite")
+    lines = lines.orderBy("variant_index").select("value")
+    if compression == "bgzf":
+        blocks = lines.mapInArrow(_bgzf, "block binary").select(F.col("block").cast("string").alias("block"))
+        end = ds.spark.createDataFrame([(bytearray(bgzf_block(b"")[:-1]),)], "block binary").select(F.col("block").cast("string").alias("block"))
+        blocks.unionByName(end).write.mode("overwrite").option("lineSep", "\x00").text(path)
+        return
+    w = lines.write.mode("overwrite")
     (w.option("compression", compression) if compression else w).text(path)
