@@ -6,9 +6,13 @@ function is arbitrary. A function gets whole batches, never single rows.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from operator import add
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,6 +65,56 @@ def parallel(ds: VariantDataset, function: Callable[[pd.DataFrame], pd.DataFrame
     return rows.mapInPandas(run, schema)
 
 
+def parallel_apply(ds: VariantDataset, function: Callable[..., Any], split: str = "by.variant", combine_by: str | Callable[[Any, Any], Any] | None = "unlist", parts: int | None = None) -> Any:
+    """function over parts of the selection, its results combined on the driver, which gets one value a part.
+
+    ``split``: "by.variant" or "by.sample" hands each part's frame, "none" the numbers 1 to parts. ``combine_by``:
+    "unlist" (one flat list, in the parts' order), "list", "+" or a function of two (a fold in order), None (no result:
+    the function runs for what it does).
+    """
+    spark = ds.spark
+    n = parts or max(2, spark.sparkContext.defaultParallelism)
+    if split == "none":
+        rows = spark.range(1, n + 1, 1, n).select(F.col("id").alias("_place"))
+    else:
+        table, key = (ds.variants, "variant_index") if split == "by.variant" else (ds.samples, "sample_index")
+        rows = table.repartitionByRange(n, key).withColumn("_place", F.col(key).cast("long"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        each = [f for f in frames if len(f)]
+        if each:
+            f = pd.concat(each).sort_values("_place")
+            got = [function(int(i)) for i in f["_place"]] if split == "none" else [function(f.drop(columns="_place"))]
+            places = f["_place"] if split == "none" else f["_place"].iloc[:1]
+            yield pd.DataFrame({"place": list(places), "value": [pickle.dumps(x if combine_by is not None else None) for x in got]})
+
+    got = [pickle.loads(bytes(r["value"])) for r in sorted(rows.mapInPandas(run, "place long, value binary").collect(), key=lambda r: r["place"])]
+    if combine_by is None:
+        return None
+    if combine_by == "list":
+        return got
+    if combine_by == "unlist":
+        return [y for x in got for y in (x if isinstance(x, list | tuple) else [x])]
+    return reduce(add if combine_by == "+" else combine_by, got) if got else None
+
+
+def write_lines(values: DataFrame, path: str) -> None:
+    """Write (variant_index, value) as text, one line a value in the order of the variants; lists as comma-separated values."""
+    kind = values.schema["value"].dataType.typeName()
+    text = F.array_join(F.col("value").cast("array<string>"), ",", "NA") if kind == "array" else F.coalesce(F.col("value").cast("string"), F.lit("NA"))
+    values.select("variant_index", text.alias("_line")).orderBy("variant_index").select("_line").write.mode("overwrite").text(path)
+
+
+def write_raw(values: DataFrame, path: str, kind: str = "<i4") -> None:
+    """Write (variant_index, value) as little-endian bytes, (variant_index, raw) in Parquet sorted by variant; lists value by value."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"variant_index": f["variant_index"], "raw": [np.atleast_1d(np.asarray(x)).astype(kind).tobytes() for x in f["value"]]})
+
+    values.orderBy("variant_index").mapInPandas(run, "variant_index int, raw binary").write.mode("overwrite").parquet(path)
+
+
 def combine(partials: DataFrame, column: str, how: str | Callable[[Any, Any], Any] = "+"):
     """One value from partial results: "+" sums in Spark; an associative function is folded over partitions, then over those."""
     if how == "+":

@@ -100,6 +100,63 @@ def digest(rows: DataFrame, value: Column, index: str = "variant_index") -> Data
     return sums.select(F.md5(F.concat_ws(":", *[F.col(f"s{i}").cast("string") for i in range(4)], F.col("n").cast("string"))).alias("md5"), "n")
 
 
+def column_digests(ds: VariantDataset) -> DataFrame:
+    """(name, md5) of every column of variants and samples and of the calls, one aggregation a table."""
+
+    def table(rows: DataFrame, folder: str, index: str) -> DataFrame:
+        names = [c for c in rows.columns if c != index]
+        sums = []
+        for n, c in enumerate(names):
+            text = F.to_json(F.struct(F.col(f"`{c}`").alias("x")))
+            h = F.md5(F.concat(F.col(index).cast("string"), F.lit("\x00"), text))
+            sums += [F.coalesce(F.sum(F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")), F.lit(0)).alias(f"s{n}_{i}") for i in range(4)]
+        one = rows.agg(*sums, F.count(F.lit(1)).alias("n"))
+        each = [F.struct(F.lit(f"{folder}/{c}").alias("name"), F.md5(F.concat_ws(":", *[F.col(f"s{n}_{i}").cast("string") for i in range(4)], F.col("n").cast("string"))).alias("md5")) for n, c in enumerate(names)]
+        return one.select(F.explode(F.array(*each)).alias("x")).select("x.*")
+
+    out = table(ds.variants, "variants", "variant_index").unionByName(table(ds.samples, "samples", "sample_index"))
+    if ds.calls is not None:
+        c = ds.selected_calls
+        cell = c.select(F.concat_ws(":", "variant_index", "sample_index").alias("_at"), F.struct("a1", "a2", "phase", "dp", "ds").alias("call"))
+        out = out.unionByName(table(cell, "calls", "_at"))
+    return out
+
+
+def check_digests(ds: VariantDataset) -> DataFrame:
+    """(name, ok): whether each column still has the hash that was kept when the data were written; null without a kept one."""
+    kept = ds.meta.get("digest") or {}
+    rows = column_digests(ds)
+    if not kept:
+        return rows.select("name", F.lit(None).cast("boolean").alias("ok"))
+    known = ds.spark.createDataFrame(sorted(kept.items()), "name string, _kept string")
+    return rows.join(known, "name", "full_outer").select("name", F.when(F.col("_kept").isNotNull(), F.coalesce(F.col("md5") == F.col("_kept"), F.lit(False))).alias("ok"))
+
+
+def field_tables(ds: VariantDataset) -> DataFrame:
+    """(kind, id, number, type, description) of all that the dataset says of itself: INFO and FORMAT fields (of columns, with
+    what the file's header says of them), FILTER, ALT, contigs, references, sample annotation and kept digests."""
+    h = ds.meta.get("vcf", {})
+    name = lambda c: h.get("columns", {}).get(c, c.removeprefix("fmt_"))
+    fixed = {"variant_index", "variant_id", "chromosome", "position", "allele", "id", "qual", "filter", "gt", "gs", "phase", "geno_extra", "num_allele"}
+    rows = []
+    for f in ds.variants.schema.fields:
+        kind = f.dataType.simpleString()
+        if f.name in fixed:
+            continue
+        fmt = f.name.startswith("fmt_") or f.name in ("dp", "ds") and kind.startswith("array")
+        e = h.get("format" if fmt else "info", {}).get(name(f.name), {})
+        number = "." if kind.startswith("array<array") or kind.startswith("array") and not fmt else "0" if kind == "boolean" else "1"
+        rows.append(("format" if fmt else "info", name(f.name).upper() if f.name in ("dp", "ds") else name(f.name), e.get("Number", number), e.get("Type", vcf_type(kind)), e.get("Description", "")))
+    if ds.calls is not None:
+        rows += [("format", "DP", "1", "Integer", ""), ("format", "DS", "1", "Float", "")]
+    for kind in ("filter", "alt", "contig"):
+        rows += [(kind, k, "", "", e.get("Description", e.get("length", ""))) for k, e in h.get(kind, {}).items()]
+    rows += [("reference", r, "", "", "") for r in h.get("reference", [])]
+    rows += [("sample", f.name, "1", vcf_type(f.dataType.simpleString()), "") for f in ds.samples.schema.fields if f.name not in ("sample_index", "sample_id")]
+    rows += [("digest", k, "", "md5", v) for k, v in sorted((ds.meta.get("digest") or {}).items())]
+    return ds.spark.createDataFrame(rows, "kind string, id string, number string, type string, description string")
+
+
 def ordered_digest(rows: DataFrame, value: Column, index: str = "variant_index", algorithm: str = "md5") -> DataFrame:
     """The digest over the values' bytes in index order (text ends with a zero byte): order-bound, so one stream over sorted rows.
 

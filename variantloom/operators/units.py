@@ -26,8 +26,9 @@ def sliding_windows(variants: DataFrame, size: int = 5000, shift: int = 2500, st
     v = variants.where(p >= 0).withColumn("_k", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
     w = v.groupBy("chromosome", "_k").agg(F.array_sort(F.collect_list("variant_index")).alias("index"))
     if dup_rm:
-        by = Window.partitionBy("chromosome").orderBy("_k")
-        w = w.withColumn("_same", F.coalesce(F.col("index") == F.lag("index").over(by), F.lit(False))).where("not _same").drop("_same")
+        # A variant's windows follow one another, so a window differs from the one before where a variant enters or has left.
+        changes = variants.where(p >= 0).where(first <= last).select("chromosome", F.explode(F.array(first, last + 1)).alias("_k")).distinct()
+        w = w.join(changes, ["chromosome", "_k"], "left_semi")
     else:
         top = variants.where(p >= 0).groupBy("chromosome").agg(F.max("position").alias("_top"))
         every = top.select("chromosome", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.floor((F.col("_top") - start - size + 1 + shift - 1).cast("double") / shift), F.lit(0)))).alias("_k"))

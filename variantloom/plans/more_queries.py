@@ -89,10 +89,19 @@ add("k10_to_text", lambda s, d: _written(s, d), CUBE + "SELECT variant_index ||
 
 def _written(s, d):
     path = _path(s, "lines")
-    load(s, d).variants.select(F.concat_ws(":", "variant_index", "allele").alias("value")).write.text(path)
+    U.write_lines(load(s, d).variants.select("variant_index", F.concat_ws(":", "variant_index", "allele").alias("value")), path)
     return s.read.text(path)
 
 
+add("k10_to_raw", lambda s, d: _raw(s, d), CUBE + "SELECT variant_index, lower(concat(substr(h, 7, 2), substr(h, 5, 2), substr(h, 3, 2), substr(h, 1, 2))) AS raw FROM (SELECT variant_index, lpad(hex(position), 8, '0') AS h FROM variants)")
+
+
+def _raw(s, d):
+    path = _path(s, "raw")
+    U.write_raw(load(s, d).variants.select("variant_index", F.col("position").alias("value")), path)
+    return s.read.parquet(path).select("variant_index", F.lower(F.hex("raw")).alias("raw"))
+
+
 add("k11_recompress", lambda s, d: _recompressed(s, d), CUBE + "SELECT variant_index, chromosome, position FROM variants")
 
 
@@ -191,6 +200,16 @@ def _par(s, d):
     return parts.agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
+add("u5_parallel_forms", lambda s, d: _forms(s, d), CUBE + "SELECT (SELECT COUNT(*) FROM variants) AS variants, (SELECT CAST(SUM(position) AS BIGINT) FROM variants) AS total, (SELECT MAX(position) FROM variants) AS top, (SELECT COUNT(*) FROM samples) AS samples, 15 AS numbers")
+
+
+def _forms(s, d):
+    ds = load(s, d)
+    ds = ds.with_(variants=ds.variants.select("variant_index", "position"))
+    got = (sum(U.parallel_apply(ds, len, combine_by="unlist")), U.parallel_apply(ds, lambda f: int(f["position"].sum()), combine_by="+"), U.parallel_apply(ds, lambda f: int(f["position"].max()), combine_by=max), sum(U.parallel_apply(ds, len, "by.sample", "list")), sum(U.parallel_apply(ds, lambda i: i, "none", parts=5)))
+    return s.createDataFrame([got], "variants long, total long, top int, samples long, numbers int")
+
+
 add("u7_absolute_index", lambda s, d: U.apply_variants(L.by_chromosome(load(s, d), ["4"]), "ac", lambda i, x: i, "integer", "absolute"), CUBE + "SELECT variant_index, CAST(variant_index AS BIGINT) AS value FROM variants WHERE chromosome = '4'")
 add("u8_process_parts", lambda s, d: U.process_parts(load(s, d).variants.select("variant_index").repartition(4)).agg(F.sum("n").alias("n"), F.max("process_count").alias("process_count")), CUBE + "SELECT CAST(COUNT(*) AS BIGINT) AS n, 4 AS process_count FROM variants")
 add("u10_dosage_blocks", lambda s, d: W.blocks(get(load(s, d), "$dosage"), 50).groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.sum(F.aggregate(F.filter("value", lambda x: x.isNotNull()), F.lit(0), lambda a, x: a + x)).alias("total")), CUBE + _DENSE + "SELECT CAST(floor((variant_index - 1) / 50e0) + 1 AS BIGINT) AS block, COUNT(DISTINCT variant_index) AS n, CAST(SUM(CASE WHEN a1 IS NOT NULL AND a2 IS NOT NULL THEN (a1 = 0)::INT + (a2 = 0)::INT END) AS BIGINT) AS total FROM g GROUP BY 1")

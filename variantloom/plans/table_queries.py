@@ -61,6 +61,19 @@ def _dims(s, d):
 
 
 add("v3_check", lambda s, d: Y.check(load(s, d)).select("item", "ok"), "SELECT unnest(['variant.id is unique', 'variant.index is unique', 'sample.id is unique', 'position is not negative', 'chromosome is given', 'alleles are not empty', 'a call is recorded once', 'calls are of known samples', 'allele codes are known']) AS item, TRUE AS ok")
+add("v1_field_tables", lambda s, d: Y.field_tables(load(s, d)), "SELECT * FROM (VALUES ('info', 'p_partkey', '1', 'Integer', ''), ('info', 'aa', '1', 'String', ''), ('info', 'ac', '1', 'Integer', ''), ('format', 'DP', '1', 'Integer', ''), ('format', 'DS', '1', 'Float', ''), ('sample', 'family', '1', 'String', ''), ('sample', 'sex', '1', 'String', '')) t(kind, id, number, type, description)")
+add("v4_digests_on_write", lambda s, d: _kept(s, d), "SELECT name, name <> 'variants/allele' AS ok FROM (SELECT unnest(['variants/variant_id', 'variants/p_partkey', 'variants/chromosome', 'variants/position', 'variants/num_allele', 'variants/allele', 'variants/id', 'variants/qual', 'variants/filter', 'variants/aa', 'variants/ac', 'samples/sample_id', 'samples/family', 'samples/sex', 'calls/call']) AS name)")
+
+
+def _kept(s, d):
+    path = _path(s, "store")
+    store.save(load(s, d), path, digests=True)
+    back = store.open_store(s, path)
+    # One allele of one variant is changed after the writing.
+    changed = F.when(F.col("variant_index") == 7, F.concat("allele", F.lit("A"))).otherwise(F.col("allele"))
+    return Y.check_digests(back.with_(variants=back.variants.withColumn("allele", changed)))
+
+
 add("v5_system", lambda s, d: s.createDataFrame(sorted(Y.system(s).items()), "item string, value string"))
 add("v6_vcf_types", lambda s, d: s.createDataFrame([(f.name, Y.vcf_type(f.dataType.simpleString())) for f in load(s, d).variants.schema.fields], "name string, type string"), "SELECT * FROM (VALUES ('variant_index', 'Integer'), ('variant_id', 'Integer'), ('p_partkey', 'Integer'), ('chromosome', 'String'), ('position', 'Integer'), ('num_allele', 'Integer'), ('allele', 'String'), ('id', 'String'), ('qual', 'Float'), ('filter', 'String'), ('aa', 'String'), ('ac', 'Integer')) t(name, type)")
 

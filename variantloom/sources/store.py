@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..dataset import VariantDataset
+from ..operators.summary import column_digests
 from ..session import ship
 
 FORMAT, VERSION = "variantloom", "1"
@@ -22,16 +23,20 @@ def _options(preset: str) -> dict[str, str]:
     return {"compression": PRESETS[preset], **({"parquet.compression.codec.zstd.level": str(_LEVEL[preset])} if preset in _LEVEL else {})}
 
 
-def save(ds: VariantDataset, path: str, preset: str = "default", by_chromosome: bool = True) -> None:
-    """Write the selection. Variants are dealt by chromosome and sorted by position, so filters skip folders and row groups."""
+def save(ds: VariantDataset, path: str, preset: str = "default", by_chromosome: bool = True, digests: bool = False) -> None:
+    """Write the selection. Variants are dealt by ranges of chromosome and position, so a long chromosome takes several tasks,
+    and sorted, so filters skip folders and row groups. With ``digests``, a hash of every column is kept for ``check``.
+    """
     o, p = _options(preset), path.rstrip("/")
-    v = ds.variants.repartition("chromosome").sortWithinPartitions("chromosome", "position", "variant_index") if by_chromosome else ds.variants
+    place = ["chromosome", "position", "variant_index"]
+    v = ds.variants.repartitionByRange(*place).sortWithinPartitions(*place) if by_chromosome else ds.variants
     w = v.write.mode("overwrite").options(**o)
     (w.partitionBy("chromosome") if by_chromosome else w).parquet(f"{p}/variants")
     ds.samples.write.mode("overwrite").options(**o).parquet(f"{p}/samples")
     if ds.calls is not None:
         ds.selected_calls.repartition(F.floor(F.col("variant_index") / 4096)).sortWithinPartitions("variant_index", "sample_index").write.mode("overwrite").options(**o).parquet(f"{p}/calls")
-    meta = {k: v for k, v in ds.meta.items() if k not in ("variants_filtered", "samples_filtered")} | {"file_format": FORMAT, "version": VERSION, "ploidy": ds.ploidy, "has_calls": ds.calls is not None}
+    hashes = {"digest": {r["name"]: r["md5"] for r in column_digests(ds).collect()}} if digests else {}
+    meta = {k: v for k, v in ds.meta.items() if k not in ("variants_filtered", "samples_filtered", "digest")} | hashes | {"file_format": FORMAT, "version": VERSION, "ploidy": ds.ploidy, "has_calls": ds.calls is not None}
     ds.spark.createDataFrame([(json.dumps(meta, default=str),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{p}/meta")
 
 
