@@ -5,12 +5,15 @@ codes is learned on a bounded sample (ITQ, Gong and Lazebnik 2011: principal
 directions, then alternating signs and an orthogonal Procrustes step). Every
 vector gets TABLES chunks of BITS code bits, from as many such rotations as that
 takes; vectors of one label that agree on a chunk meet in that bucket of the
-multi-index Hamming tables and are reranked there with the original vectors by
-cosine in double precision. Each pair is counted in the first table it meets in.
+multi-index Hamming tables. The tables hold ids and codes: of a bucket, those stay that
+have another within the Hamming distance that pairs at the threshold keep to but for
+six standard deviations. Only these are joined with the original vectors and reranked,
+bucket by bucket, by cosine in double precision. Each pair is counted in the first
+table it meets in.
 
 Number and width of the chunks follow from the number of vectors of the largest
-label, the threshold and the sample: a chunk has about log2(n) - 4 bits (8 to 20), and
-there are enough chunks that a pair at the threshold is missed with probability MISS at
+label, the threshold and the sample: a chunk has about log2(n) - 4 bits (8 at least), so
+buckets stay as large as they are however many vectors there are, and there are enough chunks that a pair at the threshold is missed with probability MISS at
 most, in the mean over the sample. Bits differ with probability angle / pi each, where
 the angle is that of the pair as seen from the mean. Where that takes over WIDEN times
 the chunks of a mean of zero, signs are taken without the mean, at the raw angle.
@@ -51,7 +54,7 @@ WIDEN = 8
 
 def table_shape(n: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int, int]:
     """(chunks, bits in each) for n vectors."""
-    bits = min(20, max(8, math.ceil(math.log2(max(n, 2))) - 4))
+    bits = max(8, math.ceil(math.log2(max(n, 2))) - 4)
     meet = (1 - math.acos(cosine) / math.pi) ** bits
     return math.ceil(math.log(miss) / math.log(1 - meet)), bits
 
@@ -92,17 +95,29 @@ def fit_itq(x: np.ndarray, rotations: int, seed: int = 5) -> tuple[np.ndarray, n
     return mean, np.hstack(out)
 
 
+def hamming_limit(x: np.ndarray, total: int, centred: bool, cosine: float = COSINE) -> int:
+    """Differing bits of ``total`` that a pair at the threshold stays within: by the angle that all but one in a thousand
+    of the sample have at most, and six standard deviations."""
+    p = math.acos(cosine) / math.pi
+    if centred and len(x) > 1:
+        r = np.sqrt(((x - x.mean(0)) ** 2).sum(1))
+        half = np.minimum(math.sqrt(max(2 - 2 * cosine, 0)) / 2 / np.maximum(r, 1e-12), 1)
+        p = float(np.quantile(2 * np.arcsin(half) / math.pi, 0.999))
+    return min(total, math.ceil(total * p + 6 * math.sqrt(total * p * (1 - p))))
+
+
 def _unit(col: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows of that length with a direction, their vectors in double precision)."""
-    rows, out = [], []
-    for i, x in enumerate(col.to_pylist()):
-        if x is not None and len(x) == dim and None not in x:
-            v = np.asarray(x, float)
-            n = math.sqrt(float(v @ v))
-            if math.isfinite(n) and n > 0:
-                rows.append(i)
-                out.append(v)
-    return np.array(rows, int), np.array(out).reshape(len(rows), dim)
+    if not len(col):
+        return np.zeros(0, int), np.zeros((0, dim))
+    off, values = col.offsets.to_numpy(zero_copy_only=False), col.values
+    nulls = np.concatenate([[0], np.cumsum(values.is_null().to_numpy(zero_copy_only=False))])
+    rows = np.flatnonzero(col.is_valid().to_numpy(zero_copy_only=False) & (np.diff(off) == dim) & (nulls[off[1:]] == nulls[off[:-1]]))
+    x = values.to_numpy(zero_copy_only=False).astype(float)[off[rows][:, None] + np.arange(dim)]
+    with np.errstate(over="ignore", invalid="ignore"):
+        n = np.sqrt((x * x).sum(1))
+    good = np.isfinite(n) & (n > 0)
+    return rows[good], x[good]
 
 
 def codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray, chunks: int, bits: int) -> np.ndarray:
@@ -119,11 +134,65 @@ def _coded(dim: int, mean: np.ndarray, projection: np.ndarray, chunks: int, bits
             if len(rows):
                 c = codes(x, mean, projection, chunks, bits)
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(c.ravel()), chunks).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(rows)), batch.column("label").take(pa.array(rows)), pa.array([v.tobytes() for v in x.astype(kind)], pa.binary()), lists], ["vec_id", "label", "vec", "code"])
+                wide = np.zeros((len(x), -(-chunks * bits // 64) * 64), np.uint8)
+                wide[:, : chunks * bits] = (c[:, :, None] >> np.arange(bits) & 1).reshape(len(x), -1)
+                packed = np.packbits(wide, axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(rows)), batch.column("label").take(pa.array(rows)), pa.array([v.tobytes() for v in x.astype(kind)], pa.binary()), lists, pa.array([v.tobytes() for v in packed], pa.binary())], ["vec_id", "label", "vec", "code", "packed"])
+
+    return run
+
+
+def near_rows(key: np.ndarray, side: np.ndarray, within: np.ndarray, code: np.ndarray, limit: int) -> np.ndarray:
+    """Which rows, sorted by key, have another of their key (of the other side, unless ``within``) at most ``limit`` bits away."""
+    out, s = np.zeros(len(key), bool), 1
+    while s < len(key):
+        same = key[s:] == key[:-s]
+        if not same.any():
+            break
+        a = np.flatnonzero(same & (within[s:] | (side[s:] != side[:-s])))
+        hit = a[np.bitwise_count(code[a] ^ code[a + s]).sum(1) <= limit]
+        out[hit] = out[hit + s] = True
+        s += 1
+    return out
+
+
+def _near(limit: int):
+    """Memberships of buckets whose vector has another near it there, from rows sorted by cell."""
+
+    def kept(t: pa.Table) -> pa.RecordBatch:
+        b = t.combine_chunks().to_batches()[0]
+        raw = b.column("packed")
+        first = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
+        code = np.frombuffer(raw.buffers()[2], np.uint8)[first[0] : first[-1]].reshape(len(raw), -1).copy().view(np.uint64)
+        cell, side, i, j = (b.column(c).to_numpy() for c in ("cell", "side", "i", "j"))
+        return b.filter(pa.array(near_rows(cell, side, i == j, code, limit))).select(["vec_id", "label", "chunk", "bucket"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            cell = t.column("cell").to_numpy()
+            # The last cell may go on in the next batch.
+            cut = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0
+            if cut:
+                yield kept(t.slice(0, cut))
+            held = t.slice(cut)
+        if held is not None and held.num_rows:
+            yield kept(held)
 
     return run
 
 
+def _dealt(members: DataFrame, part: int, name: str) -> DataFrame:
+    """Memberships (vec_id, label, chunk, bucket, ...) of buckets of several, dealt to the pairs of their parts (i, j, side)."""
+    key = ["label", "chunk", "bucket"]
+    full = members.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / part).cast("int")).drop("n")
+    met = members.join(small(materialize(full, name)), key).withColumn("p", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, F.col("p")).alias("i"), F.greatest(q, F.col("p")).alias("j"), (q < F.col("p")).cast("int").alias("side")))
+    return met.withColumn("x", F.explode(pairs)).select(*members.columns, "x.i", "x.j", "x.side")
+
+
 def compare(ids: np.ndarray, side: np.ndarray, x: np.ndarray, code: np.ndarray, chunk: int, cosine: float, within: bool = True) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """(links of each row, spanning forest) among rows of one bucket: within side 0, or between sides 0 and 1."""
     u = x / np.sqrt((x * x).sum(1))[:, None]
@@ -195,17 +264,21 @@ def vector_components(vectors: DataFrame, cosine: float = COSINE, miss: float =
         chunks, bits, centred = centred_shape(x, row["n"], cosine, miss)
         mean, projection = fit_itq(x, -(-chunks * bits // dim), seed)
         mean = mean if centred else np.zeros(dim)
-        coded = materialize(mine.select("vec_id", "embedding", "label").mapInArrow(_coded(dim, mean, projection, chunks, bits, kind), "vec_id long, label string, vec binary, code array<long>"), "itq-codes")
-        buckets = coded.select("vec_id", "label", F.posexplode("code").alias("chunk", "bucket"))
-        full = buckets.groupBy("label", "chunk", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / part).cast("int")).drop("n")
-        full = materialize(full, "itq-buckets")
-        met = coded.select("vec_id", "label", "vec", "code", F.posexplode("code").alias("chunk", "bucket")).join(small(full), ["label", "chunk", "bucket"])
-        mine_ = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
-        pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, F.col("p")).alias("i"), F.greatest(q, F.col("p")).alias("j"), (q < F.col("p")).cast("int").alias("side")))
-        dealt = met.withColumn("p", mine_).withColumn("x", F.explode(pairs)).select("vec_id", "label", "vec", "code", "chunk", "bucket", "x.i", "x.j", "x.side")
+        coded = materialize(mine.select("vec_id", "embedding", "label").mapInArrow(_coded(dim, mean, projection, chunks, bits, kind), "vec_id long, label string, vec binary, code array<long>, packed binary"), "itq-codes")
         n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # First ids and codes alone; a cell's hash may be that of another, which only makes more candidates.
+        tables = _dealt(coded.select("vec_id", "label", "packed", F.posexplode("code").alias("chunk", "bucket")), part, "itq-buckets")
+        tables = tables.withColumn("cell", F.xxhash64("label", "chunk", "bucket", "i", "j"))
+        limit = hamming_limit(x, chunks * bits, centred, cosine)
+        near = tables.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(_near(limit), "vec_id long, label string, chunk int, bucket long").distinct()
+        near = materialize(near, "itq-near")
+        who = near.select("vec_id").distinct()
+        vecs = coded.select("vec_id", "label", "vec", "code").join(small(materialize(who, "itq-who")), "vec_id")
+        met = _dealt(near, part, "itq-cells").join(vecs.withColumnRenamed("label", "_label"), "vec_id").where(F.col("label") == F.col("_label")).drop("_label")
         key = ["label", "chunk", "bucket", "i", "j"]
-        got = dealt.repartition(n, *key).sortWithinPartitions(*key).mapInArrow(_compared(cosine, kind), "vec_id long, n_links long, other long")
+        # Rows of one id may have several vectors of a label: those stay that are in the bucket.
+        met = met.where(F.get("code", F.col("chunk")) == F.col("bucket"))
+        got = met.repartition(n, *key).sortWithinPartitions(*key).mapInArrow(_compared(cosine, kind), "vec_id long, n_links long, other long")
         found = got if found is None else found.unionByName(got)
     if found is None:
         return v.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
