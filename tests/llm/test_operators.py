@@ -740,6 +740,37 @@ def test_recall_with_a_common_direction(norm, n):
     assert near.sum() > 1000 and (a == b).any(1).mean() >= 0.98
 
 
+def test_near_rows_against_all_pairs():
+    rng = np.random.default_rng(4)
+    key = np.sort(rng.integers(0, 40, 300))
+    side, within = rng.integers(0, 2, 300), key % 2 == 0
+    code = rng.integers(0, 1 << 62, (12, 3), dtype=np.uint64)[rng.integers(0, 12, 300)] ^ (np.uint64(1) << rng.integers(0, 40, (300, 3)).astype(np.uint64))
+    got = vector_dedup.near_rows(key, side, within, code, 9)
+    far = lambda a, b: int(np.bitwise_count(code[a] ^ code[b]).sum())
+    assert got.tolist() == [any(a != b and key[a] == key[b] and (within[a] or side[a] != side[b]) and far(a, b) <= 9 for b in range(300)) for a in range(300)]
+    assert 0 < got.sum() < 300
+
+
+@pytest.mark.parametrize("norm", [0.0, 0.8])
+def test_pairs_at_the_threshold_keep_to_the_hamming_limit(norm):
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.sqrt((v * v).sum(1))[:, None]
+    x = unit(norm * np.eye(64)[0] + np.sqrt(1 - norm**2) * unit(rng.normal(size=(3000, 64))))
+    off = rng.normal(size=x.shape)
+    off = unit(off - (off * x).sum(1)[:, None] * x)
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * off
+    near = np.abs((y - x) @ np.eye(64)[0]) < 0.1
+    chunks, bits, centred = vector_dedup.centred_shape(x, 2000)
+    mean, projection = vector_dedup.fit_itq(x, -(-chunks * bits // 64))
+    a, b = (vector_dedup.codes(v[near], mean if centred else 0 * mean, projection, chunks, bits) for v in (x, y))
+    differ = np.bitwise_count((a ^ b).astype(np.uint64)).sum(1)
+    assert (differ <= vector_dedup.hamming_limit(x, chunks * bits, centred)).mean() > 0.999
+
+
+def test_bits_follow_the_number_of_vectors():
+    assert [vector_dedup.table_shape(n)[1] for n in (100, 1 << 16, 1 << 26, 1 << 34)] == [8, 12, 22, 30]
+
+
 def test_vector_edges(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(1, v, 1), (2, v, 1), (3, v, 2), (4, v, None), (5, None, 1), (6, [0.0] * 3, 1), (7, [1.0, None, 3.0], 1), (8, [float("nan"), 2.0, 3.0], 1), (9, [float("inf"), 2.0, 3.0], 1), (10, [1.0, 2.0], 1), (None, v, 1), (11, [], 1)]
