@@ -238,6 +238,8 @@ def test_bed(spark, tmp_path):
     assert (plink.decode_bed(data, 5, 3) == codes).all()
     turned = plink.MAGIC + b"\x00" + b"".join(G.pack_crumbs(r.astype(np.uint8)) for r in codes.T)
     assert (plink.decode_bed(turned, 5, 3) == codes).all()
+    for pack in (__import__("gzip").compress, __import__("lzma").compress):
+        assert (plink.decode_bed(pack(data), 5, 3) == codes).all()
     (tmp_path / "a.bed").write_bytes(data)
     (tmp_path / "a.bim").write_text("1 a 0 10 A G\n23 b 0 20 C T\n26 c 0 30 G A\n")
     (tmp_path / "a.fam").write_text("f1 i 0 0 1 2\nf2 i 0 0 2 1\nf3 j 0 0 0 -9\nf4 k 0 0 1 1\nf5 l 0 0 1 1\n")

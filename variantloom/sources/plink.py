@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gzip
+import lzma
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +22,16 @@ _PAIRS = np.array([[1, 1], [-1, -1], [1, 0], [0, 0]], np.int8)
 _CHROMOSOMES = {"23": "X", "24": "Y", "25": "XY", "26": "MT"}
 
 
+def unpacked(content: bytes) -> bytes:
+    """The content of a file that may be gzip or xz."""
+    if content[:2] == b"\x1f\x8b":
+        return gzip.decompress(content)
+    return lzma.decompress(content) if content[:6] == b"\xfd7zXZ\0" else content
+
+
 def decode_bed(content: bytes, n_samples: int, n_variants: int) -> np.ndarray:
-    """Codes, variants x samples, of a BED file of either orientation."""
+    """Codes, variants x samples, of a BED file of either orientation, plain or compressed."""
+    content = unpacked(content)
     if content[:2] != MAGIC:
         raise ValueError("not a BED file")
     by_variant = content[2] == 1
