@@ -110,18 +110,25 @@ def with_next(docs: DataFrame) -> DataFrame:
     inside = F.when(F.coalesce(F.get(_longs(bounds[::-1]), of - 1) == F.col("doc_id"), F.lit(False)) & (hot > 1), within(hot)).otherwise(F.when(hot > 1, hot).otherwise(0))
     null_ranges = F.lit(max(1, min(RANGES, nameless // RANGE_ROWS)))
     # Stated as never null: a null test on one use of the ranges would keep Spark from reusing the shuffle for the other.
-    place = F.when(F.col("doc_id").isNull(), F.lit((len(bounds) + 1) * _WITHIN).cast("long") + within(null_ranges)).otherwise(of.cast("long") * _WITHIN + (inside if any(k > 1 for k in many) else F.lit(0)))
-    place = F.coalesce(place, F.lit(0).cast("long"))
+    # Texts are only looked at for ranges where they matter.
+    by_id = of.cast("long") * _WITHIN
+    if any(k > 1 for k in many):
+        by_id = by_id + inside
+    if nameless:
+        last = F.lit((len(bounds) + 1) * _WITHIN).cast("long")
+        by_id = F.when(F.col("doc_id").isNull(), last + within(null_ranges) if nameless >= 2 * RANGE_ROWS else last).otherwise(by_id)
+    place = F.coalesce(by_id, F.lit(0).cast("long"))
     d = d.withColumn("_range", place)
-    only_ids = not nameless and not any(k > 1 for k in many)
-    first = (docs.select("doc_id") if only_ids else docs.select("doc_id", F.col("text").cast("string").alias("text"))).withColumn("_range", place if not only_ids else F.coalesce(of.cast("long") * _WITHIN, F.lit(0).cast("long")))
+    only_ids = nameless < 2 * RANGE_ROWS and not any(k > 1 for k in many)
+    first = (docs.select("doc_id") if only_ids else docs.select("doc_id", F.col("text").cast("string").alias("text"))).withColumn("_range", place)
     first = materialize(first.groupBy("_range").agg(F.max("doc_id").alias("_top")), "cws-ranges")
     ring = Window.orderBy("_range")
     before = first.withColumn("_of", F.coalesce(F.lag("_range").over(ring), F.max("_range").over(Window.partitionBy(F.lit(1))))).withColumnRenamed("_range", "_mine")
     heads = d.join(F.broadcast(before), F.col("doc_id").eqNullSafe(F.col("_top")) & (F.col("_range") == F.col("_mine")))
     heads = heads.groupBy("_of").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
     d = d.withColumn("_head", F.lit(0)).unionByName(heads.select(F.lit(None).cast(d.schema["doc_id"].dataType).alias("doc_id"), "text", F.coalesce("_of", F.lit(0).cast("long")).alias("_range"), F.lit(1).alias("_head")))
-    down = Window.partitionBy("_range").orderBy("_head", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
+    d = d.withColumn("_h", F.xxhash64("text"))
+    down = Window.partitionBy("_range").orderBy("_head", F.col("doc_id").desc_nulls_last(), "_h", "text")
     d = d.withColumn("_pos", F.row_number().over(down)).withColumn("next_text", F.lead("text").over(down)).where("_head = 0")
     return d.select("_range", "_pos", "doc_id", "text", "next_text")
 
