@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dataset import VariantDataset
+from ..session import workers
 from . import stats as S
 from .filters import condition, numbered
 
@@ -104,8 +106,44 @@ def unit_stats(units: DataFrame) -> DataFrame:
 
 
 def unit_apply(units: DataFrame, rows: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """function(pandas frame of a unit's variants) for every unit; units may overlap, a variant goes to each that lists it."""
-    return units.select("unit_ix", F.explode("index").alias("variant_index")).join(rows, "variant_index").groupBy("unit_ix").applyInPandas(function, schema)
+    """function(key, pandas frame of a unit's variants), or of the frame alone, for every unit; units may overlap, a variant goes to each that lists it.
+
+    Units are dealt to a given number of tasks, as the planner sees few bytes and would make one task of them, and come
+    sorted in whole batches: a task holds a batch and the unit that goes on in the next one.
+    """
+    listed = units.select("unit_ix", F.explode("index").alias("variant_index")).join(rows, "variant_index")
+    with_key = len(inspect.signature(function).parameters) > 1
+
+    def of_unit(f):
+        f = f.reset_index(drop=True)
+        return function((f["unit_ix"].iloc[0],), f) if with_key else function(f)
+
+    def run(frames):
+        import numpy as np
+        import pandas as pd
+
+        held = []
+        for f in frames:
+            if not len(f):
+                continue
+            key = f["unit_ix"].to_numpy()
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(f)]
+            parts = [f.iloc[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            done = []
+            if held and held[0]["unit_ix"].iloc[0] != key[0]:
+                done.append(pd.concat(held) if len(held) > 1 else held[0])
+                held = []
+            for p in parts[:-1]:
+                done.append(pd.concat([*held, p]) if held else p)
+                held = []
+            held.append(parts[-1])
+            got = [x for x in map(of_unit, done) if len(x)]
+            if got:
+                yield pd.concat(got, ignore_index=True)
+        if held:
+            yield of_unit(pd.concat(held))
+
+    return listed.repartition(16 * workers(units.sparkSession), "unit_ix").sortWithinPartitions("unit_ix").mapInPandas(run, schema)
 
 
 def blocks(variants: DataFrame, size: int = 1024) -> DataFrame:
